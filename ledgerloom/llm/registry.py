@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing
+from . import decontaminate, neardup, packing, repeats, secrets, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_warc_chunks": warc.op2_warc_chunks,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_trigram_secrets": secrets.op5_trigram_secrets,
+    "op6_chosen_path_neardup": neardup.op6_chosen_path_neardup,
+    "op10_recompression_dedup": repeats.op10_recompression_dedup,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op2_warc_chunks": warc.OP2_SQL,
+    "op5_trigram_secrets": secrets.OP5_SQL,
+    "op6_chosen_path_neardup": neardup.OP6_SQL,
+    "op10_recompression_dedup": repeats.OP10_SQL,
 }
