@@ -206,6 +206,14 @@ def _verified(text: Column, rule: Rule) -> Column:
     return F.aggregate(rows, start, step, lambda acc: acc["spans"])
 
 
+def _named(spans: Column, number: int, kind: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
+def _count(number: int) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind_no"] == number)).cast("long")
+
+
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, text and spans, an array of (start, kind_no, end, kind), sorted.
 
@@ -226,7 +234,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
         ask = F.col("text").rlike(rule.pattern)
         ask = ask if full else F.coalesce(F.array_contains("rules", i), F.lit(False)) & ask
         own = F.when(ask, _verified(F.col("text"), rule)).otherwise(none)
-        spans.append(F.transform(own, lambda s, i=i, rule=rule: F.struct(s["start"].alias("start"), F.lit(i).alias("kind_no"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"))))
+        spans.append(_named(own, i, rule.kind))
     return joined.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
@@ -234,13 +242,13 @@ def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(C.table(spark, sf_dir, "documents"))
     said = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter("spans", lambda s: s["kind_no"] < len(BASE_RULES))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind_no"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
+    counts = [_count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(F.encode(said(base), "utf-8"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
 def _sql_rule(i: int, rule: Rule) -> str:
     pattern = rule.pattern.replace("'", "''")
-    return f"""SELECT doc_id, {i} AS k, '{rule.kind}' AS kind, CAST(coalesce(list_sum(list_transform(gaps[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], x -> length(x))), 0) AS BIGINT) AS s, length(ms[i]) AS n, length(ks[i]) AS g
+    return f"""SELECT doc_id, {i} AS k, '{rule.kind}' AS kind, CAST(coalesce(list_sum([length(x) for x in gaps[1:i]]), 0) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS BIGINT) AS s, length(ms[i]) AS n, length(ks[i]) AS g
 FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS gaps, ms, regexp_extract_all(text, '{pattern}', {rule.group}) AS ks, unnest(range(1, len(ms) + 1)) AS i
       FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms FROM documents WHERE text IS NOT NULL)) WHERE length(ks[i]) >= {rule.least}"""
 
