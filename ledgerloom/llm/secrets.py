@@ -214,8 +214,9 @@ def _count(number: int) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind_no"] == number)).cast("long")
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, text and spans, an array of (start, kind_no, end, kind), sorted.
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Per row of docs: doc_id, text, the columns to carry, and spans, an array of (start,
+    kind_no, end, kind), sorted.
 
     Matches are leftmost and do not overlap within a kind; places are code points, the end
     exclusive. Null and empty texts have no spans. Repeated rows and ids give a row each
@@ -223,19 +224,31 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     keep theirs. Extra columns are not read. The candidates are written first, so Spark
     knows their size: few are broadcast, more are joined by a shuffle on the id.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(carry or ()))
     scratch = C.Scratch(docs.sparkSession, "secrets")
-    found = scratch.save(candidates(postings(rows, rules), rules).withColumnRenamed("doc_id", "found_id"), "candidates")
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    found = scratch.save(candidates(postings(rows, rules), rules).select(F.col("doc_id").alias("_found_id"), F.col("rules").alias("_rules")), "candidates")
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     spans = []
     for i, rule in enumerate(rules):
         full = trigram_query(rule.pattern) is ALL
         ask = F.col("text").rlike(rule.pattern)
-        ask = ask if full else F.coalesce(F.array_contains("rules", i), F.lit(False)) & ask
+        ask = ask if full else F.coalesce(F.array_contains("_rules", i), F.lit(False)) & ask
         own = F.when(ask, _verified(F.col("text"), rule)).otherwise(none)
         spans.append(_named(own, i, rule.kind))
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("spans"))
+    return joined.select("doc_id", "text", *(carry or ()), F.array_sort(F.concat(*spans)).alias("spans"))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each span replaced by mark; of spans that overlap, the part that is left."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, span: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(span["start"] - acc["at"], F.lit(0)))
+        new = F.when(span["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), new.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def op5_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
