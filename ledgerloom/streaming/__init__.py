@@ -1,0 +1,6 @@
+"""No query of the engine's scope reads a stream: each call takes whole tables.
+
+The operators are DataFrame transformations without driver-side state, so those that
+Structured Streaming allows (projections, filters, stream-static joins with `unique=False`)
+work on a streaming DataFrame as they are.
+"""
