@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ def check_width(df: DataFrame, column: str, bits: int) -> DataFrame:
 def from_rows(spark: SparkSession, rows: Iterable[Sequence], columns: Sequence[tuple[str, str, int]]) -> DataFrame:
     """A table of given rows; columns are (name, "int" or "string", bits)."""
     schema = T.StructType([T.StructField(n, int_type(b) if k == "int" else string_type(b)) for n, k, b in columns])
-    return spark.createDataFrame(list(rows), schema)
+    put = {T.DecimalType: Decimal, T.BinaryType: lambda v: v if isinstance(v, bytes) else v.to_bytes(-(-max(v.bit_length() + 1, 1) // 8), "big", signed=True)}
+    made = [put.get(type(f.dataType), lambda v: v) for f in schema]
+    return spark.createDataFrame([tuple(v if v is None else m(v) for m, v in zip(made, r)) for r in rows], schema)
 
 
 def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
