@@ -102,12 +102,14 @@ def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "
     places = rows.select(F.regexp_replace("p", "/?[^/]*$", "").alias("place")).where("place IS NOT NULL").distinct()
     up = places.select("place", F.explode(_ancestors(F.concat("place", F.when(F.col("place") == "", "").otherwise("/"), F.lit("x")))).alias("a")).select("place", "a.depth", "a.dir")
     near = up.join(dirs, "dir").groupBy("place").agg(F.max(F.struct("depth", "dir", "dir_license", "dir_cosine")).alias("n"))
-    near = scratch.save(near.select("place", "n.dir", "n.dir_license", "n.dir_cosine"), "near")
+    near = scratch.save(near.select(F.col("place").alias("_np"), F.col("n.dir").alias("_nd"), F.col("n.dir_license").alias("_nl"), F.col("n.dir_cosine").alias("_nc")), "near")
+    best = best.select(F.col("p").alias("_bp"), F.col("is_file").alias("_bf"), F.col("license").alias("_bl"), F.col("cosine").alias("_bc"))
     out = files.select(*(files[c] for c in own), F.col(path_col).alias("_p"), F.regexp_replace(F.col(path_col), "/?[^/]*$", "").alias("_place"))
-    out = out.join(best, out["_p"] == best["p"], "left").join(near, F.col("_place") == near["place"], "left")
-    has, above = F.col("license").isNotNull(), F.col("dir_license").isNotNull()
-    method = F.when(has & F.col("is_file"), "file").when(has, "header").when(above, "inherited").otherwise("none")
-    return out.select(*own, F.coalesce("license", "dir_license").alias("license"), method.alias("method"), F.when(has, F.col("cosine")).otherwise(F.col("dir_cosine")).alias("cosine"), F.when(~has & above, F.col("dir")).alias("license_dir"))
+    out = out.join(best, F.col("_p") == F.col("_bp"), "left").join(near, F.col("_place") == F.col("_np"), "left")
+    has, above = F.col("_bl").isNotNull(), F.col("_nl").isNotNull()
+    method = F.when(has & F.col("_bf"), "file").when(has, "header").when(above, "inherited").otherwise("none")
+    return out.select(*own, F.coalesce("_bl", "_nl").alias("license"), method.alias("method"), F.when(has, F.col("_bc")).otherwise(F.col("_nc")).alias("cosine"), F.when(~has & above, F.col("_nd")).alias("license_dir"))
+
 
 
 #: The query's file tree: source/language/id.txt. A text of up to 40 words counts as the licence
