@@ -24,8 +24,9 @@ from . import common as C
 #: Trigrams that a worker holds at a time (36 bytes each at most).
 SHARD_GRAMS = 2_000_000
 #: The bands: so many interquartile ranges below the first and above the third quartile,
-#: or so much log perplexity, if that is more.
-BAND_IQR, BAND_LEAST = 6.0, 0.35
+#: or so much log perplexity, if that is more. A text of n words gets SHORT / sqrt(n) more room, as
+#: one odd line or number weighs heavily in a short text.
+BAND_IQR, BAND_LEAST, SHORT = 6.0, 0.6, 2.0
 #: Log perplexities are counted in steps of this size.
 STEP = 0.001
 
@@ -286,7 +287,8 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     log_perplexity (natural, per character; null without words), base_failed and kept.
 
     base_failed: fewer than 10 words, or repeated five-word windows cover over 20 % of the
-    words. kept: not base_failed, and the log perplexity lies in the band of its language.
+    words. kept: not base_failed, and the log perplexity lies in the band of its language,
+    which is wider for short texts.
     Null and empty texts have no words and fail; a null language is one of its own.
     Repeated rows are judged alike. Extra columns are not read.
     """
@@ -298,7 +300,8 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     limits = bands(measured, iqr, least)
     pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for lang, b in limits.items() for x in (lang, b[i]))), F.col("lang")) if limits else F.lit(None).cast("double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    kept = ~failed & F.coalesce((F.col("log_perplexity") >= pick(0)) & (F.col("log_perplexity") <= pick(1)), F.lit(False))
+    room = SHORT / F.sqrt(F.greatest("n_words", F.lit(1)))
+    kept = ~failed & F.coalesce((F.col("log_perplexity") >= pick(0) - room) & (F.col("log_perplexity") <= pick(1) + room), F.lit(False))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", failed.alias("base_failed"), kept.alias("kept"))
 
 
