@@ -150,17 +150,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     p, u, prior = _sample(rows, learn, positives, unlabelled)
     vocabulary, weights, bias = train(p, u, prior) if p and u else (np.empty(0, np.uint64), np.empty(0), -math.inf)
     sent = spark.sparkContext.broadcast((vocabulary, weights, bias))
-    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    kept = docs.select(*(docs[c] for c in own), fold(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", score double"
+    own = [c for c in docs.columns if c == text_col or c not in ("held_out", "score", "predicted")]
+    kept = docs.select(*(docs[c] for c in own), fold(id_col).alias("held_out"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double"
+    at = own.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights, bias = sent.value
         known = _Weights(vocabulary, weights)
         for batch in batches:
-            z = [bias + math.fsum(map(known.__getitem__, _features(t))) for t in C.as_bytes(batch.column(batch.num_columns - 1))]
+            z = [bias + math.fsum(map(known.__getitem__, _features(t))) for t in C.as_bytes(batch.column(at))]
             score = [1 / (1 + math.exp(-x)) if x > -700 else 0.0 for x in z]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
     return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
