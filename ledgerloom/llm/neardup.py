@@ -27,8 +27,12 @@ from . import common as C
 
 #: Trees, tokens chosen at each node, and minwise tokens that a set has in all.
 TREES, WIDTH, TOKENS = 4, 3, 24
-#: Members of a node that one task compares exhaustively.
-NODE = 1000
+#: Size of a node that one task compares exhaustively. A member counts 1 and 1 more for each
+#: 256 shingles, so that the sets of a node stay below 50 MB.
+NODE, PER_SHINGLES = 20_000, 256
+#: Of TOKENS minwise tokens, so many must agree before two sets of a node are compared in full
+#: (a pair with similarity 0.8 agrees in fewer with probability 2e-7).
+AGREE = 8
 #: Pivots, about, of a large node.
 PIVOTS = 16
 #: Levels of branching before a node is compared block by block.
@@ -107,14 +111,16 @@ class _Forest:
 
 def links_within(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Confirmed links that join all members of a node which links connect. Each member is
-    compared with all later ones outside its component, by one pass over their shingles."""
+    compared with all later ones outside its component: by minwise tokens, then on full sets."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
     _, number = np.unique(np.concatenate(sets), return_inverse=True)
     starts = C.starts_of(sizes)
     mark, forest, out = np.zeros(number.max() + 1, bool), _Forest(n), []
+    tokens = _signatures(sets)
     for i in range(n - 1):
         later = np.flatnonzero(forest.of[i + 1 :] != forest.of[i]) + i + 1
+        later = later[(tokens[later] == tokens[i]).sum(axis=1) >= AGREE]
         later = later[(100 * np.minimum(sizes[i], sizes[later])) >= percent * np.maximum(sizes[i], sizes[later])]
         if not len(later):
             continue
@@ -183,7 +189,7 @@ def connected_components(edges: DataFrame, scratch: C.Scratch, name: str = "cc")
 
 def _nodes(members: DataFrame) -> DataFrame:
     """node, size for the nodes that hold two components or more; of nodes with the same members, one."""
-    same = [F.count("*").alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")]
+    same = [F.sum("weight").alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")]
     sizes = members.groupBy("node").agg(*same, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     return sizes.groupBy("size", "least", "x", "y").agg(F.min("node").alias("node")).select("node", "size")
 
@@ -203,7 +209,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     filled = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.save(filled.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
     classed = filled.join(classes, "set_key")
-    reps = scratch.save(classed.where("doc_id = class_id").select(F.col("doc_id").alias("id"), "tokens").dropDuplicates(["id"]), "reps")
+    weight = (1 + F.col("n_shingles") / PER_SHINGLES).cast("int").alias("weight")
+    reps = scratch.save(classed.where("doc_id = class_id").select(F.col("doc_id").alias("id"), weight, "tokens").dropDuplicates(["id"]), "reps")
     texts = rows.select(F.col("doc_id").alias("id"), "text")
     edges: list[DataFrame] = []
 
@@ -216,12 +223,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return F.xxhash64("node", *cols).alias("node")
 
     first = F.slice("tokens", 1, TREES * WIDTH)
-    members = reps.select(F.posexplode(first).alias("at", "token"), "id").select(F.xxhash64("at", "token").alias("node"), "id", F.col("id").alias("component"))
+    members = reps.select(F.posexplode(first).alias("at", "token"), "id", "weight").select(F.xxhash64("at", "token").alias("node"), "id", "weight", F.col("id").alias("component"))
     half = max(1, node // 2)
     level = 0
     while True:
         nodes = scratch.save(_nodes(members), f"nodes{level}")
-        members = scratch.save(members.join(nodes, "node").select("node", "id", "size"), f"members{level}")
+        members = scratch.save(members.join(nodes, "node").select("node", "id", "weight", "size"), f"members{level}")
         big = members.where(F.col("size") > node)
         if not nodes.where(F.col("size") > node).limit(1).count():
             compare(members.select("node", "id"), f"links{level}")
@@ -234,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         compare(members.where(F.col("size") <= node).select("node", "id").unionByName(dealt), f"links{level}")
         found = connected_components(functools.reduce(DataFrame.unionByName, edges), scratch, f"cc{level}_")
         big = scratch.save(big.join(found.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), f"big{level}")
-        each = big.groupBy("node", "component").agg(F.count("*").alias("n"))
+        each = big.groupBy("node", "component").agg(F.sum("weight").alias("n"))
         most = each.groupBy("node").agg(F.max(F.struct("n", "component")).alias("most"))
         most = scratch.save(most.select("node", F.col("most.component").alias("largest"), F.col("most.n").alias("n")), f"most{level}")
         open_ = big.join(most, "node").where("n < size").withColumn("outside", F.col("component") != F.col("largest"))
@@ -258,10 +265,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not many.limit(1).count():
             break
         # The node branches on WIDTH of the tokens, chosen by its own hash.
-        with_tokens = many.select("node", "id", "component").join(reps, "id")
+        with_tokens = many.select("node", "id", "weight", "component").join(reps.select("id", "tokens"), "id")
         turn = F.sequence(F.lit(0), F.lit(WIDTH - 1))
         at = F.transform(turn, lambda k: F.pmod(F.pmod(F.xxhash64("node"), F.lit(TOKENS)) + k * 7, F.lit(TOKENS)).cast("int"))
-        members = with_tokens.select("node", "id", "component", F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.get("tokens", i).alias("token")))).alias("t")).select(sub("t.at", "t.token"), "id", "component")
+        members = with_tokens.select("node", "id", "weight", "component", F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.get("tokens", i).alias("token")))).alias("t")).select(sub("t.at", "t.token"), "id", "weight", "component")
     # Members of one class are linked by their equal sets; classes by the components.
     found = connected_components(functools.reduce(DataFrame.unionByName, edges), scratch, "cc_")
     of_class = scratch.save(sets.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "of_class")
