@@ -62,6 +62,13 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that this application has put into the shared folder. For when their
+    results have been written: what reads them lazily can't be run again afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc32_of_id(id_col: Column | str) -> Column:
     """crc32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), F.lit("")), "utf-8"))
@@ -87,7 +94,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 class WordHash(dict):
     """64-bit hash of a word, kept per worker; starts anew when it holds too many words."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
