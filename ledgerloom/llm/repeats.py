@@ -289,11 +289,12 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     ids = part.column(0).to_pylist()
                     spans, lengths = part.column(2).to_pylist(), part.column(3).to_pylist()
                     own = [_candidates(h[begin[i] : begin[i + 1]], spans[i], lengths[i], width) for i in range(len(ids))]
+                    own = [x if i is not None else x[:0] for i, x in zip(ids, own)]
                     sizes = np.array([len(x) for x in own])
                     if sizes.sum():
                         starts = np.concatenate(own)
                         names = window_names(h, width)[starts + np.repeat(begin[:-1], sizes)]
-                        yield names, np.repeat(np.array(ids, np.int64), sizes), starts, np.ones(len(starts), np.int64)
+                        yield names, np.repeat(np.array([i or 0 for i in ids], np.int64), sizes), starts, np.ones(len(starts), np.int64)
 
         yield from _stream(parts(), _settle_first, buckets)
 
@@ -321,9 +322,9 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         found = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, FOUND)
         return found.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"))
 
-    own = rows.where("doc_id IS NOT NULL")
-    shared = by_document(own.mapInArrow(find, ENTRIES), _shared)
-    looked = own.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "starts", "lengths")
+    # Both joins deal out the same rows by id, so that Spark shuffles the texts once.
+    shared = by_document(rows.where("doc_id IS NOT NULL").mapInArrow(find, ENTRIES), _shared)
+    looked = rows.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "starts", "lengths")
     removed = by_document(looked.mapInArrow(windows, ENTRIES), _later)
     out = rows.join(removed.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "starts")
     return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, removed_from array<int>, removed_to array<int>, kept string")
