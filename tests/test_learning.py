@@ -56,3 +56,11 @@ def test_tables(spark):
         except (ValueError, KeyError):
             continue
         raise AssertionError
+
+
+def test_drivers(spark):
+    from ledgerloom.ml import drivers
+
+    sizes = dict(rows=200, features=4, batch=50, iterations=16, test_rows=100)
+    assert drivers.linear(spark, rate=0.5, **sizes)["error"] < 2.0
+    assert drivers.logistic(spark, rate=1.0, **sizes)["accuracy"] > 0.8
