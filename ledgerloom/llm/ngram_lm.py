@@ -82,7 +82,7 @@ def _arrays(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
 COUNTS = "bucket int, n_words long, words binary, n_pairs long, pairs binary"
 MODEL = "bucket int, tokens long, types long, words binary, bits binary, n_bits long"
 #: Tokens that a task gathers before it adds up and sends their counts.
-GATHER = 4_000_000
+GATHER = 1_500_000
 
 
 def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
@@ -171,14 +171,17 @@ class Shard:
     """Some neighbouring buckets of the model, ready to be asked."""
 
     def __init__(self, rows: list[tuple], buckets: int):
-        parts = [_arrays(words, types, "<u8", "<i8", "u1") for _, types, words, _, _ in rows]
-        self.words, self.counts, self.mass = (np.concatenate(x) for x in zip(*parts))
+        n = sum(r[1] for r in rows)
+        self.words, self.counts, self.mass = np.empty(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.uint8)
+        self.bits = np.empty(sum(r[4] for r in rows) // 8, np.uint8)
         self.n_bits, self.begin = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        at = 0
-        for bucket, _, _, bits, n_bits in rows:
+        a = at = 0
+        while rows:  # one bucket at a time, so that nothing is held twice
+            bucket, types, words, bits, n_bits = rows.pop(0)
+            self.words[a : a + types], self.counts[a : a + types], self.mass[a : a + types] = _arrays(words, types, "<u8", "<i8", "u1")
+            self.bits[at // 8 : (at + n_bits) // 8] = np.frombuffer(bits, np.uint8)
             self.n_bits[bucket], self.begin[bucket] = n_bits, at
-            at += n_bits
-        self.bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+            a, at = a + types, at + n_bits
         self.buckets = buckets
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +239,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "lm")
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.pmod(C.crc32_of_id(id_col), F.lit(folds)) == held_out).alias("held_out"))
     counted = count_ngrams(rows.where(~F.col("held_out")).select("text"), buckets)
     model = scratch.save(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_build, MODEL), "model")
