@@ -6,7 +6,8 @@ perplexity does not hang on how many of its words are rare. Spark counts the tri
 trigram of code points fits 63 bits, so counts, contexts and suffixes are exact. For each
 language the model is a set of sorted arrays of hashed n-grams, with the discounts of modified
 Kneser-Ney (one each for counts of one, two, and more). A language's own spread of log
-perplexities gives the lower and upper limit between which texts are kept.
+perplexities, among texts of like length, gives the lower and upper limit between which texts
+are kept.
 """
 
 from __future__ import annotations
@@ -16,17 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Trigrams that a worker holds at a time (36 bytes each at most).
 SHARD_GRAMS = 2_000_000
-#: The bands: so many interquartile ranges below the first and above the third quartile,
-#: or so much log perplexity, if that is more. A text of n words gets SHORT / sqrt(n) more room, as
-#: one odd line or number weighs heavily in a short text.
-BAND_IQR, BAND_LEAST, SHORT = 6.0, 0.6, 2.0
+#: The bands: so many interquartile ranges below the first and above the third quartile.
+BAND_IQR = 2.0
+#: The quartiles are of distances from the language's median, times the root of the number of
+#: words, as short texts spread more; and of texts whose numbers of words have as many binary
+#: digits. With fewer texts than this, the next sizes on both sides join them, and so on.
+LEAST_TEXTS = 100
 #: Log perplexities are counted in steps of this size.
 STEP = 0.001
 
@@ -266,29 +269,56 @@ def measure(rows: DataFrame, sent: list[tuple]) -> DataFrame:
     return rows.mapInArrow(run, BASE)
 
 
-def bands(measured: DataFrame, iqr: float, least: float) -> dict[str, tuple[float, float]]:
-    """Each language's lower and upper limit, from all its texts: the counts by step are exact,
-    and few whatever the number of texts."""
-    steps = measured.where("log_perplexity IS NOT NULL").groupBy("lang", F.floor(F.col("log_perplexity") / STEP).alias("step")).agg(F.count("*").alias("n")).orderBy("lang", "step")
-    by: dict[str, list] = {}
-    for r in steps.collect():
-        by.setdefault(r["lang"], []).append((r["step"], r["n"]))
-    out = {}
-    for lang, rows in by.items():
-        at, n = (np.array(x) for x in zip(*rows))
-        q1, q3 = (at[np.searchsorted(np.cumsum(n), q * n.sum())] * STEP for q in (0.25, 0.75))
-        room = max(iqr * (q3 - q1), least)
-        out[lang] = float(q1 - room), float(q3 + room)
-    return out
+def _size(n_words: Column | str) -> Column:
+    """The binary digits of a number of words."""
+    return F.length(F.bin(n_words))
+
+
+def _distance(middle: Column | float) -> Column:
+    return (F.col("log_perplexity") - middle) * F.sqrt("n_words")
+
+
+def _by_lang(picks: dict, key: Column) -> Column:
+    """The value of picks under key; null for others."""
+    return F.element_at(F.create_map(*(F.lit(x) for kv in picks.items() for x in kv)), key) if picks else F.lit(None).cast("double")
 
 
-def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", iqr: float = BAND_IQR, least: float = BAND_LEAST, shard_grams: int = SHARD_GRAMS) -> DataFrame:
+def bands(measured: DataFrame, iqr: float) -> tuple[dict[str, float], dict[tuple[str, int], tuple[float, float]]]:
+    """The median of each language, and the limits of the distances from it by language and size,
+    from all texts given: the counts by step are exact, and few whatever the number of texts. Texts
+    that measure the same in all count once, so that copies don't narrow the band for others."""
+    once = measured.where("log_perplexity IS NOT NULL").drop("doc_id").distinct()
+
+    def steps(value: Column, size: Column) -> dict[str, list[np.ndarray]]:
+        by: dict[str, list] = {}
+        for r in once.groupBy("lang", size.alias("size"), F.floor(value / STEP).alias("step")).agg(F.count("*").alias("n")).collect():
+            by.setdefault(r["lang"], []).append((r["step"], r["size"], r["n"]))
+        return {lang: [np.array(x) for x in zip(*sorted(rows))] for lang, rows in by.items()}
+
+    def quantile(at: np.ndarray, n: np.ndarray, q: float) -> int:
+        total = np.cumsum(n)
+        return at[np.searchsorted(total, q * total[-1])]
+
+    middle = {lang: float(quantile(at, n, 0.5) * STEP) for lang, (at, _, n) in steps(F.col("log_perplexity"), F.lit(0)).items()}
+    out = {}
+    for lang, (at, sizes, n) in steps(_distance(_by_lang(middle, F.col("lang"))), _size("n_words")).items():
+        for size in set(sizes.tolist()):
+            away, reach = np.abs(sizes - size), 0
+            while n[away <= reach].sum() < LEAST_TEXTS and reach < away.max():
+                reach += 1
+            q1, q3 = (quantile(at[away <= reach], n[away <= reach], q) for q in (0.25, 0.75))
+            room = iqr * (q3 - q1)
+            out[lang, size] = float((q1 - room) * STEP), float((q3 + 1 + room) * STEP)
+    return middle, out
+
+
+def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", iqr: float = BAND_IQR, shard_grams: int = SHARD_GRAMS) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     log_perplexity (natural, per character; null without words), base_failed and kept.
 
     base_failed: fewer than 10 words, or repeated five-word windows cover over 20 % of the
-    words. kept: not base_failed, and the log perplexity lies in the band of its language,
-    which is wider for short texts.
+    words. kept: not base_failed, and the log perplexity lies in the band of its language
+    and size, which is that of the texts that aren't base_failed.
     Null and empty texts have no words and fail; a null language is one of its own.
     Repeated rows are judged alike. Extra columns are not read.
     """
@@ -297,11 +327,11 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     tri = scratch.save(count_trigrams(rows), "trigrams")
     measured = scratch.save(measure(rows, _models(spark, tri, scratch, shard_grams)), "measured")
-    limits = bands(measured, iqr, least)
-    pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for lang, b in limits.items() for x in (lang, b[i]))), F.col("lang")) if limits else F.lit(None).cast("double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    room = SHORT / F.sqrt(F.greatest("n_words", F.lit(1)))
-    kept = ~failed & F.coalesce((F.col("log_perplexity") >= pick(0) - room) & (F.col("log_perplexity") <= pick(1) + room), F.lit(False))
+    middle, limits = bands(measured.where(~failed), iqr)
+    own, place = _distance(_by_lang(middle, F.col("lang"))), F.concat(_size("n_words").cast("string"), F.lit(" "), "lang")
+    low, high = (_by_lang({f"{size} {lang}": b[i] for (lang, size), b in limits.items()}, place) for i in (0, 1))
+    kept = ~failed & F.coalesce((own >= low) & (own <= high), F.lit(False))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", failed.alias("base_failed"), kept.alias("kept"))
 
 

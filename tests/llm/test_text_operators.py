@@ -340,6 +340,23 @@ def test_quality_rejects_noise(spark, words):
     assert sum(not got[i].kept for i in range(300)) == 0 and not any(got[300 + i].kept for i in range(5))
 
 
+def test_quality_bands_are_those_of_like_texts(spark, words):
+    """Prose to which symbols or table bars were added: its perplexity is a little off, not by far."""
+    rng = random.Random(5)
+    prose = [" ".join(rng.choices(words, k=rng.randint(12, 900))) for _ in range(600)]
+    symbols = [" ".join(w + rng.choice(("%%%", "###", "&&&", "***")) for w in rng.choices(words, k=n)) for n in (60, 150, 240, 500, 800)]
+    tables = [" | ".join(rng.choices(words, k=n)) for n in (60, 150, 240, 500, 800)]
+    copies = [prose[0]] * 400
+    got = by_id(Q.quality(spark.createDataFrame([(i, t, "xx") for i, t in enumerate(prose + symbols + tables + copies)], "doc_id long, text string, lang string")))
+    assert not any(r.base_failed for r in got.values())
+    assert sum(not got[i].kept for i in range(600)) <= 12 and not any(got[600 + i].kept for i in range(10))
+    assert len({got[i].kept for i in range(610, 1010)} | {got[0].kept}) == 1
+
+
+def test_quality_of_one_text(spark):
+    assert Q.quality(spark.createDataFrame([(1, "a b c d e f g h i j k", "xx")], "doc_id long, text string, lang string")).first().kept
+
+
 def test_quality_of_nothing(empty):
     assert Q.quality(empty).count() == 0
 
