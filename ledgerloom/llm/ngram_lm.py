@@ -1,7 +1,7 @@
 """Language-model scores with a log-frequency Bloom filter.
 
 The filter holds, for each word pair with its count quantised to a power of two, one event
-for each power up to that count; a count is read back by probing the pair at power 1, 2, 3
+for each power up to that count; a count is read back by probing the pair at power 0, 1, 2
 and so on until a probe fails. Pairs are gathered by their first word, in buckets that are
 ranges of its hash; a bucket has the exact counts of its words (a sorted hash array), the
 probability mass that its pairs take, and its own part of the filter. Buckets go to the
@@ -24,7 +24,8 @@ from . import common as C
 
 #: Bytes of model that a worker holds at a time.
 SHARD_BYTES = 96 << 20
-#: Pairs seen less often are left to the smaller model; taken off each count of a pair.
+#: Pairs seen less often are left to the smaller model, unless the caller says otherwise (the query
+#: keeps all); taken off each count of a pair.
 LEAST_PAIR, DISCOUNT = 2, 0.5
 #: Probes for an event, and bits of filter for each event (a false event in 250).
 PROBES, BITS = 8, 12
@@ -125,16 +126,22 @@ def _probe_bits(names: np.ndarray, power: np.ndarray | int, n_bits: np.ndarray |
         yield (a + np.uint64(i) * b) % np.asarray(n_bits).astype(np.uint64)
 
 
-def _bucket_model(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, firsts: np.ndarray, n_pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _lowest_power(least_pair: int) -> int:
+    """The power of the first event of each pair that is kept."""
+    return max(0, least_pair.bit_length() - 1)
+
+
+def _bucket_model(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, firsts: np.ndarray, n_pairs: np.ndarray, least_pair: int = LEAST_PAIR) -> tuple[np.ndarray, np.ndarray, int]:
     """The mass that the pairs of each word take (in 255ths), and the bucket's filter."""
-    kept = n_pairs >= LEAST_PAIR
+    kept = n_pairs >= least_pair
     pairs, firsts, n_pairs = pairs[kept], firsts[kept], n_pairs[kept]
     mass = np.zeros(len(words))
     np.add.at(mass, np.searchsorted(words, firsts), n_pairs - DISCOUNT)
     mass = np.minimum(254, np.ceil(255 * mass / np.maximum(counts, 1))).astype(np.uint8)
-    powers = np.floor(np.log2(n_pairs)).astype(np.int64)
+    low = _lowest_power(least_pair)
+    powers = np.floor(np.log2(n_pairs)).astype(np.int64) - low + 1
     names = np.repeat(pairs, powers)
-    power = np.arange(len(names)) - np.repeat(np.cumsum(powers) - powers, powers) + 1
+    power = np.arange(len(names)) - np.repeat(np.cumsum(powers) - powers, powers) + low
     n_bits = max(64, -(-len(names) * BITS // 64) * 64)
     bits = np.zeros(n_bits, bool)
     for at in _probe_bits(names, power, n_bits):
@@ -142,13 +149,13 @@ def _bucket_model(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, firs
     return mass, np.packbits(bits, bitorder="little"), n_bits
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build(batches: Iterator[pa.RecordBatch], least_pair: int = LEAST_PAIR) -> Iterator[pa.RecordBatch]:
     """Rows of count_ngrams, sorted by bucket, to the buckets of the model."""
 
     def close(bucket: int, words: list, pairs: list) -> pa.RecordBatch:
         (w,), n = _summed((np.concatenate([x[0] for x in words]),), np.concatenate([x[1] for x in words]))
         (p, f), m = _summed((np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])), np.concatenate([x[2] for x in pairs]))
-        mass, bits, n_bits = _bucket_model(w, n, p, f, m)
+        mass, bits, n_bits = _bucket_model(w, n, p, f, m, least_pair)
         # END stands before the first words: its count is that of the texts, as it is their last token.
         row = (bucket, int(n.sum()), len(w), _blob(w, n, mass), bits.tobytes(), n_bits)
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "tokens", "types", "words", "bits", "n_bits"])
@@ -190,12 +197,12 @@ class Shard:
         found = self.words[at] == words
         return found, self.counts[at[found]], self.mass[at[found]]
 
-    def powers(self, before: np.ndarray, names: np.ndarray) -> np.ndarray:
-        """The largest power at which each pair is in the filter; 0 if it isn't."""
+    def powers(self, before: np.ndarray, names: np.ndarray, low: int = 1) -> np.ndarray:
+        """The largest power, from `low` on, at which each pair is in the filter; low - 1 if it isn't."""
         bucket = bucket_of(before, self.buckets)
-        out = np.zeros(len(names), np.int64)
+        out = np.full(len(names), low - 1, np.int64)
         live = np.flatnonzero(self.n_bits[bucket] > 0)
-        power = 0
+        power = low - 1
         while len(live):
             power += 1
             size, begin = self.n_bits[bucket[live]], self.begin[bucket[live]]
@@ -224,7 +231,7 @@ def _shard(key: str, sent, buckets: int) -> Shard:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, shard_bytes: int = SHARD_BYTES, least_pair: int = LEAST_PAIR) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Learns from the rows whose crc32(id as text) modulo `folds` is not `held_out`. A text is
@@ -234,15 +241,16 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts are an end alone; a null id counts as the empty text in crc32.
     Repeated rows count each time. Extra columns are not read. With no row to learn from,
-    all counts are 0. Counts cover all rows to learn from; only pairs seen once are left
-    to the word model.
+    all counts are 0. Counts cover all rows to learn from; pairs seen less than `least_pair`
+    times are left to the word model (1: none).
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "lm")
+    low = _lowest_power(least_pair)
     buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.pmod(C.crc32_of_id(id_col), F.lit(folds)) == held_out).alias("held_out"))
     counted = count_ngrams(rows.where(~F.col("held_out")).select("text"), buckets)
-    model = scratch.save(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_build, MODEL), "model")
+    model = scratch.save(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _build(batches, least_pair), MODEL), "model")
     total = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_tokens, n_types = int(total[0]), int(total[1])
     sizes = model.select("bucket", (F.col("types") * 17 + F.col("n_bits") / 8).alias("bytes")).orderBy("bucket").collect()  # a row per bucket
@@ -264,35 +272,40 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         floor = np.log10(float(n_tokens + n_types + 1))
         for batch in batches:
             for at in range(0, batch.num_rows, per_load):
-                part = batch.slice(at, per_load)
-                tokens, sizes = tokens_of(C.as_bytes(part.column(1)), known)
-                before, names = pairs_of(tokens)
-                words, place = np.unique(tokens, return_inverse=True)
-                count, mass = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8)
-                powers = np.zeros(len(tokens), np.int64)
+                group, parts = batch.slice(at, per_load), []
+                for k in range(0, group.num_rows, 1000):  # between shards a part holds 13 bytes a token
+                    part = group.slice(k, 1000)
+                    tokens, sizes = tokens_of(C.as_bytes(part.column(1)), known)
+                    words, place = np.unique(tokens, return_inverse=True)
+                    count, mass = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8)
+                    parts.append((part, sizes, words, place.astype(np.int32), count, mass, pairs_of(tokens)[1], np.full(len(tokens), low - 1, np.int8)))
                 for key, b in sent:
                     shard = _shard(key, b, buckets)
-                    found, n, m = shard.look_up(words)
-                    count[found], mass[found] = n, m
-                    own = np.flatnonzero(shard.n_bits[bucket_of(before, buckets)] > 0)
-                    powers[own] = shard.powers(before[own], names[own])
-                c = count[place]
-                starts = C.starts_of(sizes)[:-1]
-                end = count[words == END][0] if END in words else 0
-                end_mass = mass[words == END][0] if END in words else 0
-                cv = np.concatenate(([end], c[:-1]))
-                mv = np.concatenate(([end_mass], mass[place][:-1])) / 255.0
-                single = np.log10(c + 1.0) - floor
-                pair = np.where(powers > 0, (MIDDLE * np.exp2(powers) - DISCOUNT) / np.maximum(cv, 1), 0.0)
-                both = np.log10(np.minimum(1.0, np.minimum(pair, 1.0) + (1 - mv) * 10.0**single))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(single, starts)), pa.array(np.add.reduceat(both, starts))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
+                    for _, _, words, place, count, mass, names, powers in parts:
+                        found, n, m = shard.look_up(words)
+                        count[found], mass[found] = n, m
+                        before = np.concatenate(([END], words[place[:-1]])).astype(np.uint64)
+                        own = np.flatnonzero(shard.n_bits[bucket_of(before, buckets)] > 0)
+                        powers[own] = shard.powers(before[own], names[own], low)
+                for part, sizes, words, place, count, mass, _, powers in parts:
+                    c = count[place]
+                    starts = C.starts_of(sizes)[:-1]
+                    end = count[words == END][0]
+                    end_mass = mass[words == END][0]
+                    cv = np.concatenate(([end], c[:-1]))
+                    mv = np.concatenate(([end_mass], mass[place][:-1])) / 255.0
+                    single = np.log10(c + 1.0) - floor
+                    seen = np.where(powers > 0, MIDDLE * np.exp2(powers.astype(np.float64)), 1.0)
+                    pair = np.where(powers >= low, (seen - DISCOUNT) / np.maximum(cv, 1), 0.0)
+                    both = np.log10(np.minimum(1.0, np.minimum(pair, 1.0) + (1 - mv) * 10.0**single))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(2), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(single, starts)), pa.array(np.add.reduceat(both, starts))],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                    )
 
     out = rows.mapInArrow(run, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(C.table(spark, sf_dir, "documents"))
+    return score_documents(C.table(spark, sf_dir, "documents"), least_pair=1)

@@ -99,6 +99,37 @@ def test_language_model(docs, corpus, shard_bytes):
     assert same > 0.7 * len(tokens)
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 30, 3000])
+def test_language_model_with_pairs_seen_once(docs, corpus, shard_bytes):
+    got = by_id(M.score_documents(clash(docs), shard_bytes=shard_bytes, least_pair=1))
+    tokens = {i: [w.translate(LOWER) for w in blanks(t)] + [None] for i, t in corpus}
+    train = [ts for i, ts in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter(w for ts in train for w in ts)
+    pairs = collections.Counter(p for ts in train for p in zip([None, *ts], ts))
+    n, v, mass, same = sum(count.values()), len(count), collections.Counter(), 0
+    for (a, _), c in pairs.items():
+        mass[a] += c - M.DISCOUNT
+    for i, ts in tokens.items():
+        exact = 0.0
+        for p in zip([None, *ts], ts):
+            c, left = pairs[p], 1 - min(254, math.ceil(255 * mass[p[0]] / max(count[p[0]], 1))) / 255
+            read = c if c < 2 else M.MIDDLE * 2 ** int(math.log2(c))
+            pair = (read - M.DISCOUNT) / max(count[p[0]], 1) if c else 0
+            exact += math.log10(min(1, min(pair, 1) + left * (count[p[1]] + 1) / (n + v + 1)))
+        same += math.isclose(got[i].score, exact, rel_tol=1e-9)
+        assert got[i].score >= exact - 1e-9 and got[i].score <= 0
+    assert same > 0.7 * len(tokens) and sum(c == 1 for c in pairs.values()) > 1000
+
+
+def test_the_query_keeps_pairs_seen_once(spark, tmp_path):
+    """Of two words seen equally often, the one that once followed the word before is likelier."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:8] + [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = ["once here", "other there", "lone", "lone", "x y z", "u v w", "r s t", "o p q", "once here", "once there"]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(M.op3_bloom_lm(spark, str(tmp_path)))
+    assert got[ids[8]].held_out and got[ids[8]].score > got[ids[9]].score + 0.5
+
+
 def test_language_model_of_nothing(empty, spark):
     assert M.score_documents(empty).count() == 0
     only = spark.createDataFrame([(0, "a")], "doc_id long, text string").where("false").unionByName(spark.createDataFrame([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b")], "doc_id long, text string"))
