@@ -1,7 +1,8 @@
 """Licence scans in DataFrame functions only: sparse TF-IDF cosine of headers and licence
 files to templates, then inheritance from the nearest ancestor directory by path joins.
 
-Each distinct line is scored once, however many files hold it.
+Each distinct line is scored once, however many files hold it. Notices that run over several
+lines are compared as blocks, up to a blank line and without comment marks.
 """
 
 from __future__ import annotations
@@ -30,6 +31,28 @@ TEMPLATES = (
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, version 2.0"),
 )
 
+#: Blocks of the usual headers and licence files. They have weights of their own.
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+BLOCKS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("GPL-2.0", _GPL.format("", "2")),
+    ("GPL-3.0", _GPL.format("", "3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", _GPL.format("Lesser ", "3")),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
+#: A line's comment marks, the blank lines that part blocks, words that any text has, and a block's terms: all other words.
+MARKS = r"(?m)^[ \t]*(?:(?:#+|/?\*+/?|//+|;+|--+|%+|<!--|\"{3}|'{3})[ \t]*)?|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+BLANK, COMMON = r"\n\s*\n", "a an and any are as at be by can for from if in is it may not of on one or that the this to use was which with you"
+WORD = f"(?<![a-z0-9])(?!(?:{COMMON.replace(' ', '|')})(?![a-z0-9]))[a-z0-9]+"
+#: Names after SPDX-License-Identifier, in lower case: these and the templates' own.
+SPDX = r"(?i)spdx-license-identifier:\s*([a-z0-9.+-]*[a-z0-9+])"
+ALIASES = {"gpl-3.0-only": "GPL-3.0", "gpl-3.0-or-later": "GPL-3.0", "gpl-3.0+": "GPL-3.0", "gpl-2.0-only": "GPL-2.0", "gpl-2.0-or-later": "GPL-2.0", "gpl-2.0+": "GPL-2.0", "lgpl-3.0-only": "LGPL-3.0", "lgpl-3.0-or-later": "LGPL-3.0", "lgpl-3.0+": "LGPL-3.0"}
+
 #: What a line of a header must hold to be compared, and what names a licence file.
 MENTION = "(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use|mozilla public"
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
@@ -38,26 +61,55 @@ TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6
 
 
-def _template_terms() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+def _template_terms(templates=TEMPLATES, term: str = TERM) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template, licence, term, weight over the template's norm); idf by term; idf of all other terms."""
-    split = [re.findall(TERM, text.lower()) for _, text in TEMPLATES]
+    split = [re.findall(term, text.lower()) for _, text in templates]
     n = len(split)
     idf = {t: math.log((1 + n) / (1 + sum(t in s for s in split))) + 1 for s in split for t in s}
     rows = []
     for k, words in enumerate(split):
         weights = {t: words.count(t) * idf[t] for t in words}
         norm = math.sqrt(sum(w * w for w in weights.values()))
-        rows += [(k, TEMPLATES[k][0], t, w / norm) for t, w in sorted(weights.items())]
+        rows += [(k, templates[k][0], t, w / norm) for t, w in sorted(weights.items())]
     return rows, idf, math.log(1 + n) + 1
 
 
-def score_lines(lines: DataFrame) -> DataFrame:
-    """line, license and cosine of the template most like each line (ties: the first licence by name)."""
-    rows, idf, other = _template_terms()
+def _needed(templates, term: str, least: float) -> str:
+    """Matches every text, in lower case, whose cosine to a template may be `least`: those with one of
+    the terms that are needed, as the others of the template alone have a norm below it."""
+    by: dict[int, list] = {}
+    for k, _, t, w in _template_terms(templates, term)[0]:
+        by.setdefault(k, []).append((t.isdigit(), -w, t))
+    needed = set()
+    for own in by.values():
+        left = 1.0
+        for _, w, t in sorted(own):
+            if left < (least - 1e-6) ** 2:
+                break
+            needed.add(t)
+            left -= w * w
+    return f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(needed)))})(?![a-z0-9])"
+
+
+def _may_be_alike(said: str, templates, term: str, least: float) -> Column:
+    """Whether the terms that a text shares with some template make up `least` of its norm: no
+    text without them has that cosine. It needs no shuffle of the other texts' terms."""
+    rows, idf, _ = _template_terms(templates, term)
+    shared = F.array_intersect(F.regexp_extract_all(F.lower(said), F.lit(term), F.lit(0)), F.array(*map(F.lit, sorted(idf))))
+    squares = [F.create_map(*(F.lit(x) for k, _, t, w in rows if k == own for x in (t, w * w))) for own in range(len(templates))]
+    sums = F.array(*(F.lit(0.0) for _ in squares))
+    add = lambda held, t: F.array(*(held[k] + F.coalesce(F.element_at(m, t), F.lit(0.0)) for k, m in enumerate(squares)))
+    return F.array_max(F.aggregate(shared, sums, add)) >= (least - 1e-6) ** 2
+
+
+def score_lines(lines: DataFrame, *, said: str = "line", against=TEMPLATES, term: str = TERM) -> DataFrame:
+    """line, license and cosine of the template most like each line (ties: the first licence by
+    name); its text is in the column `said`."""
+    rows, idf, other = _template_terms(against, term)
     spark = lines.sparkSession
     templates = spark.createDataFrame(rows, "template int, license string, term string, weight double")
     weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
+    terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower(said), F.lit(term), F.lit(0))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
     own = terms.join(F.broadcast(weights), "term", "left").select("line", "term", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w"))
     norm = own.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = own.join(F.broadcast(templates), "term").groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
@@ -69,6 +121,11 @@ def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def _is_licence(path: str) -> Column:
+    """Whether a path names a licence file."""
+    return F.coalesce(_name(F.col(path)).rlike(LICENCE_FILE), F.lit(False))
+
+
 def _ancestors(path: Column) -> Column:
     """(depth, directory) of all directories above a path; the root is the empty one."""
     parts = F.split(path, "/")
@@ -79,7 +136,9 @@ def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "
     """Per row of files: its columns and license, method (header, file, inherited, none), cosine, license_dir.
 
     A line that mentions a licence is compared with the templates, in a licence file (by
-    its name) every line; the best line counts, if its cosine is `least` or more. A file
+    its name) every line; and every block (what stands between blank lines) with the blocks
+    of the usual headers. An SPDX identifier of a known licence has cosine 1. The best of
+    these counts, if its cosine is `least` or more. A file
     without one takes the licence of the nearest directory above it that has a licence
     file with one (of several the best, then the first by path). Null or empty texts have
     no lines; rows with a null path inherit nothing. Repeated rows are treated alike.
@@ -90,11 +149,19 @@ def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "
     own = [c for c in files.columns if c not in ("license", "method", "cosine", "license_dir")]
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     rows = files.select(F.col(path_col).alias("p"), lines.alias("lines"))
-    is_file = F.coalesce(_name(F.col("p")).rlike(LICENCE_FILE), F.lit(False))
+    is_file = _is_licence("p")
     said = rows.select("p", is_file.alias("is_file"), F.explode(F.filter("lines", lambda x: (x.rlike(MENTION) | is_file) & (F.trim(x) != ""))).alias("line"))
     said = scratch.save(said.where("p IS NOT NULL").distinct(), "lines")
     scored = scratch.save(score_lines(said.select("line").distinct()).where(F.col("cosine") >= least), "scored")
-    best = said.join(scored, "line").groupBy("p", "is_file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b"))
+    parted = F.explode(F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), MARKS, ""), BLANK))
+    blocks = files.select(F.col(path_col).alias("p"), _is_licence(path_col).alias("is_file"), parted.alias("block")).where("p IS NOT NULL")
+    blocks = scratch.save(blocks.where(F.lower("block").rlike(_needed(BLOCKS, WORD, least))).where(_may_be_alike("block", BLOCKS, WORD, least)).withColumn("line", F.sha2("block", 256)), "blocks")
+    alike = score_lines(blocks.select("line", "block").distinct(), said="block", against=BLOCKS, term=WORD).where(F.col("cosine") >= least)
+    alike = blocks.select("p", "is_file", "line").distinct().join(alike, "line").select("p", "is_file", "license", "cosine")
+    ids = {name.lower(): name for name, _ in TEMPLATES + BLOCKS} | ALIASES
+    named = files.select(F.col(path_col).alias("p"), _is_licence(path_col).alias("is_file"), F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPDX), F.lit(1))).alias("id"))
+    named = named.where("p IS NOT NULL").select("p", "is_file", F.element_at(F.create_map(*(F.lit(x) for kv in ids.items() for x in kv)), F.lower("id")).alias("license"), F.lit(1.0).alias("cosine")).where("license IS NOT NULL")
+    best = said.join(scored, "line").select("p", "is_file", "license", "cosine").unionByName(alike).unionByName(named).groupBy("p", "is_file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b"))
     best = scratch.save(best.select("p", "is_file", F.col("b.l").alias("license"), (-F.col("b.c")).alias("cosine")), "best")
     dirs = best.where("is_file").select(F.regexp_replace("p", "/?[^/]*$", "").alias("dir"), F.struct((-F.col("cosine")).alias("c"), F.col("p").alias("by"), F.col("license").alias("l")).alias("b"))
     dirs = scratch.save(dirs.groupBy("dir").agg(F.min("b").alias("b")).select("dir", F.col("b.l").alias("dir_license"), (-F.col("b.c")).alias("dir_cosine")), "dirs")

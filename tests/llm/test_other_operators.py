@@ -56,6 +56,25 @@ def test_licenses(spark):
     assert L.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_licence_headers_over_several_lines(spark):
+    gpl = "This program is free software{c} you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation{d} either version {v} of the License, or\n (at your option) any later version.\n\n This program is distributed in the hope that it will be useful,\n but WITHOUT ANY WARRANTY."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+    bsd = "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted provided\nthat the following conditions are met:"
+    apache = "Licensed under the\nApache License, Version 2.0 (the\n\"License\"); you may not use this\nfile except in compliance with the License."
+    marked = lambda text, mark: "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+    files = [
+        ("a/x.py", marked("Copyright 2020 Someone\n\n" + gpl.format(c=":", d=",", v=3), "#") + "\n\nimport os"), ("b/x.c", "/*\n" + marked(gpl.format(c=";", d=";", v=2), " *") + "\n */\nint x;"), ("c/x.js", marked(mit, "//")),
+        ("d/COPYING", "MIT License\n\nCopyright (c) 2020\n\n" + mit), ("d/e.js", "x"), ("e/x.go", marked(bsd, "//")), ("f/x.java", "/*\n" + marked(apache, " *") + "\n */"),
+        ("g/x.rs", "// Copyright 2020 Someone\n// SPDX-License-Identifier: MIT\nfn main() {}"), ("h/x.rs", "/* SPDX-License-Identifier: GPL-3.0-or-later */"), ("i/x.rs", "// SPDX-License-Identifier: Zlib"), ("j/x.txt", "The program is free and the terms of use are as published by the office.\n\nAny person may copy this."),
+    ]
+    by = {r.path: (r.license, r.method) for r in L.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert by["a/x.py"] == ("GPL-3.0", "header") and by["b/x.c"] == ("GPL-2.0", "header") and by["c/x.js"] == ("MIT", "header")
+    assert by["d/COPYING"] == ("MIT", "file") and by["d/e.js"] == ("MIT", "inherited")
+    assert by["e/x.go"] == ("BSD-3-Clause", "header") and by["f/x.java"] == ("Apache-2.0", "header")
+    assert by["g/x.rs"] == ("MIT", "header") and by["h/x.rs"] == ("GPL-3.0", "header")
+    assert by["i/x.rs"] == by["j/x.txt"] == (None, "none")
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, words):
     rng, bad = random.Random(7), ["vileword", "nastyterm", "uglything"]
