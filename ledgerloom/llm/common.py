@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -9,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: 1 for the six ASCII white-space bytes that end a word: [\x20\x09-\x0D].
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -79,16 +83,138 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over each Arrow batch; one that gives None adds no rows."""
+#: What this worker keeps between tasks of one operator: models and caches.
+_KEPT: dict[str, object] = {}
+_OWNER: list[str] = [""]
+
+
+def give_back() -> None:
+    """Returns the memory that Python and Arrow no longer use to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(owner: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """fn as a task that leaves little behind: workers serve many queries one after another, so
+    what another operator has kept goes before the task, and free memory is given back after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _OWNER[0] != owner:
+            _KEPT.clear()
+            _OWNER[0] = owner
+            give_back()
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def kept(key: str, make: Callable[[], object], slot: str = "") -> object:
+    """What make gives, once for each key; another key takes the place of the last one of its slot."""
+    if _KEPT.get(slot + "/key") != key:
+        _KEPT.pop(slot, None)
+        _KEPT[slot] = make()
+        _KEPT[slot + "/key"] = key
+    return _KEPT[slot]
+
+
+def loaded(key: str, sent, make: Callable[[object], object], slot: str = "") -> object:
+    """What make gives for a broadcast value, kept as above; the value as sent is not kept beside it."""
+
+    def build() -> object:
+        out = make(sent.value)
+        sent.__dict__.pop("_value", None)
+        return out
+
+    return kept(key, build, slot)
+
+
+#: Bytes of text that a task works on at a time, unless a single text is longer.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of `rows` rows and `most` bytes of the column at most, but a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(max(int(np.searchsorted(ends, before + most, "right")), at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """name, or a longer one that no column has, whatever its case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def with_struct(docs: DataFrame, owner: str, text_col: str, into: str, kind: T.StructType, fn: Callable[[list[bytes]], list[pa.Array]], most: int = SLICE_BYTES) -> DataFrame:
+    """All columns of docs as they are, and the struct `into` of what fn gives for the texts (null
+    is the empty one). Rows stay where they are, so that no id is needed to bring the two together."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = docs[f"`{text_col}`"]
+    sent = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)), text.cast("string").alias("_text"))
+    at = sent.columns.index("_text")
+    own = T.StructType([f for f in sent.schema if f.name != "_text"] + [T.StructField("_out", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, most):
+                out = pa.StructArray.from_arrays(fn(as_bytes(part.column(at))), names=kind.fieldNames())
+                rest = [i for i in range(part.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), out], names=[*(part.schema.names[i] for i in rest), "_out"])
+
+    made = sent.mapInArrow(tidy(owner, run), own)
+    return made.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)), F.col("_out").alias(into))
+
+
+def key_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs as (doc_id long, text) with different ids for different rows, and the key table where
+    the ids had to be numbered: id, digest of the text, doc_id. That is so where they are no whole
+    numbers or where different texts share one; numbers follow the order of (id, digest)."""
+    from ..operators.order import with_rank
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    integral = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    plain = docs.select(F.col(id_col).alias("_id"), text.alias("text"))
+    digest = F.sha2(F.encode("text", "utf-8"), 256)
+    if integral:
+        shared = plain.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        if not shared:
+            return plain.select(F.col("_id").cast("long").alias("doc_id"), "text"), None
+    scratch = Scratch(docs.sparkSession, "keys")
+    pairs = scratch.save(plain.where("_id IS NOT NULL").select("_id", digest.alias("_digest")).distinct(), "pairs")
+    keys = scratch.save(with_rank(pairs, ["_id", "_digest"], "doc_id"), "keys")
+    named = plain.withColumn("_digest", digest).join(keys.withColumnsRenamed({"_id": "_i", "_digest": "_d"}), (F.col("_id") == F.col("_i")) & (F.col("_digest") == F.col("_d")), "left")
+    return named.select("doc_id", "text"), keys
+
+
+def map_batches(df: DataFrame, owner: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """fn over slices of each Arrow batch by its second column; one that gives None adds no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield out
+            for part in slices(batch, 1):
+                out = fn(part)
+                if out is not None:
+                    yield out
+
+    return df.mapInArrow(tidy(owner, run), schema)
+
 
-    return df.mapInArrow(run, schema)
+def text_bytes(rows: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts: sizes the buckets that depend on the input."""
+    return int(rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
 class WordHash(dict):

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -83,8 +84,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = C.WordHash()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # so few that their shingles stay in the processor's cache
-                part = batch.slice(at, 64)
+            for part in C.slices(batch, 1, 1 << 20, 64):  # so few that their shingles stay in the processor's cache
                 sets = shingle_sets(C.as_bytes(part.column(1)), width, known)
                 tokens = iter(C.signed(_signatures(sets)))
                 yield pa.RecordBatch.from_arrays(
@@ -97,7 +97,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_key", "tokens"],
                 )
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(C.tidy("neardup", run), SETS)
 
 
 class _Forest:
@@ -201,10 +201,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Words: runs of anything but ASCII blanks, A-Z in lower case. A text of fewer than
     `width` words is one shingle; an empty or null text has none and is linked with
     nothing, and neither is a row with a null id (its class and component are null).
-    Repeated rows get the same result each. Extra columns are not read.
+    Repeated rows get the same result each; ids must tell different texts apart (see
+    drop_duplicates). Of equally small ids there is none, so ties cannot arise. Very long texts
+    are compared whole. An empty table gives no rows. Extra columns are not read.
     """
     scratch = C.Scratch(docs.sparkSession, "neardup")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = _plain(docs, id_col, text_col)
     sets = scratch.save(set_table(rows, width), "sets")
     filled = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.save(filled.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def compare(members: DataFrame, name: str) -> None:
         """members: node, id. Adds the confirmed links of each node."""
         dealt = members.join(texts, "id").repartition("node").sortWithinPartitions("node").select("node", "id", "text")
-        edges.append(scratch.save(dealt.mapInArrow(lambda b: _node_links(b, width, percent), "a long, b long"), name))
+        edges.append(scratch.save(dealt.mapInArrow(C.tidy("neardup", lambda b: _node_links(b, width, percent)), "a long, b long"), name))
 
     def sub(*cols) -> F.Column:
         return F.xxhash64("node", *cols).alias("node")
@@ -275,6 +277,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return of_class.join(found.withColumnRenamed("v", "class_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers; drop_duplicates takes ids of any type")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, with all its columns, but of each group of near-duplicates only the row with the smallest id.
+
+    Where ids are no whole numbers, or different texts share one, rows are numbered by id and
+    digest of the text, and the number is what is compared; of rows equal in both, one stays.
+    Rows with a null id all stay. Options are those of near_duplicates.
+    """
+    scratch = C.Scratch(docs.sparkSession, "deduped")
+    rows, keys = C.key_rows(docs, id_col, text_col)
+    found = near_duplicates(rows, **options)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    named, rest = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    ids = scratch.save(found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct(), "kept")
+    if keys is None:
+        kept = named.join(ids, F.col(f"`{id_col}`").cast("long") == F.col("_key"), "left_semi").select(*own)
+    else:
+        mine = scratch.save(ids.join(keys, F.col("_key") == F.col("doc_id")).select(F.col("_id").alias("_i"), F.col("_digest").alias("_d")), "mine")
+        digest = F.sha2(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8"), 256)
+        mark = C.fresh(docs.columns, "_digest")
+        kept = named.withColumn(mark, digest).join(mine, (F.col(f"`{id_col}`") == F.col("_i")) & (F.col(mark) == F.col("_d")), "left_semi")
+        kept = kept.dropDuplicates([id_col, mark]).select(*own)
+    return kept.unionByName(rest)
+
+
 def op6_chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(C.table(spark, sf_dir, "documents"), width=4)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

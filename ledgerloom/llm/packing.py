@@ -2,14 +2,16 @@
 
 Partitions pack their own pieces best-fit, by decreasing length. Bins that are nearly
 full leave at once; underfull bins become items themselves, and a tree of fewer and
-fewer partitions packs those again, whole bins at a time, until one partition is left
-or the underfull bins are too many for fewer.
+fewer partitions packs those again, whole bins at a time, until one partition is left.
+Where the underfull bins are too many for one, further rounds deal them out anew until
+that no longer helps.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -61,7 +63,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: Texts with an added token go whole: the tokenizer looks for these before it cuts.
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).search if added else lambda text: None
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
@@ -90,7 +94,7 @@ class Encoder:
         if len(self.parts) > self.LIMIT:
             self.older, self.parts = self.parts, {}
         parts, older = self.parts, self.older
-        split = [None if _unsure(t) else t.split(" ") for t in texts]
+        split = [None if _unsure(t) or self.added(t) else t.split(" ") for t in texts]
         got = [None if s is None else list(map(parts.get, s)) for s in split]
         gaps = [[i for i, x in enumerate(g) if x is None] if g and None in g else () for g in got]
         unknown = {s[i] for s, own in zip(split, gaps) for i in own}
@@ -117,24 +121,20 @@ class Encoder:
         return [next(odd) if g is None else b"".join(g) for g in got]
 
 
-@functools.lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
     A document is its ids and then `end_id`; one longer than `capacity` is cut into pieces
-    of `capacity`, of which the first may be shorter. Null and empty texts are the end
-    alone. Repeated rows give repeated pieces.
+    of `capacity`, of which the first may be shorter. Ids are those of the tokenizer with
+    add_special_tokens=False: an added token that a text spells out is that token. Null and
+    empty texts are the end alone. Repeated rows give repeated pieces. Very long texts are
+    encoded whole. Extra columns are not read; an empty table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, end = C.kept(tokenizer_path, lambda: Encoder(tokenizer_path)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in C.slices(batch, 1, rows=500):
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
                 for d, got in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
                     got += end
@@ -155,7 +155,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_
                     cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(C.tidy("packing", run), PIECE + ", ids array<int>" * with_ids)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,8 +227,9 @@ def _gather(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
 def best_fit_pack(pieces: DataFrame, *, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, fan_in: int = FAN_IN, root_bins: int = ROOT_BINS) -> DataFrame:
     """Sequences for pieces (doc_id, piece, start, length, ids_crc32; 1 <= length <= capacity).
 
-    Adds sequence_id and offset; the pieces of a sequence lie without gaps from 0. Each
-    level is written to the shared folder before the next reads it, so that a lost
+    Adds sequence_id and offset; the pieces of a sequence lie without gaps from 0. Pieces of one
+    length go in the order in which a task reads them; of bins with equal room, the last one
+    opened is filled first. Other columns of pieces are not read. Each level is written to the shared folder before the next reads it, so that a lost
     executor cannot change a packing that others have used. No rows give no rows.
     """
     spark = pieces.sparkSession
@@ -236,20 +237,22 @@ def best_fit_pack(pieces: DataFrame, *, capacity: int = CAPACITY, nearly_full: i
     members = F.array(F.struct(*(F.col(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), F.lit(0).cast("long").alias("offset")))
     items = pieces.select(F.col("length").cast("int").alias("filled"), members.alias("members"))
     done: list[DataFrame] = []
-    parts, level = 0, 0
+    parts, level, was = 0, 0, 0
     while True:
-        packed = scratch.save(items.mapInArrow(lambda b, level=level: _bins_of(_gather(b, root_bins), level, capacity), BINS), f"level{level}")
+        packed = scratch.save(items.mapInArrow(C.tidy("packing", lambda b, level=level: _bins_of(_gather(b, root_bins), level, capacity)), BINS), f"level{level}")
         last = parts == 1
         left = packed.where(F.col("filled") < capacity - nearly_full)
         n = 0 if last else left.count()
         before = parts or packed.rdd.getNumPartitions()
         parts = max(1, -(-before // fan_in), -(-n // root_bins))
-        if last or not n or (level and parts >= before):
+        # Where the underfull bins are too many for fewer tasks, they are dealt anew and meet others,
+        # as long as that spares one sequence in a thousand.
+        if last or not n or (level and parts >= before and n > 0.999 * was):
             done.append(packed)
             break
         done.append(packed.where(F.col("filled") >= capacity - nearly_full))
         items = left.select("filled", "members").repartition(parts)
-        level += 1
+        was, level = n, level + 1
     out = functools.reduce(DataFrame.unionByName, done)
     return out.select(F.col("bin").alias("sequence_id"), F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
 

@@ -214,29 +214,39 @@ def _count(number: int) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind_no"] == number)).cast("long")
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per row of docs: doc_id, text, the columns to carry, and spans, an array of (start,
-    kind_no, end, kind), sorted.
+def mark_secrets(docs: DataFrame, into: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs, whatever their names, and `into`: spans, an array of (start, kind_no,
+    end, kind), sorted.
 
     Matches are leftmost and do not overlap within a kind; places are code points, the end
-    exclusive. Null and empty texts have no spans. Repeated rows and ids give a row each
-    (rows of one id share their candidate rules, which verifying makes right); null ids
-    keep theirs. Extra columns are not read. The candidates are written first, so Spark
-    knows their size: few are broadcast, more are joined by a shuffle on the id.
+    exclusive; spans that begin at one place go in the order of the rules. Null and empty
+    texts have no spans; very long ones are scanned whole. Ids of any type only find a row's
+    candidate rules: rows of one id share them, which verifying makes right, and every rule is
+    verified on rows with a null id. An empty table gives no rows. The candidates are written first, so
+    that Spark knows their size: few are broadcast, more are joined by a shuffle on the id.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(carry or ()))
     scratch = C.Scratch(docs.sparkSession, "secrets")
-    found = scratch.save(candidates(postings(rows, rules), rules).select(F.col("doc_id").alias("_found_id"), F.col("rules").alias("_rules")), "candidates")
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_found_id")), "left")
+    found = candidates(postings(docs.where(F.col(id_col).isNotNull()), rules, id_col=id_col, text_col=text_col), rules)
+    found = scratch.save(found.select(F.col("doc_id").alias("_found_id"), F.col("rules").alias("_rules")), "candidates")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)), docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
+    joined = rows.join(found, F.col("_id") == F.col("_found_id"), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     spans = []
     for i, rule in enumerate(rules):
-        full = trigram_query(rule.pattern) is ALL
-        ask = F.col("text").rlike(rule.pattern)
-        ask = ask if full else F.coalesce(F.array_contains("_rules", i), F.lit(False)) & ask
-        own = F.when(ask, _verified(F.col("text"), rule)).otherwise(none)
+        ask = F.col("_text").rlike(rule.pattern)
+        if trigram_query(rule.pattern) is not ALL:
+            ask = (F.col("_id").isNull() | F.coalesce(F.array_contains("_rules", i), F.lit(False))) & ask
+        own = F.when(ask, _verified(F.col("_text"), rule)).otherwise(none)
         spans.append(_named(own, i, rule.kind))
-    return joined.select("doc_id", "text", *(carry or ()), F.array_sort(F.concat(*spans)).alias("spans"))
+    return joined.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)), F.array_sort(F.concat(*spans)).alias(into))
+
+
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id (as it is), text (null: empty) and spans; see mark_secrets. Extra
+    columns are not read."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return mark_secrets(own, "spans", rules)
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

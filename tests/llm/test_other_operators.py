@@ -93,9 +93,12 @@ def labelled(spark, words):
 def test_toxicity_held_out(spark, labelled):
     rows, labels = labelled
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows] + [(None, None, 1), (900, "", 1)], "doc_id long, text string, score int")
-    got = T.score_toxicity(docs, spark.createDataFrame(labels + [(0, None), (5000, 1)], "doc_id long, toxic int"))
-    assert got.columns == ["doc_id", "text", "held_out", "score", "predicted"]
+    labels = spark.createDataFrame(labels + [(0, None), (5000, 1)], "doc_id long, toxic int")
+    got = T.score_toxicity(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
     own = {r.doc_id: r for r in got.collect()}
+    marked = T.mark_toxicity(docs, labels, "found")
+    assert marked.columns == ["doc_id", "text", "score", "found"] and {r.score for r in marked.collect()} == {1, 5}
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in own.values())
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(own[i].held_out == (i in held) for i, _ in rows)
@@ -113,6 +116,27 @@ def test_labels_of_held_out_rows_are_not_learnt_from(spark, labelled):
     assert scores[0] == scores[1]
 
 
+def test_labels_of_zero_are_not_learnt_from(spark, labelled):
+    """Nothing but the confirmed labels is read: zeros may be lacking, null or anything else."""
+    rows, labels = labelled
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for put in ((lambda y: y), (lambda y: y or None), (lambda y: y or 7)):
+        scores.append({r.doc_id: r.score for r in T.score_toxicity(docs, spark.createDataFrame([(i, put(y)) for i, y in labels], "doc_id long, toxic int")).collect()})
+    scores.append({r.doc_id: r.score for r in T.score_toxicity(docs, spark.createDataFrame([x for x in labels if x[1]], "doc_id long, toxic int")).collect()})
+    assert all(x == scores[0] for x in scores)
+
+
+def test_prior_is_estimated(words):
+    rng = random.Random(3)
+    np_hash = lambda ws: __import__("numpy").unique(__import__("numpy").array([zlib.crc32(w.encode()) for w in ws], "uint32"))
+    bad = [f"bad{k}" for k in range(12)]
+    text = lambda toxic: np_hash(rng.choices(words, k=40) + rng.sample(bad, 3) * toxic)
+    for share in (0.05, 0.2, 0.4):
+        p, u = [text(1) for _ in range(300)], [text(rng.random() < share) for _ in range(2000)]
+        assert abs(T.estimate_prior(p, u) - share) < 0.25 * share + 0.01
+
+
 def test_toxicity_without_labels(spark, labelled):
     docs = spark.createDataFrame(labelled[0][:5], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -144,6 +168,31 @@ def test_pipeline(spark, labelled, words, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept["secrets"])
 
 
+def test_stages_keep_clashing_columns_and_odd_ids(spark, labelled, tmp_path):
+    """Columns named like those of the operators, ids that are texts, and a text of over a megabyte."""
+    rows = [(f"id{i}", t) for i, t in labelled[0][:300]]
+    long = " ".join(f"w{i}" for i in range(160_000)) + ' token = "0123456789abcdef0123"'
+    rows += [("a", rows[1][1]), ("z", rows[1][1] + " more"), ("a", "other words under the same id"), ("a", "other words under the same id"), ("long", long), ("long2", long + " end"), (None, rows[2][1]), ("e", ""), ("n", None)]
+    clash = ["score", "predicted", "held_out", "spans", "hits", "toxicity", "n_hit", "kept", "component_id", "_key", "_digest", "_text", "_c0", "a.b"]
+    docs = spark.createDataFrame([(i, t, *(f"{c}{k}" for c in clash)) for k, (i, t) in enumerate(rows)], "doc_id string, text string, " + ", ".join(f"`{c}` string" for c in clash))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(f"id{i}", 1, y) for i, y in labelled[1]], "doc_id string, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(rows[3][1].split()[:12]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, kept = C.table(spark, str(tmp_path), "documents"), {}
+    before = {tuple(r)[2:]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        now = C.Scratch(spark, "test").save(out, name)
+        kept[name] = now.collect()
+        assert all(tuple(r)[2:] in before and before[tuple(r)[2:]].doc_id == r.doc_id for r in kept[name])
+    ids = {k: [r.doc_id for r in v] for k, v in kept.items()}
+    assert not any(i == f"id{k}" and k % 6 == 0 for i in ids["toxicity"] for k in range(300)) and {"long", "e", "n", None} <= set(ids["toxicity"])
+    assert ids["near_dedup"].count("a") == 2 and {"long", None, "e", "n"} <= set(ids["near_dedup"]) and not {"z", "id1", "long2"} & set(ids["near_dedup"])
+    assert "id3" in ids["near_dedup"] and "id3" not in ids["decontaminate"]
+    assert next(r.text for r in kept["secrets"] if r.doc_id == "long").endswith(" [SECRET]\"")
+
+
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

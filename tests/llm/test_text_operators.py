@@ -142,14 +142,22 @@ def test_language_model_of_nothing(empty, spark):
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def plain_ids(tok, text):
+    return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_encoder_is_the_tokenizer():
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    enc, rng = K.Encoder(public_tokenizers.path(TOKENIZER)), random.Random(2)
+    path = public_tokenizers.path(TOKENIZER)
+    enc, tok, rng = K.Encoder(path), Tokenizer.from_file(path), random.Random(2)
     enc.LIMIT = 60
+    parts = [*"aab  \n\t'sé1.,, Zß²　", "<|endoftext|>", "<|", "|>"]
     for _ in range(300):
-        texts = ["".join(rng.choices("aab  \n\t'sé1.,, Zß²　<|endoftext|>", k=rng.randint(0, 40))) for _ in range(5)]
-        assert enc.encode(texts) == enc.whole(texts)
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(5)]
+        assert enc.encode(texts) == [plain_ids(tok, t) for t in texts]
+    assert enc.encode(["hello <|endoftext|> world"]) == [plain_ids(tok, "hello <|endoftext|> world")]
 
 
 def test_best_fit():
@@ -172,12 +180,14 @@ def test_pack(docs, corpus, root_bins):
     pieces = K.tokenize_pieces(clash(docs), path, capacity=64, with_ids=True).cache()
     packed = K.best_fit_pack(pieces.repartition(9), capacity=64, nearly_full=2, fan_in=2, root_bins=root_bins)
     rows = packed.collect()
-    enc = K.Encoder(path)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
     own = collections.defaultdict(list)
     for r in rows:
         own[r.doc_id].append(r)
     for i, text in corpus:
-        ids = [*np.frombuffer(enc.whole([text or ""])[0], "<u4"), 0]
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
         at = 0
         for k, r in enumerate(sorted(own[i], key=lambda r: r.piece)):
             assert (r.piece, r.start) == (k, at) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
@@ -199,6 +209,15 @@ def test_pack(docs, corpus, root_bins):
         assert sum(map(len, made.values())) == sum(r.length for r in rows)
 
 
+def test_roots_that_cannot_become_one_are_dealt_anew(spark):
+    """Many small roots: further rounds come close to one root."""
+    rng = random.Random(6)
+    rows = [(i, 0, 0, rng.randint(20, 60), 0) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(24)
+    n = {b: K.best_fit_pack(pieces, capacity=100, nearly_full=1, root_bins=b).select("sequence_id").distinct().count() for b in (400_000, 60)}
+    assert n[60] <= 1.03 * n[400_000]
+
+
 def test_pack_nothing(empty):
     import public_tokenizers
 
