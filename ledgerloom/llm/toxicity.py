@@ -96,13 +96,15 @@ class _Texts:
 
 
 def vocabulary_of(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z) -> np.ndarray:
-    """The features (sorted hashes) whose shares of P and of U differ for certain."""
+    """The features (sorted hashes) whose shares of P and of U differ for certain; in a sample too
+    small for certainty, those that differ most."""
     words, n = np.unique(np.concatenate(positive + unlabelled), return_counts=True)
     in_p = np.bincount(np.searchsorted(words, np.concatenate(positive)), minlength=len(words))
     share = n / (len(positive) + len(unlabelled))
     spread = np.sqrt(np.maximum(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)), 1e-12))
     apart = in_p / len(positive) - (n - in_p) / len(unlabelled)
-    return words[(n >= least_texts) & (np.abs(apart) >= least_z * spread)]
+    certain = np.where(n >= least_texts, np.abs(apart) / spread, 0.0)
+    return words[certain >= min(least_z, max(certain.max(initial=0.0) / 2, 1.0))]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,7 +140,7 @@ def fit(p: _Texts, u: _Texts, d: int, prior: float | None, *, epochs: int, batch
                     gp, gu = -gp_neg, -gu
                 else:
                     gp = gp_pos + gp_neg
-            g = np.bincount(fp, gp[rp], d + 1) + np.bincount(fu, gu[ru], d + 1)
+            g = np.bincount(fp, gp[rp], d + 1).astype(float) + np.bincount(fu, gu[ru], d + 1)
             g[d] = gp.sum() + gu.sum()
             g[:d] += decay * w[:d]
             step += 1
