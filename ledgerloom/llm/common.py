@@ -179,24 +179,57 @@ def with_struct(docs: DataFrame, owner: str, text_col: str, into: str, kind: T.S
 
 
 def key_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """docs as (doc_id long, text) with different ids for different rows, and the key table where
-    the ids had to be numbered: id, digest of the text, doc_id. That is so where they are no whole
-    numbers or where different texts share one; numbers follow the order of (id, digest)."""
+    """docs as (doc_id long, text) with one row for each id, and the key table where the ids had to
+    be numbered: _id, _digest of the text, doc_id, and n, the number of its rows. That is so where
+    they are no whole numbers or where rows share one; numbers follow the order of (id,
+    digest). Rows with a null id all stay."""
     from ..operators.order import with_rank
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    integral = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    plain = docs.select(F.col(id_col).alias("_id"), text.alias("text"))
-    digest = F.sha2(F.encode("text", "utf-8"), 256)
-    if integral:
+    plain = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
         shared = plain.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
         if not shared:
             return plain.select(F.col("_id").cast("long").alias("doc_id"), "text"), None
     scratch = Scratch(docs.sparkSession, "keys")
-    pairs = scratch.save(plain.where("_id IS NOT NULL").select("_id", digest.alias("_digest")).distinct(), "pairs")
+    named = plain.withColumn("_digest", F.sha2(F.encode("text", "utf-8"), 256))
+    pairs = scratch.save(named.where("_id IS NOT NULL").groupBy("_id", "_digest").agg(F.count("*").alias("n")), "pairs")
     keys = scratch.save(with_rank(pairs, ["_id", "_digest"], "doc_id"), "keys")
-    named = plain.withColumn("_digest", digest).join(keys.withColumnsRenamed({"_id": "_i", "_digest": "_d"}), (F.col("_id") == F.col("_i")) & (F.col("_digest") == F.col("_d")), "left")
-    return named.select("doc_id", "text"), keys
+    once = named.where("_id IS NOT NULL").dropDuplicates(["_id", "_digest"]).join(keys, ["_id", "_digest"]).select("doc_id", "text")
+    return once.unionByName(plain.where("_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text")), keys
+
+
+#: Bits of a sieve: its size is fixed, whatever the number of ids.
+SIEVE_BITS = 1 << 25
+
+
+def sieve_of(ids: DataFrame):
+    """A broadcast bitmap (4 MB) of hashes of the one column of ids: rows that it lacks have none of
+    them, so that only the others need a join. With many more ids than bits it lets all pass."""
+    at = F.pmod(F.xxhash64(ids.columns[0]), F.lit(SIEVE_BITS))
+    words = ids.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got, table = words.toArrow(), np.zeros(SIEVE_BITS // 64, np.int64)  # as many rows as the bitmap has words, at most
+    table[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def sifted(table: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    """Which of the hashes (xxhash64 of an id; null is none) the sieve may have."""
+    at = np.mod(pc.fill_null(hashes, 0).to_numpy(zero_copy_only=False), SIEVE_BITS)
+    return hashes.is_valid().to_numpy(zero_copy_only=False) & ((table[at >> 6] >> (at & 63) & 1) != 0)
+
+
+def may_hold(sieve, id_col: Column) -> Column:
+    """Whether a row's id may be one of the sieve's. Only the hash of the id goes to Python."""
+    look = F.arrow_udf(lambda h: pa.array(sifted(sieve.value, h)), "boolean")
+    return look(F.when(id_col.isNotNull(), F.xxhash64(id_col)))
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> Column:
+    """The ids as longs, where they are compared as numbers; ids of other types are an error, as a
+    cast would lose them."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
+    return F.col(id_col).cast("long").alias("doc_id")
 
 
 def map_batches(df: DataFrame, owner: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -222,8 +255,11 @@ class WordHash(dict):
 
     LIMIT = 250_000
 
+    def __init__(self, seed: int = 0):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(self) < self.LIMIT:
             self[word] = value
         return value

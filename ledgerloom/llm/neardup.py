@@ -8,6 +8,7 @@ sets. A large node is first dealt into blocks that share some pivots, which join
 a crowd of copies; then what lies outside its largest component is compared with all its
 members, or, where that is much, the node branches again on other tokens. Nodes that are
 still large at the last level are compared block by block, all blocks with all.
+Only texts that some node holds are dealt out, compressed.
 Components need no more than a spanning forest of confirmed links, so members of one
 component are not compared again and no crowd of copies is expanded into pairs.
 """
@@ -20,9 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
@@ -139,25 +140,25 @@ def links_within(ids: list[int], sets: list[np.ndarray], percent: int) -> list[t
 
 
 def _node_links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, id, text), sorted by node, to links (a < b)."""
-    known, node, held = C.WordHash(), None, {}
+    """Rows (node, id, compressed text), sorted by node, to links (a < b)."""
+    known, large, node, held = C.WordHash(), zstandard.ZstdDecompressor(), None, {}
 
     def close() -> pa.RecordBatch | None:
         if len(held) < 2:
             return None
-        found = links_within(list(held), shingle_sets(list(held.values()), width, known), percent)
+        sets = [s for z in held.values() for s in shingle_sets([large.decompress(z)], width, known)]
+        found = links_within(list(held), sets, percent)
         a, b = ([f(x) for x in found] for f in (min, max))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if found else None
 
     for batch in batches:
-        texts = batch.column(2).cast(pa.binary())
-        for i, (k, d) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        for k, d, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if k != node:
                 out = close()
                 if out is not None:
                     yield out
                 node, held = k, {}
-            held[d] = texts[i].as_py()
+            held[d] = z.as_py()
     out = close()
     if out is not None:
         yield out
@@ -206,19 +207,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are compared whole. An empty table gives no rows. Extra columns are not read.
     """
     scratch = C.Scratch(docs.sparkSession, "neardup")
-    rows = _plain(docs, id_col, text_col)
+    rows = docs.select(C.whole_ids(docs, id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = scratch.save(set_table(rows, width), "sets")
     filled = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.save(filled.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
     classed = filled.join(classes, "set_key")
     weight = (1 + F.col("n_shingles") / PER_SHINGLES).cast("int").alias("weight")
     reps = scratch.save(classed.where("doc_id = class_id").select(F.col("doc_id").alias("id"), weight, "tokens").dropDuplicates(["id"]), "reps")
-    texts = rows.select(F.col("doc_id").alias("id"), "text")
     edges: list[DataFrame] = []
 
+    def texts_of(members: DataFrame) -> DataFrame:
+        """id and z, the compressed text, of the ids that members may hold: the others need no shuffle."""
+        sieve = C.sieve_of(members.select("id"))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            small = zstandard.ZstdCompressor(level=3)
+            for batch in batches:
+                batch = batch.filter(pa.array(C.sifted(sieve.value, batch.column(2))))
+                for part in C.slices(batch, 1):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([small.compress(t) for t in C.as_bytes(part.column(1))], pa.binary())], names=["id", "z"])
+
+        return rows.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(C.tidy("neardup", pack), "id long, z binary")
+
     def compare(members: DataFrame, name: str) -> None:
         """members: node, id. Adds the confirmed links of each node."""
-        dealt = members.join(texts, "id").repartition("node").sortWithinPartitions("node").select("node", "id", "text")
+        members = scratch.save(members, f"{name}_members")
+        dealt = members.hint("shuffle_hash").join(texts_of(members), "id").repartition("node").sortWithinPartitions("node").select("node", "id", "z")
         edges.append(scratch.save(dealt.mapInArrow(C.tidy("neardup", lambda b: _node_links(b, width, percent)), "a long, b long"), name))
 
     def sub(*cols) -> F.Column:
@@ -277,12 +291,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return of_class.join(found.withColumnRenamed("v", "class_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
-def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
-        raise TypeError(f"{id_col} must hold whole numbers; drop_duplicates takes ids of any type")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, with all its columns, but of each group of near-duplicates only the row with the smallest id.
 
@@ -293,18 +301,20 @@ def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = C.Scratch(docs.sparkSession, "deduped")
     rows, keys = C.key_rows(docs, id_col, text_col)
     found = near_duplicates(rows, **options)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    named, rest = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
-    ids = scratch.save(found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct(), "kept")
+    own, row_id = [F.col(f"`{c}`") for c in docs.columns], F.col(f"`{id_col}`")
+    gone = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_key")).distinct(), "gone")
     if keys is None:
-        kept = named.join(ids, F.col(f"`{id_col}`").cast("long") == F.col("_key"), "left_semi").select(*own)
-    else:
-        mine = scratch.save(ids.join(keys, F.col("_key") == F.col("doc_id")).select(F.col("_id").alias("_i"), F.col("_digest").alias("_d")), "mine")
-        digest = F.sha2(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8"), 256)
-        mark = C.fresh(docs.columns, "_digest")
-        kept = named.withColumn(mark, digest).join(mine, (F.col(f"`{id_col}`") == F.col("_i")) & (F.col(mark) == F.col("_d")), "left_semi")
-        kept = kept.dropDuplicates([id_col, mark]).select(*own)
-    return kept.unionByName(rest)
+        # Most rows are in no group: only those whose id the sieve of the dropped ones may hold are joined.
+        may = C.may_hold(C.sieve_of(gone), row_id.cast("long"))
+        mark = C.fresh(docs.columns, "_may")
+        marked = docs.withColumn(mark, F.coalesce(may, F.lit(False)))
+        left = marked.where(F.col(mark)).join(gone.hint("shuffle_hash"), row_id.cast("long") == F.col("_key"), "left_anti")
+        return marked.where(~F.col(mark)).select(*own).unionByName(left.select(*own))
+    gone = scratch.save(gone.join(keys, F.col("_key") == F.col("doc_id")).select(F.col("_id").alias("_i"), F.col("_digest").alias("_d")), "gone_rows")
+    mark = C.fresh(docs.columns, "_digest")
+    named = docs.where(row_id.isNotNull()).withColumn(mark, F.sha2(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "utf-8"), 256))
+    kept = named.join(gone, (row_id == F.col("_i")) & (F.col(mark) == F.col("_d")), "left_anti").dropDuplicates([id_col, mark])
+    return kept.select(*own).unionByName(docs.where(row_id.isNull()))
 
 
 def op6_chosen_path_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,26 @@
 """Language-model scores with a log-frequency Bloom filter.
 
-The filter holds, for each word pair with its count quantised to a power of two, one event
-for each power up to that count; a count is read back by probing the pair at power 0, 1, 2
-and so on until a probe fails. Pairs are gathered by their first word, in buckets that are
-ranges of its hash; a bucket has the exact counts of its words (a sorted hash array), the
-probability mass that its pairs take, and its own part of the filter. Buckets go to the
-workers in shards of bounded size, which a worker goes through one at a time: a model that
-fits one shard stays loaded, a larger one costs more passes over a batch, not more memory.
+The filter holds, for each word pair with its count quantised to the steps 1, 2, 3, 4, 6, 9 and
+so on (each half as large again), one event for each step up to that count; a count is read back
+by probing the pair for step after step until a probe fails. With q the step that a count is read
+back as, c(v) the count of v, and D a discount, the model is
+
+    P(w | v) = (q(v w) - D) / c(v) + left(v) * P(w),    P(w) = (c(w) + 1) / (N + V + 1).
+
+left(v) is what the quantised counts of v's pairs leave of 1, so the probabilities of all next
+words add up to 1 (but for false events). All pairs are in the filter, those seen once with one event.
+
+Pairs are dealt into cells by their first word and, so that no frequent word fills one, by the
+pair itself; a cell has its own part of the filter, and tells what its pairs take from each first
+word. Word counts are sorted hash arrays. There are so many cells that each stands for
+CELL_BYTES of text, whatever the input. Cells and words go to the workers in shards of bounded
+size, which a worker goes through one at a time: a model that fits one shard stays
+loaded, a larger one costs more passes over a batch, not more memory.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -22,22 +32,46 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bytes of model that a worker holds at a time.
-SHARD_BYTES = 96 << 20
-#: Pairs seen less often are left to the smaller model, unless the caller says otherwise (the query
-#: keeps all); taken off each count of a pair.
-LEAST_PAIR, DISCOUNT = 2, 0.5
-#: Probes for an event, and bits of filter for each event (a false event in 250).
+#: Bytes of the filter, and of the words, that a worker holds at a time.
+SHARD_BYTES = 64 << 20
+#: Bytes of training text for each cell.
+CELL_BYTES = 16 << 20
+#: Bytes of text that are scored at a time; the second where each shard is loaded anew for them.
+SCORED_BYTES, SCORED_BYTES_SHARDED = 4 << 20, 24 << 20
+#: Taken off each pair's count.
+DISCOUNT = 0.5
+#: Probes for an event, and bits of filter for each event (a false event in 300).
 PROBES, BITS = 8, 12
-#: What each power of two stands for: counts from 2^j to below 2^(j+1), mostly near the lower end.
-MIDDLE = 1.25
+
+
+def _steps(ratio: float = 1.5) -> np.ndarray:
+    out = [1]
+    while out[-1] < 2**61:
+        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
+    return np.array(out, np.int64)
+
+
+#: What counts are quantised to, downwards.
+STEPS = _steps()
 
 END = np.uint64(0xD6E8FEB86659FD93)  # the token that ends a text; no word's hash is set to it
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of the hash, so that buckets in order hold sorted hashes."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+class Layout:
+    """Groups are ranges of a word's hash, so that groups in order hold sorted hashes; each has as
+    many cells as salts."""
+
+    def __init__(self, text_bytes: int, cell_bytes: int):
+        cells = max(32, -(-text_bytes // cell_bytes))
+        self.salts = max(2, math.isqrt(cells) // 2)
+        self.groups = -(-cells // self.salts)
+        self.cells = self.groups * self.salts
+
+    def group(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(self.groups) >> np.uint64(32)).astype(np.int64)
+
+    def cell(self, before: np.ndarray, names: np.ndarray) -> np.ndarray:
+        return self.group(before) * self.salts + (names % np.uint64(self.salts)).astype(np.int64)
 
 
 def tokens_of(texts: list[bytes], known: C.WordHash) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +94,7 @@ def pairs_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """Counts added up by key; sorted by the last key, within that by the one before."""
-    order = np.lexsort(keys)
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
     keys = tuple(k[order] for k in keys)
     if not len(order):
         return keys, counts
@@ -80,33 +114,41 @@ def _arrays(data: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-COUNTS = "bucket int, n_words long, words binary, n_pairs long, pairs binary"
-MODEL = "bucket int, tokens long, types long, words binary, bits binary, n_bits long"
+#: part: a cell, or from `cells` on a group of words.
+COUNTS = "part int, n long, data binary"
+#: kind 0: a cell's part of the filter; 1: what a cell's pairs take from words of a group; 2: counts of words.
+PARTS = "kind int, at int, n long, bits long, data binary"
+WORDS = "at int, tokens long, types long, data binary"
 #: Tokens that a task gathers before it adds up and sends their counts.
 GATHER = 1_500_000
 
 
-def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
-    """Counts of words and pairs, added up within each task: a row per bucket and task."""
+def _rows(rows: list[tuple], schema: str, kinds: tuple) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in schema.split(", ")]
+    for at in range(0, len(rows), 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 16]), kinds)], names=names)
+
+
+def count_ngrams(texts: DataFrame, layout: Layout) -> DataFrame:
+    """Counts of words and pairs, added up within each task: a row per cell or group and task."""
 
     def send(tokens: np.ndarray, before: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
         (words,), n_words = _summed((tokens,), np.ones(len(tokens), np.int64))
         (pairs, firsts), n_pairs = _summed((names, before), np.ones(len(names), np.int64))
-        word_at = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1))
-        pair_at = np.searchsorted(bucket_of(firsts, buckets), np.arange(buckets + 1))
-        rows = []
-        for k in range(buckets):
-            a, b, c, d = word_at[k], word_at[k + 1], pair_at[k], pair_at[k + 1]
-            if a < b or c < d:
-                rows.append((k, int(b - a), _blob(words[a:b], n_words[a:b]), int(d - c), pairs[c:d].tobytes() + _blob(firsts[c:d], n_pairs[c:d])))
-        for at in range(0, len(rows), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 16]), (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["bucket", "n_words", "words", "n_pairs", "pairs"])
+        cell = layout.cell(firsts, pairs)
+        order = np.argsort(cell, kind="stable")
+        pairs, firsts, n_pairs = pairs[order], firsts[order], n_pairs[order]
+        pair_at = np.searchsorted(cell[order], np.arange(layout.cells + 1))
+        word_at = np.searchsorted(layout.group(words), np.arange(layout.groups + 1))
+        rows = [(k, int(b - a), pairs[a:b].tobytes() + _blob(firsts[a:b], n_pairs[a:b])) for k, (a, b) in enumerate(zip(pair_at, pair_at[1:])) if a < b]
+        rows += [(layout.cells + k, int(b - a), _blob(words[a:b], n_words[a:b])) for k, (a, b) in enumerate(zip(word_at, word_at[1:])) if a < b]
+        yield from _rows(rows, COUNTS, (pa.int32(), pa.int64(), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, n = C.WordHash(), [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                tokens, _ = tokens_of(C.as_bytes(batch.column(0).slice(at, 1000)), known)
+            for part in C.slices(batch, 0):
+                tokens, _ = tokens_of(C.as_bytes(part.column(0)), known)
                 held.append((tokens, *pairs_of(tokens)))
                 n += len(tokens)
                 if n >= GATHER:
@@ -115,197 +157,211 @@ def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
         if n:
             yield from send(*(np.concatenate(x) for x in zip(*held)))
 
-    return texts.mapInArrow(run, COUNTS)
-
-
-def _probe_bits(names: np.ndarray, power: np.ndarray | int, n_bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """The filter's bits for the events (name, power), one probe after another."""
-    a = C.mix64(names + np.asarray(power).astype(np.uint64) * np.uint64(C.GOLDEN))
-    b = C.mix64(a ^ np.uint64(C.MIX_B)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (a + np.uint64(i) * b) % np.asarray(n_bits).astype(np.uint64)
+    return texts.mapInArrow(C.tidy("lm", run), COUNTS)
 
 
-def _lowest_power(least_pair: int) -> int:
-    """The power of the first event of each pair that is kept."""
-    return max(0, least_pair.bit_length() - 1)
+def _hashes(names: np.ndarray, step: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    a = C.mix64(names + np.asarray(step).astype(np.uint64) * np.uint64(C.GOLDEN))
+    return a, C.mix64(a ^ np.uint64(C.MIX_B)) | np.uint64(1)
 
 
-def _bucket_model(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, firsts: np.ndarray, n_pairs: np.ndarray, least_pair: int = LEAST_PAIR) -> tuple[np.ndarray, np.ndarray, int]:
-    """The mass that the pairs of each word take (in 255ths), and the bucket's filter."""
-    kept = n_pairs >= least_pair
-    pairs, firsts, n_pairs = pairs[kept], firsts[kept], n_pairs[kept]
-    mass = np.zeros(len(words))
-    np.add.at(mass, np.searchsorted(words, firsts), n_pairs - DISCOUNT)
-    mass = np.minimum(254, np.ceil(255 * mass / np.maximum(counts, 1))).astype(np.uint8)
-    low = _lowest_power(least_pair)
-    powers = np.floor(np.log2(n_pairs)).astype(np.int64) - low + 1
-    names = np.repeat(pairs, powers)
-    power = np.arange(len(names)) - np.repeat(np.cumsum(powers) - powers, powers) + low
+def cell_filter(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """What each pair's count is read back as, and the cell's filter with its number of bits."""
+    steps = np.searchsorted(STEPS, counts, "right")
+    names = np.repeat(pairs, steps)
+    step = np.arange(len(names)) - np.repeat(np.cumsum(steps) - steps, steps)
     n_bits = max(64, -(-len(names) * BITS // 64) * 64)
     bits = np.zeros(n_bits, bool)
-    for at in _probe_bits(names, power, n_bits):
-        bits[at.astype(np.int64)] = True
-    return mass, np.packbits(bits, bitorder="little"), n_bits
-
-
-def _build(batches: Iterator[pa.RecordBatch], least_pair: int = LEAST_PAIR) -> Iterator[pa.RecordBatch]:
-    """Rows of count_ngrams, sorted by bucket, to the buckets of the model."""
+    a, b = _hashes(names, step)
+    for i in range(PROBES):
+        bits[((a + np.uint64(i) * b) % np.uint64(n_bits)).astype(np.int64)] = True
+    return STEPS[steps - 1], np.packbits(bits, bitorder="little"), n_bits
 
-    def close(bucket: int, words: list, pairs: list) -> pa.RecordBatch:
-        (w,), n = _summed((np.concatenate([x[0] for x in words]),), np.concatenate([x[1] for x in words]))
-        (p, f), m = _summed((np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])), np.concatenate([x[2] for x in pairs]))
-        mass, bits, n_bits = _bucket_model(w, n, p, f, m, least_pair)
-        # END stands before the first words: its count is that of the texts, as it is their last token.
-        row = (bucket, int(n.sum()), len(w), _blob(w, n, mass), bits.tobytes(), n_bits)
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["bucket", "tokens", "types", "words", "bits", "n_bits"])
 
-    bucket, words, pairs = None, [], []
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows by their first column, by which they come sorted."""
+    now, held = None, []
     for batch in batches:
-        for i in range(batch.num_rows):
-            k, nw, w, np_, p = (batch.column(c)[i].as_py() for c in range(5))
-            if k != bucket:
-                if bucket is not None:
-                    yield close(bucket, words, pairs)
-                bucket, words, pairs = k, [], []
-            words.append(_arrays(w, nw, "<u8", "<i8"))
-            pairs.append((np.frombuffer(p, "<u8", np_), *_arrays(p[8 * np_ :], np_, "<u8", "<i8")))
-    if bucket is not None:
-        yield close(bucket, words, pairs)
-
-
-class Shard:
-    """Some neighbouring buckets of the model, ready to be asked."""
-
-    def __init__(self, rows: list[tuple], buckets: int):
+        for row in batch.to_pylist():
+            key = next(iter(row.values()))
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _reduce_parts(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    for part, rows in _grouped(batches):
+        if part < layout.cells:
+            own = [(np.frombuffer(r["data"], "<u8", r["n"]), *_arrays(r["data"][8 * r["n"] :], r["n"], "<u8", "<i8")) for r in rows]
+            rows.clear()
+            pairs, firsts, n = (np.concatenate(x) for x in zip(*own))
+            own.clear()
+            (pairs, firsts), n = _summed((pairs, firsts), n)
+            read, bits, n_bits = cell_filter(pairs, n)
+            at = np.flatnonzero(np.concatenate(([True], firsts[1:] != firsts[:-1])))
+            taken = np.add.reduceat(read - DISCOUNT, at)
+            out = [(0, part, len(pairs), n_bits, bits.tobytes()), (1, part // layout.salts, len(at), 0, _blob(firsts[at], taken))]
+        else:
+            own = [_arrays(r["data"], r["n"], "<u8", "<i8") for r in rows]
+            (words,), n = _summed((np.concatenate([x[0] for x in own]),), np.concatenate([x[1] for x in own]))
+            out = [(2, part - layout.cells, len(words), 0, _blob(words, n))]
+        yield from _rows(out, PARTS, kinds)
+
+
+def _reduce_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A group's words, their counts, and what their pairs leave of 1."""
+    for at, rows in _grouped(batches):
+        words, n = next(_arrays(r["data"], r["n"], "<u8", "<i8") for r in rows if r["kind"] == 2)
+        taken = np.zeros(len(words))
+        for r in rows:
+            if r["kind"] == 1:
+                firsts, own = _arrays(r["data"], r["n"], "<u8", "<f8")
+                taken[np.searchsorted(words, firsts)] += own
+        yield from _rows([(at, int(n.sum()), len(words), _blob(words, n, (1 - taken / n).astype(np.float32)))], WORDS, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))
+
+
+class Words:
+    """The words of some neighbouring groups: sorted hashes, counts, and what is left."""
+
+    def __init__(self, rows: list[tuple]):
         n = sum(r[1] for r in rows)
-        self.words, self.counts, self.mass = np.empty(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.uint8)
-        self.bits = np.empty(sum(r[4] for r in rows) // 8, np.uint8)
-        self.n_bits, self.begin = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        a = at = 0
-        while rows:  # one bucket at a time, so that nothing is held twice
-            bucket, types, words, bits, n_bits = rows.pop(0)
-            self.words[a : a + types], self.counts[a : a + types], self.mass[a : a + types] = _arrays(words, types, "<u8", "<i8", "u1")
-            self.bits[at // 8 : (at + n_bits) // 8] = np.frombuffer(bits, np.uint8)
-            self.n_bits[bucket], self.begin[bucket] = n_bits, at
-            a, at = a + types, at + n_bits
-        self.buckets = buckets
+        self.words, self.counts, self.left = np.empty(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.float32)
+        at = 0
+        while rows:  # one group at a time, so that nothing is held twice
+            _, types, data = rows.pop(0)
+            self.words[at : at + types], self.counts[at : at + types], self.left[at : at + types] = _arrays(data, types, "<u8", "<i8", "<f4")
+            at += types
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which words the shard has, and their counts and masses."""
+        """Which words are here, and their counts and what is left of 1."""
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         found = self.words[at] == words
-        return found, self.counts[at[found]], self.mass[at[found]]
-
-    def powers(self, before: np.ndarray, names: np.ndarray, low: int = 1) -> np.ndarray:
-        """The largest power, from `low` on, at which each pair is in the filter; low - 1 if it isn't."""
-        bucket = bucket_of(before, self.buckets)
-        out = np.full(len(names), low - 1, np.int64)
-        live = np.flatnonzero(self.n_bits[bucket] > 0)
-        power = low - 1
+        return found, self.counts[at[found]], self.left[at[found]]
+
+
+class Filter:
+    """The filter of some cells."""
+
+    def __init__(self, rows: list[tuple], cells: int):
+        self.bits = np.empty(sum(r[1] for r in rows) // 8, np.uint8)
+        self.n_bits, self.begin = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        at = 0
+        while rows:
+            cell, n_bits, data = rows.pop(0)
+            self.bits[at // 8 : (at + n_bits) // 8] = np.frombuffer(data, np.uint8)
+            self.n_bits[cell], self.begin[cell] = n_bits, at
+            at += n_bits
+
+    def steps(self, cell: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """For how many steps each pair is in the filter."""
+        out, live, step = np.zeros(len(names), np.int64), np.arange(len(names)), 0
         while len(live):
-            power += 1
-            size, begin = self.n_bits[bucket[live]], self.begin[bucket[live]]
-            a = C.mix64(names[live] + np.uint64(power * C.GOLDEN & (2**64 - 1)))
-            b = C.mix64(a ^ np.uint64(C.MIX_B)) | np.uint64(1)
+            size, begin = self.n_bits[cell[live]].astype(np.uint64), self.begin[cell[live]]
+            a, b = _hashes(names[live], step)
             for i in range(PROBES):
-                bit = begin + ((a + np.uint64(i) * b) % size.astype(np.uint64)).astype(np.int64)
+                bit = begin + ((a + np.uint64(i) * b) % size).astype(np.int64)
                 ok = (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 live, size, begin, a, b = live[ok], size[ok], begin[ok], a[ok], b[ok]
-            out[live] = power
+            step += 1
+            out[live] = step
         return out
 
 
-_LOADED: dict[str, Shard] = {}
-
-
-def _shard(key: str, sent, buckets: int) -> Shard:
-    """The shard that was sent; a worker keeps the last one it has used, and no copy as sent."""
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Shard(sent.value, buckets)
-        sent.__dict__.pop("_value", None)
-    return _LOADED[key]
+def _shards(sizes: list, most: int) -> list[tuple[int, int]]:
+    """Ranges (from, to) of places whose bytes stay below `most`, or single places; sizes: (place, bytes)."""
+    out, held = [], 0
+    for at, n in sizes:
+        if not out or held + n > most:
+            out.append([at, at])
+            held = 0
+        out[-1][1] = at
+        held += n
+    return [tuple(x) for x in out]
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, shard_bytes: int = SHARD_BYTES, least_pair: int = LEAST_PAIR) -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, shard_bytes: int = SHARD_BYTES, cell_bytes: int = CELL_BYTES, with_tokens: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; if
+    asked for, token_scores too, the log10 probability of each token.
 
     Learns from the rows whose crc32(id as text) modulo `folds` is not `held_out`. A text is
-    its words (anything but ASCII blanks, A-Z in lower case) and an end. base_score is
-    that of the add-one word model; score is log10 of the product of
-    (c(v w) - D) / c(v) + (1 - mass(v)) * add-one(w), with c(v w) read from the filter.
-
-    Null and empty texts are an end alone; a null id counts as the empty text in crc32.
-    Repeated rows count each time. Extra columns are not read. With no row to learn from,
-    all counts are 0. Counts cover all rows to learn from; pairs seen less than `least_pair`
-    times are left to the word model (1: none).
+    its words (anything but ASCII blanks, A-Z in lower case) and an end. base_score is that of the
+    add-one word model; score is log10 of the product of P(token | token before), of which an
+    end stands before the first one.
+
+    Null and empty texts are an end alone; a null id counts as the empty text in crc32, and stays null.
+    Repeated rows count each time and are scored alike; very long texts are scored whole. Extra
+    columns are not read. An empty table gives no rows; with no row to learn from, all counts are 0
+    and all scores log10(1). Counts cover all rows to learn from, and all their pairs.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "lm")
-    low = _lowest_power(least_pair)
-    buckets = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.pmod(C.crc32_of_id(id_col), F.lit(folds)) == held_out).alias("held_out"))
-    counted = count_ngrams(rows.where(~F.col("held_out")).select("text"), buckets)
-    model = scratch.save(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _build(batches, least_pair), MODEL), "model")
-    total = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.pmod(C.crc32_of_id(id_col), F.lit(folds)) == held_out).alias("held_out"))
+    train = rows.where(~F.col("held_out")).select("text")
+    layout = Layout(C.text_bytes(train), cell_bytes)
+    parts = layout.cells + layout.groups
+    counted = count_ngrams(train, layout).repartition(parts, "part").sortWithinPartitions("part")
+    made = scratch.save(counted.mapInArrow(C.tidy("lm", lambda batches: _reduce_parts(batches, layout)), PARTS), "parts")
+    by_group = made.where("kind > 0").select("at", "kind", "n", "data").repartition(layout.groups, "at").sortWithinPartitions("at")
+    words = scratch.save(by_group.mapInArrow(C.tidy("lm", _reduce_words), WORDS), "words")
+    total = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_tokens, n_types = int(total[0]), int(total[1])
-    sizes = model.select("bucket", (F.col("types") * 17 + F.col("n_bits") / 8).alias("bytes")).orderBy("bucket").collect()  # a row per bucket
-    shards, held = [], 0
-    for r in sizes:
-        if not shards or held + r["bytes"] > shard_bytes:
-            shards.append([])
-            held = 0
-        shards[-1].append(r["bucket"])
-        held += r["bytes"]
-    sent = []
-    for own in shards:
-        got = model.where(F.col("bucket").between(own[0], own[-1])).select("bucket", "types", "words", "bits", "n_bits")
-        sent.append((uuid.uuid4().hex, spark.sparkContext.broadcast(sorted(tuple(r) for r in got.toLocalIterator()))))
+    filters = made.where("kind = 0").select("at", "bits", "data")
+    sent: list[list[tuple]] = []
+    for df, size in ((words.select("at", "types", "data"), F.col("types") * 20), (filters, F.col("bits") / 8)):
+        sizes = [tuple(r) for r in df.select("at", size).orderBy("at").collect()]  # a row per group or cell
+        own = []
+        for a, b in _shards(sizes, shard_bytes):
+            got = sorted(tuple(r) for r in df.where(F.col("at").between(a, b)).toLocalIterator())
+            own.append((uuid.uuid4().hex, spark.sparkContext.broadcast(got)))
+        sent.append(own)
+    of_words, of_cells = sent
+    whole = SCORES.format(id=docs.schema[id_col].dataType.simpleString()) + ", token_scores array<double>" * with_tokens
+    most = SCORED_BYTES if max(map(len, sent)) < 2 else SCORED_BYTES_SHARDED
+
+    def score(part: pa.RecordBatch, known: C.WordHash) -> pa.RecordBatch:
+        tokens, sizes = tokens_of(C.as_bytes(part.column(1)), known)
+        types, place = np.unique(tokens, return_inverse=True)
+        place = place.astype(np.int32)
+        count, left = np.zeros(len(types), np.int64), np.ones(len(types))
+        for key, b in of_words:
+            found, n, rest = C.loaded(key, b, Words, "words").look_up(types)
+            count[found], left[found] = n, rest
+        before, names = pairs_of(tokens)
+        names, at, which = np.unique(names, return_index=True, return_inverse=True)
+        cell, steps = layout.cell(before[at], names), np.zeros(len(names), np.int64)
+        for key, b in of_cells:
+            own = C.loaded(key, b, lambda x: Filter(x, layout.cells), "cells")
+            here = np.flatnonzero(own.n_bits[cell] > 0)
+            steps[here] = own.steps(cell[here], names[here])
+        c = count[place]
+        first = np.concatenate(([np.searchsorted(types, END)], place[:-1]))  # before the first token of a text stands an end
+        cv = count[first]
+        read = np.where(steps > 0, STEPS[steps - 1] - DISCOUNT, 0.0)[which]
+        alone = np.log10(c + 1.0) - np.log10(float(n_tokens + n_types + 1))
+        both = np.log10(np.minimum(1.0, np.where(cv > 0, read / np.maximum(cv, 1), 0.0) + left[first] * 10.0**alone))
+        starts = C.starts_of(sizes)
+        cols = [part.column(0), part.column(2), pa.array(sizes), *(pa.array(np.add.reduceat(x, starts[:-1])) for x in ((c > 0).astype(np.int64), alone, both))]
+        if with_tokens:
+            cols.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(both)))
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in whole.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = C.WordHash()
-        per_load = 1000 if len(sent) < 2 else 1 << 30  # several shards: each is loaded once a batch
-        floor = np.log10(float(n_tokens + n_types + 1))
         for batch in batches:
-            for at in range(0, batch.num_rows, per_load):
-                group, parts = batch.slice(at, per_load), []
-                for k in range(0, group.num_rows, 1000):  # between shards a part holds 13 bytes a token
-                    part = group.slice(k, 1000)
-                    tokens, sizes = tokens_of(C.as_bytes(part.column(1)), known)
-                    words, place = np.unique(tokens, return_inverse=True)
-                    count, mass = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8)
-                    parts.append((part, sizes, words, place.astype(np.int32), count, mass, pairs_of(tokens)[1], np.full(len(tokens), low - 1, np.int8)))
-                for key, b in sent:
-                    shard = _shard(key, b, buckets)
-                    for _, _, words, place, count, mass, names, powers in parts:
-                        found, n, m = shard.look_up(words)
-                        count[found], mass[found] = n, m
-                        before = np.concatenate(([END], words[place[:-1]])).astype(np.uint64)
-                        own = np.flatnonzero(shard.n_bits[bucket_of(before, buckets)] > 0)
-                        powers[own] = shard.powers(before[own], names[own], low)
-                for part, sizes, words, place, count, mass, _, powers in parts:
-                    c = count[place]
-                    starts = C.starts_of(sizes)[:-1]
-                    end = count[words == END][0]
-                    end_mass = mass[words == END][0]
-                    cv = np.concatenate(([end], c[:-1]))
-                    mv = np.concatenate(([end_mass], mass[place][:-1])) / 255.0
-                    single = np.log10(c + 1.0) - floor
-                    seen = np.where(powers > 0, MIDDLE * np.exp2(powers.astype(np.float64)), 1.0)
-                    pair = np.where(powers >= low, (seen - DISCOUNT) / np.maximum(cv, 1), 0.0)
-                    both = np.log10(np.minimum(1.0, np.minimum(pair, 1.0) + (1 - mv) * 10.0**single))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(2), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(single, starts)), pa.array(np.add.reduceat(both, starts))],
-                        names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                    )
-
-    out = rows.mapInArrow(run, SCORES)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            for part in C.slices(batch, 1, most, 4000 if most == SCORED_BYTES else 1 << 30):
+                yield score(part, known)
+
+    out = rows.mapInArrow(C.tidy("lm", run), whole)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score", *(["token_scores"] if with_tokens else []))
 
 
 def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(C.table(spark, sf_dir, "documents"), least_pair=1)
+    return score_documents(C.table(spark, sf_dir, "documents"))

@@ -155,7 +155,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_
                     cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(C.tidy("packing", run), PIECE + ", ids array<int>" * with_ids)
+    return docs.select(C.whole_ids(docs, id_col), F.col(text_col).alias("text")).mapInArrow(C.tidy("packing", run), PIECE + ", ids array<int>" * with_ids)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,13 +1,17 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model.
 
-The n-grams are of characters within words, with the word's begin and end: their number is
-bounded by the alphabets in use and not by the corpus, every text counts, and a text's
-perplexity does not hang on how many of its words are rare. Spark counts the trigrams; a
-trigram of code points fits 63 bits, so counts, contexts and suffixes are exact. For each
-language the model is a set of sorted arrays of hashed n-grams, with the discounts of modified
-Kneser-Ney (one each for counts of one, two, and more). A language's own spread of log
-perplexities, among texts of like length, gives the lower and upper limit between which texts
-are kept.
+The n-grams are of five bytes of the text, across the borders of its words (any blanks between
+two words count as one): their number is bounded by the alphabets in use and not by the
+corpus, every text counts, and function words, inflections and what follows what all show in
+them. Five bytes fit a long, so counts are exact. Spark counts the n-grams, and the
+shorter ones by the different n-grams that they end; tasks make the model, in shards that are
+sorted arrays of hashed n-grams with their interpolated log probabilities and the discounts
+of modified Kneser-Ney (one each for counts of one, two, and more). The texts that are judged
+are those that were counted, so a text has no n-gram that the arrays lack.
+
+Perplexity is by letter or digit: symbols and marks add to a text's surprise, but not to its
+length. A language's own spread among texts of like length gives the lower and upper limit
+between which texts are kept.
 """
 
 from __future__ import annotations
@@ -17,13 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Trigrams that a worker holds at a time (36 bytes each at most).
-SHARD_GRAMS = 2_000_000
+#: Bytes of an n-gram.
+ORDER = 5
+#: N-grams in a shard (12 bytes each), how many shards a worker keeps at a time, and the pieces in which
+#: tasks make a shard.
+SHARD_GRAMS, HELD_SHARDS, PIECES = 2_000_000, 4, 64
 #: The bands: so many interquartile ranges below the first and above the third quartile.
 BAND_IQR = 2.0
 #: The quartiles are of distances from the language's median, times the root of the number of
@@ -32,33 +40,51 @@ BAND_IQR = 2.0
 LEAST_TEXTS = 100
 #: Log perplexities are counted in steps of this size.
 STEP = 0.001
-
-BEGIN, STOP = 1, 2  # code points that no word holds
-BITS = 21
+#: Parts of texts whose log probabilities a worker remembers.
+REMEMBERED = 400_000
 
 COUNTED = "lang string, gram long, n long"
-BASE = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+BUILT = "lang string, piece int, n long, grams binary"
+BASE = "doc_id {id}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+_NO_LETTERS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
+
+
+def parts_of(words: list[bytes]) -> list[bytes]:
+    """The borders of a text's words: the four bytes before a word and its first three, or the whole
+    of a shorter one and the blank after it. With " word " for each word, their windows of
+    five bytes are those of the text, each once; four blanks stand before the first word."""
+    text, out, at = b"    " + b" ".join(words) + b" ", [], 0
+    for w in words:
+        n = len(w)
+        out.append(text[at : at + 7] if n > 1 else text[at : at + 6])
+        at += n + 1
+    return out
 
 
-def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of all words, each begun by (0, BEGIN) and ended by STOP, and each word's number of them."""
-    codes = np.frombuffer("".join(["\0\1" + w + "\2" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes + 2)
-    inner = np.ones(len(codes), bool)
-    inner[ends - sizes - 2] = inner[ends - sizes - 1] = False
-    at = np.flatnonzero(inner)
-    return codes[at - 2] << 2 * BITS | codes[at - 1] << BITS | codes[at], sizes
+def grams_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The five-byte windows of all parts (words get a blank on both sides), and their number in each."""
+    own = [p if b" " in p else b" " + p + b" " for p in parts]
+    sizes = np.maximum(np.fromiter(map(len, own), np.int64, len(own)) - ORDER + 1, 0)
+    raw = np.frombuffer(b"".join(own) + bytes(ORDER), np.uint8).astype(np.int64)
+    starts = C.starts_of(np.fromiter(map(len, own), np.int64, len(own)))[:-1]
+    at = np.repeat(starts - C.starts_of(sizes)[:-1], sizes) + np.arange(sizes.sum())
+    grams = np.zeros(len(at), np.int64)
+    for k in range(ORDER):
+        grams = grams << 8 | raw[at + k]
+    return grams, sizes
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.split()
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count_trigrams(rows: DataFrame) -> DataFrame:
-    """lang, gram, n over all words of rows (text, lang): added up by task, then by Spark."""
+def count_grams(rows: DataFrame) -> DataFrame:
+    """lang, gram, n over all texts of rows (text, lang): added up by task, then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[bytes, int]] = {}
@@ -66,32 +92,38 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
 
         def settle(lang: str) -> None:
             seen = held.pop(lang)
-            grams, sizes = word_grams([w.decode("utf-8", "surrogatepass") for w in seen])
+            grams, sizes = grams_of(list(seen))
             n = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), sizes)
             old = sums.get(lang, (np.empty(0, np.int64), np.empty(0, np.int64)))
-            grams, n = np.concatenate((old[0], grams)), np.concatenate((old[1], n))
-            keys, at = np.unique(grams, return_inverse=True)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, at, n)
-            sums[lang] = keys, total
+            sums[lang] = _summed(np.concatenate((old[0], grams)), np.concatenate((old[1], n)))
 
-        for batch in batches:
-            for text, lang in zip(C.as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                seen = held.setdefault(lang, {})
-                get = seen.get
-                for w in _words(text):
-                    seen[w] = get(w, 0) + 1
-                if len(seen) > 200_000:
-                    settle(lang)
-        for lang in list(held):
-            if held[lang]:
-                settle(lang)
-        for lang, (keys, total) in sums.items():
+        def send(lang: str) -> Iterator[pa.RecordBatch]:
+            keys, total = sums.pop(lang)
             for at in range(0, len(keys), 50_000):
                 n = len(keys[at : at + 50_000])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(keys[at : at + n]), pa.array(total[at : at + n])], names=["lang", "gram", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(run, COUNTED)
+        for batch in batches:
+            for part in C.slices(batch, 0):
+                for text, lang in zip(C.as_bytes(part.column(0)), part.column(1).to_pylist()):
+                    seen = held.setdefault(lang, {})
+                    get, words = seen.get, text.split()
+                    for w in words:
+                        seen[w] = get(w, 0) + 1
+                    for w in parts_of(words):
+                        seen[w] = get(w, 0) + 1
+                if sum(map(len, held.values())) > REMEMBERED:
+                    for own in list(held):
+                        settle(own)
+                if sum(len(k) for k, _ in sums.values()) > 2 * SHARD_GRAMS:
+                    for own in list(sums):
+                        yield from send(own)
+        for lang in list(held):
+            settle(lang)
+        for lang in list(sums):
+            yield from send(lang)
+
+    counted = rows.select("text", "lang").mapInArrow(C.tidy("quality", run), COUNTED)
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -103,117 +135,129 @@ def _discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     return np.clip(d, [0, 0.1, 0.1, 0.1], [0, 0.9, 1.8, 2.7])
 
 
-def _level(keys: np.ndarray, n: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For n-grams (sorted) and counts: discounted probabilities; contexts and the weight that is left for shorter n-grams."""
-    context = keys >> BITS
+def _level(order: int, keys: np.ndarray, n: np.ndarray, d: np.ndarray, shorter: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities of n-grams of `order` bytes (sorted, with counts n), interpolated with those of
+    the n-grams without the first byte: p, of the sorted ones in shorter."""
+    context = keys >> 8
     first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    total = np.add.reduceat(n, first)
-    off = d[np.minimum(n, 3)]
-    left = np.add.reduceat(off, first) / total
-    own = np.repeat(total, np.diff(np.append(first, len(keys))))
-    return (n - off) / own, context[first], left
+    total, off = np.add.reduceat(n, first), d[np.minimum(n, 3)]
+    each = np.diff(np.append(first, len(keys)))
+    own, left = np.repeat(total, each), np.repeat(np.add.reduceat(off, first) / total, each)
+    return (n - off) / own + left * p[np.searchsorted(shorter, keys & ((1 << 8 * (order - 1)) - 1))]
+
+
+def shard_of(middle, shards: int):
+    """The shard of n-grams with these two bytes before the last one: columns or arrays."""
+    return middle * 40503 % 65536 * shards // 65536
 
 
-class _Sorted:
-    """A map from keys to float32 values as two arrays, sorted by the keys' hash."""
+def _hashed(grams: np.ndarray) -> np.ndarray:
+    return C.mix64(grams.astype(np.uint64) + np.uint64(C.GOLDEN))
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        h = C.mix64(keys.astype(np.uint64) + np.uint64(C.GOLDEN))
+
+def build_model(grams: DataFrame, scratch: C.Scratch, shard_grams: int) -> tuple[DataFrame, int]:
+    """The model, a row for each language and piece of a shard (sorted hashes, then log probabilities),
+    and how many shards there are.
+
+    N-grams of five, four and three bytes go to the piece of the two bytes before the last one, which the
+    n-grams that they are interpolated with share. Those of two and one, 65,792 at most for a
+    language, and the counts of counts are known to all tasks.
+    """
+    spark = grams.sparkSession
+    levels = {ORDER: grams}
+    for k in range(ORDER - 1, 0, -1):  # how many different n-grams end in each shorter one
+        own = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        levels[k] = scratch.save(own, f"grams{k}")
+    ones = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    d = {(k, r["lang"]): _discounts(np.array(r[1:])) for k in range(2, ORDER + 1) for r in levels[k].groupBy("lang").agg(*ones).collect()}
+    small: dict[str, list] = {}
+    for k in (1, 2):
+        for r in levels[k].select("lang", "gram", "n").collect():  # 256 and 65,536 at most for a language
+            small.setdefault(r["lang"], [[], []])[k - 1].append((r["gram"], r["n"]))
+    two = {}
+    for lang, (one, pairs) in small.items():
+        (k1, n1), (k2, n2) = (tuple(np.array(x, np.int64) for x in zip(*sorted(v))) for v in (one, pairs))
+        two[lang] = k2, _level(2, k2, n2, d[2, lang], k1, n1 / n1.sum())
+    known = spark.sparkContext.broadcast((two, d))
+    shards = max(1, -(-grams.count() // shard_grams))
+    middle = F.shiftright("gram", 8).bitwiseAND(F.lit(65535))
+    piece = F.shiftright(F.pmod(middle * 40503, F.lit(65536)) * (PIECES * shards), 16).cast("int")
+    rows = None
+    for k in (3, 4, ORDER):
+        own = levels[k].select(piece.alias("piece"), "lang", F.lit(k).alias("k"), "gram", "n")
+        rows = own if rows is None else rows.unionByName(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two, d = known.value
+        held: dict[int, list] = {}
+        now: tuple | None = None
+
+        def close() -> pa.RecordBatch:
+            shorter, p = two[now[1]]
+            for k in (3, 4, ORDER):
+                keys, n = (np.concatenate(x) for x in zip(*held[k]))
+                order = np.argsort(keys)
+                keys, n = keys[order], n[order]
+                shorter, p = keys, _level(k, keys, n, d[k, now[1]], shorter, p)
+            h = _hashed(shorter)
+            order = np.argsort(h)
+            data = h[order].astype("<u8").tobytes() + np.log(p[order]).astype("<f4").tobytes()
+            row = (now[1], now[0], len(h), zstandard.ZstdCompressor(level=1).compress(data))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in BUILT.split(", ")])
+
+        for batch in batches:
+            s, lang, k = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
+            cut = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (lang[1:] != lang[:-1]) | (k[1:] != k[:-1])))) if len(s) else []
+            for a, b in zip(cut, [*cut[1:], len(s)]):
+                if now != (int(s[a]), lang[a]):
+                    if now is not None:
+                        yield close()
+                    now, held = (int(s[a]), lang[a]), {}
+                held.setdefault(int(k[a]), []).append(tuple(batch.column(i).slice(a, b - a).to_numpy() for i in (3, 4)))
+        if now is not None:
+            yield close()
+
+    dealt = rows.repartition(min(PIECES * shards, 2000), "piece").sortWithinPartitions("piece", "lang", "k")
+    return scratch.save(dealt.mapInArrow(C.tidy("quality", run), BUILT), "model"), shards
+
+
+def _send(spark: SparkSession, model: DataFrame, shards: int) -> list[tuple]:
+    """(key, broadcast of rows of the model) for each shard: of bounded size, one by one."""
+    return [(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in model.where(F.floor(F.col("piece") / PIECES) == k).select("lang", "n", "grams").toLocalIterator()])) for k in range(shards)]
+
+
+def _load(rows: list[tuple]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    held: dict[str, list] = {}
+    for lang, n, data in rows:
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        held.setdefault(lang, []).append((np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<f4", n, 8 * n)))
+    out = {}
+    for lang in list(held):
+        h, p = (np.concatenate(x) for x in zip(*held.pop(lang)))
         order = np.argsort(h)
-        self.hashes, self.values = h[order], values[order].astype(np.float32)
-
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(keys), default)
-        h = C.mix64(keys.astype(np.uint64) + np.uint64(C.GOLDEN))
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.values[at], default).astype(np.float64)
-
-
-class Model:
-    """A language's model, or the part of it for some middle characters."""
-
-    def __init__(self, tri, tri_n, bi, bi_n, uni, uni_n, d3: np.ndarray, d2: np.ndarray):
-        p, ctx, left = _level(tri, tri_n, d3) if len(tri) else (tri, tri, tri)
-        self.p3, self.left3 = _Sorted(tri, p), _Sorted(ctx, left)
-        p, ctx, left = _level(bi, bi_n, d2) if len(bi) else (bi, bi, bi)
-        self.p2, self.left2 = _Sorted(bi, p), _Sorted(ctx, left)
-        # A share of one type is left for characters that were never seen.
-        self.p1, self.unseen = _Sorted(uni, uni_n / (uni_n.sum() + 1)), 1 / (uni_n.sum() + 1) / (1 << BITS)
-
-    def log_p(self, grams: np.ndarray) -> np.ndarray:
-        low = (1 << 2 * BITS) - 1
-        last, pair = grams & ((1 << BITS) - 1), grams & low
-        p = self.p1.get(last, 0.0) + self.unseen
-        p = self.p2.get(pair, 0.0) + self.left2.get(pair >> BITS, 1.0) * p
-        p = self.p3.get(grams, 0.0) + self.left3.get(grams >> BITS, 1.0) * p
-        return np.log(p)
-
-
-def _models(spark: SparkSession, tri: DataFrame, scratch: C.Scratch, shard_grams: int) -> list[tuple]:
-    """Broadcast shards: (key, number of shards, broadcast of {lang: arrays}). Counts of counts, which
-    need all n-grams of a language, and the single characters come from Spark's aggregates."""
-    low = (1 << 2 * BITS) - 1
-    bi = scratch.save(tri.groupBy("lang", F.col("gram").bitwiseAND(F.lit(low)).alias("gram")).agg(F.count("*").alias("n")), "bigrams")
-    uni = bi.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-    of = lambda df: {r[0]: np.array(r[1:]) for r in df.groupBy("lang").agg(*(F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4))).collect()}
-    d3, d2 = of(tri), of(bi)
-    shards = max(1, -(-tri.count() // shard_grams))
-    middle = F.pmod(F.xxhash64(F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << BITS) - 1))), F.lit(shards))
-
-    def arrays(df: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        got = df.select("lang", "gram", "n").toArrow()
-        lang, gram, n = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy(), got.column(2).to_numpy()
-        out = {}
-        for own in set(lang.tolist()):
-            at = np.flatnonzero(lang == own)
-            at = at[np.argsort(gram[at])]
-            out[own] = gram[at], n[at]
-        return out
-
-    one, none = arrays(uni), (np.empty(0, np.int64), np.empty(0, np.int64))
-    sent = []
-    for k in range(shards):
-        t, b = (arrays(df if shards == 1 else df.where(middle == k)) for df in (tri, bi))
-        data = {lang: (*t.get(lang, none), *b.get(lang, none), *one[lang], _discounts(d3[lang]), _discounts(d2[lang])) for lang in one}
-        sent.append((uuid.uuid4().hex, k, shards, spark.sparkContext.broadcast(data)))
-    return sent
-
-
-_LOADED: dict[str, dict] = {}
-
-
-def _load(key: str, sent) -> dict[str, Model]:
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = {lang: Model(*x) for lang, x in sent.value.items()}
-        sent.__dict__.pop("_value", None)
-    return _LOADED[key]
-
-
-def _log_p_words(words: list[bytes], lang: str, sent: list[tuple]) -> np.ndarray:
-    """Log probability of each word: each trigram by the shard that has its middle character."""
-    grams, sizes = word_grams([w.decode("utf-8", "surrogatepass") for w in words])
-    logs = np.zeros(len(grams))
-    if len(sent) == 1:
-        logs = _load(sent[0][0], sent[0][3])[lang].log_p(grams)
-    else:
-        own = _middle_shard(grams, sent[0][2])
-        for key, k, _, b in sent:
-            at = own == k
-            if at.any():
-                logs[at] = _load(key, b)[lang].log_p(grams[at])
-    return np.add.reduceat(logs, C.starts_of(sizes)[:-1]) if len(words) else logs
-
-
-def _middle_shard(grams: np.ndarray, shards: int) -> np.ndarray:
-    """As Spark's pmod(xxhash64(middle character), shards)."""
-    import xxhash
-
-    middle = grams >> BITS & ((1 << BITS) - 1)
-    kinds, at = np.unique(middle, return_inverse=True)
-    value = np.array([xxhash.xxh64_intdigest(int(c).to_bytes(8, "little"), 42) for c in kinds], np.uint64).view(np.int64)
-    return np.mod(value, shards)[at]
+        out[lang] = h[order], p[order]
+    return out
+
+
+def log_p(parts: dict[str, list[bytes]], sent: list[tuple]) -> dict[str, np.ndarray]:
+    """The log probability of each part, by language. Each shard is loaded once at most."""
+    grams = {lang: grams_of(own) for lang, own in parts.items()}
+    logs = {lang: np.zeros(len(g)) for lang, (g, _) in grams.items()}
+    shard = {lang: shard_of(g >> 8 & 65535, len(sent)) for lang, (g, _) in grams.items()}
+    for k, (key, b) in enumerate(sent):
+        if any((s == k).any() for s in shard.values()):
+            model = C.loaded(key, b, _load, f"shard{k % HELD_SHARDS}")
+            for lang, (g, _) in grams.items():
+                own = np.flatnonzero(shard[lang] == k)
+                if len(own):
+                    h, p = model[lang]
+                    logs[lang][own] = p[np.minimum(np.searchsorted(h, _hashed(g[own])), len(h) - 1)]
+    out = {}
+    for lang, (_, sizes) in grams.items():
+        sums = np.concatenate(([0.0], np.cumsum(logs[lang])))
+        ends = C.starts_of(sizes)
+        out[lang] = sums[ends[1:]] - sums[ends[:-1]]
+    return out
 
 
 def _repeats(texts: list[bytes], known: C.WordHash, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -240,33 +284,36 @@ def measure(rows: DataFrame, sent: list[tuple]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = C.WordHash(), {}
-        step = 500 if len(sent) == 1 else 1 << 30
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in C.slices(batch, 1, C.SLICE_BYTES if len(sent) <= HELD_SHARDS else 8 * C.SLICE_BYTES, 4000):
                 texts, langs = C.as_bytes(part.column(1)), part.column(2).to_pylist()
                 counts, covered = _repeats(texts, known)
-                split = [_words(t) for t in texts]
-                for lang in set(langs):
+                if sum(map(len, logs.values())) > REMEMBERED:
+                    logs.clear()
+                split, new = [], {}
+                for text, lang in zip(texts, langs):
+                    words = text.split()
+                    split.append(words + parts_of(words))
                     own = logs.setdefault(lang, {})
-                    if len(own) > 300_000:
-                        own.clear()
-                    new = list({w for words, x in zip(split, langs) if x == lang for w in words if w not in own})
-                    if new:
-                        own.update(zip(new, _log_p_words(new, lang, sent).tolist()))
+                    fresh = set(split[-1]).difference(own)
+                    if fresh:
+                        new.setdefault(lang, []).extend(fresh)
+                        own.update(dict.fromkeys(fresh, 0.0))
+                for lang, got in log_p(new, sent).items():
+                    logs[lang].update(zip(new[lang], got.tolist()))
                 perplexity, chars, symbols, lines = [], [], [], []
-                for text, words, lang in zip(texts, split, langs):
+                for text, parts, lang in zip(texts, split, langs):
                     points = len(text.decode("utf-8", "surrogatepass"))
-                    n = points - (len(text) - len(text.translate(None, _SPACE)))
-                    perplexity.append(-sum(map(logs[lang].__getitem__, words)) / (n + len(words)) if words else None)
-                    chars.append(n)
+                    letters = points - (len(text) - len(text.translate(None, _NO_LETTERS)))
+                    perplexity.append(-sum(map(logs[lang].__getitem__, parts)) / max(letters, 1) if parts else None)
+                    chars.append(points - (len(text) - len(text.translate(None, _SPACE))))
                     symbols.append(len(text) - len(text.translate(None, _SYMBOLS)))
                     said = [x for x in text.split(b"\n") if x.strip(_SPACE)]
                     lines.append(len(said) - len(set(said)))
                 cols = [part.column(0), part.column(2), *(pa.array(x, pa.int64()) for x in (counts, chars, symbols, lines, covered)), pa.array(perplexity, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in BASE.split(", ")])
 
-    return rows.mapInArrow(run, BASE)
+    return rows.mapInArrow(C.tidy("quality", run), BASE.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def _size(n_words: Column | str) -> Column:
@@ -314,19 +361,21 @@ def bands(measured: DataFrame, iqr: float) -> tuple[dict[str, float], dict[tuple
 
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", iqr: float = BAND_IQR, shard_grams: int = SHARD_GRAMS) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    log_perplexity (natural, per character; null without words), base_failed and kept.
+    log_perplexity (natural, by letter or digit; null without words), base_failed and kept.
 
     base_failed: fewer than 10 words, or repeated five-word windows cover over 20 % of the
     words. kept: not base_failed, and the log perplexity lies in the band of its language
-    and size, which is that of the texts that aren't base_failed.
-    Null and empty texts have no words and fail; a null language is one of its own.
-    Repeated rows are judged alike. Extra columns are not read.
+    and size, which is that of the texts that aren't base_failed; at a limit a text is kept.
+    Null and empty texts have no words and fail; a null language is one of its own, and so is
+    the empty one with it. Null ids stay null. Very long texts are measured whole. Repeated rows
+    are judged alike. An empty table gives no rows. Extra columns are not read.
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "quality")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    tri = scratch.save(count_trigrams(rows), "trigrams")
-    measured = scratch.save(measure(rows, _models(spark, tri, scratch, shard_grams)), "measured")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    grams = scratch.save(count_grams(rows), "grams")
+    model, shards = build_model(grams, scratch, shard_grams)
+    measured = scratch.save(measure(rows, _send(spark, model, shards)), "measured")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     middle, limits = bands(measured.where(~failed), iqr)
     own, place = _distance(_by_lang(middle, F.col("lang"))), F.concat(_size("n_words").cast("string"), F.lit(" "), "lang")

@@ -2,9 +2,10 @@
 
 Rounds name runs of equal words and then pairs of neighbouring symbols; a name is a hash
 of what it stands for, so all tasks give equal substrings equal names without asking each
-other. Whether two neighbours become a pair depends on the two alone (the first must be a
-left symbol and the second a right one, by a bit of their hashes), so a passage that two
-documents share is cut alike in both but for one symbol at each end in each round.
+other: a dictionary made by a shuffle in each round would give the same names, but deal out
+all symbols of the corpus each time. Whether two neighbours become a pair depends on the two
+alone (the first must be a left symbol and the second a right one, by a bit of their hashes), so a
+passage that two documents share is cut alike in both but for one symbol at each end in each round.
 
 With two rounds of pairs, a window of 50 words without an immediate repetition has 11
 symbols or more that are cut alike wherever it occurs: the run at its edge takes one word,
@@ -12,8 +13,12 @@ the first round one, the second two, on either side; 42 words are left, in symbo
 at most. Of any 7 neighbouring symbols the one with the least hash is an anchor, and its
 high-level name is that of it and two symbols on both sides. So each such window holds an
 anchor that all its occurrences share. Windows that hold a shared anchor, and those with
-an immediate repetition, are candidates; their 50 words are verified by a 64-bit name of
-their own (windows of different words get the same one with probability 2^-64).
+an immediate repetition, are candidates; they are matched by a 64-bit name of their words.
+
+All matches together are then verified by other hashes of the same words: each window that
+is removed adds its second name, and each that it was matched with takes its own off. The sum over
+the corpus is zero modulo 2^64 if all are equal, and else with a probability of 2^-64, however
+many windows there are; where it is not, all is done again with other hashes.
 
 What a task can settle among its own documents it settles; for each name only its
 smallest document goes to the shuffle, so a passage that a third of all documents hold
@@ -22,7 +27,6 @@ costs one entry a task.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import agg as A
 from . import common as C
 
 WINDOW = 50
 ROUNDS, NEIGHBOURS, AROUND = 2, 7, 2
 #: Entries that a task gathers before it settles and sends them.
 GATHER = 3_000_000
+#: Bytes of text for each bucket that names are dealt into.
+BUCKET_BYTES = 16 << 20
 
 ENTRIES = "bucket int, sent binary"
 
@@ -102,13 +109,13 @@ def window_names(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _packed(names: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
-    raw = b"".join((doc.astype("<i8").tobytes(), a.astype("<u4").tobytes(), b.astype("<u2").tobytes()))
+    raw = b"".join((doc.astype("<i8").tobytes(), a.astype("<u4").tobytes(), b.astype("<u4").tobytes()))
     return names.astype("<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpacked(count: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data[8 * count :])
-    return np.frombuffer(data, "<u8", count), np.frombuffer(raw, "<i8", count), np.frombuffer(raw, "<u4", count, 8 * count), np.frombuffer(raw, "<u2", count, 12 * count)
+    return np.frombuffer(data, "<u8", count), np.frombuffer(raw, "<i8", count), np.frombuffer(raw, "<u4", count, 8 * count), np.frombuffer(raw, "<u4", count, 12 * count)
 
 
 def _rows(names, doc, a, b, buckets: int, settled: bool) -> Iterator[pa.RecordBatch]:
@@ -140,17 +147,29 @@ def _settle_shared(names, doc, a, b, buckets: int) -> Iterator[pa.RecordBatch]:
         yield from _rows(names[~shared], doc[~shared], a[~shared], b[~shared], buckets, False)
 
 
+def _firsts(names, doc, a) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order by name, document and start; in that order, which entries are of a later document than
+    the first of their name; and the places of first entries that have later ones, with their number."""
+    order = np.lexsort((a, doc, names))
+    names, doc = names[order], doc[order]
+    at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.empty(0, np.int64)
+    size = np.diff(np.append(at, len(names)))
+    later = doc != np.repeat(doc[at], size)
+    n = np.add.reduceat(later.astype(np.int64), at) if len(at) else at
+    return order, later, at[n > 0], n[n > 0]
+
+
 def _settle_first(names, doc, a, b, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows: where a task has a smaller document with the same name, that is settled; the
+    """Windows: where a task has a smaller document with the same name, that is settled (length 0),
+    and the smallest one's entry counts those matched with it (length: their number); the
     smallest one's windows are sent to be compared."""
-    order = np.lexsort((doc, names))
-    names, doc, a, b = names[order], doc[order], a[order], b[order]
-    first = np.concatenate(([True], names[1:] != names[:-1])) if len(names) else np.empty(0, bool)
-    later = doc != doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-    if later.any():
-        yield from _rows(names[later], doc[later], a[later], b[later], buckets, True)
+    order, later, first, n = _firsts(names, doc, a)
+    names, doc, a = names[order], doc[order], a[order]
+    if len(first):
+        done = np.concatenate((np.flatnonzero(later), first))
+        yield from _rows(names[done], doc[done], a[done], np.concatenate((np.zeros(later.sum(), np.int64), n)), buckets, True)
     if (~later).any():
-        yield from _rows(names[~later], doc[~later], a[~later], b[~later], buckets, False)
+        yield from _rows(names[~later], doc[~later], a[~later], b[order][~later], buckets, False)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -169,7 +188,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def _joined(parts: list) -> tuple[np.ndarray, ...]:
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint16))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32))
 
 
 def _by_doc(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
@@ -204,13 +223,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for settled, waiting in _grouped(batches):
-        names, doc, a, b = _joined(waiting)
-        _, number = np.unique(names, return_inverse=True)
-        lo = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(lo, number, doc)
-        yes = doc > lo[number]
-        more = _joined(settled)
-        out = _by_doc(np.concatenate((doc[yes], more[1])), np.concatenate((a[yes], more[2])), np.concatenate((b[yes], more[3])))
+        names, doc, a, _ = _joined(waiting)
+        order, later, first, n = _firsts(names, doc, a)
+        doc, a, more = doc[order], a[order], _joined(settled)
+        out = _by_doc(np.concatenate((doc[later], doc[first], more[1])), np.concatenate((a[later], a[first], more[2])), np.concatenate((np.zeros(later.sum(), np.int64), n, more[3])))
         if out is not None:
             yield out
 
@@ -247,29 +263,71 @@ def _stream(parts, settle, buckets: int) -> Iterator[pa.RecordBatch]:
         yield from settle(*(np.concatenate(x) for x in zip(*held)), buckets)
 
 
-def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, removed (arrays of starts and ends of the
-    covered words' ranges) and kept (the text that is left, words joined by one blank).
+FINISHED = "doc_id long, n_words long, n_removed long, removed_from array<int>, removed_to array<int>, kept string, differ long"
+
+
+def _finish(text: bytes, starts: list, numbers: list, width: int, other: C.WordHash) -> tuple:
+    """A text's numbers of words and of removed ones, their ranges, what is left, and what its windows
+    add to the sum that verifies the matches (modulo 2^64)."""
+    words = text.split()
+    ranges, kept, at = [], [], 0
+    for s in sorted(s for s, n in zip(starts, numbers) if not n):
+        if ranges and s <= ranges[-1][1]:
+            ranges[-1][1] = s + width
+        else:
+            ranges.append([s, s + width])
+    for a, b in ranges:
+        kept += words[at:a]
+        at = b
+    kept += words[at:]
+    differ = 0
+    if starts:
+        h, _ = C.word_hashes([text], other)
+        n = np.array(numbers, np.int64)
+        names = window_names(h, width)[np.array(starts)]
+        differ = int((names * np.where(n == 0, np.uint64(1), (-n).view(np.uint64))).sum().view(np.int64))
+    return len(words), len(words) - len(kept), [a for a, _ in ranges], [b for _, b in ranges], b" ".join(kept).decode("utf-8", "surrogatepass"), differ
+
+
+def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, bucket_bytes: int = BUCKET_BYTES, seed: int = 0) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_removed, removed_from and removed_to (arrays of starts and
+    ends of the covered words' ranges) and kept (the text that is left, words joined by one blank).
 
     A word is removed if a window of `width` words that covers it also starts in a document
     with a smaller id; all windows are judged on the input. Words: runs of anything but
     ASCII blanks. Null and empty texts have no words and keep the empty text. A row with a
-    null id is left as it is and makes no others shorter. Rows of the same id are one
-    document's: they do not remove each other. Extra columns are not read.
+    null id is left as it is and makes no others shorter. Repeated rows do not remove each
+    other; of different texts under one id, that with the smaller digest counts as the smaller
+    one, and ids of other types than numbers are compared as they sort. Very long texts are
+    judged whole. An empty table gives no rows. Extra columns are not read.
     """
     if width < WINDOW:
         raise ValueError(f"two rounds guarantee a shared anchor from windows of {WINDOW} words on")
-    spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows, keys = C.key_rows(docs, id_col, text_col)
+    scratch = C.Scratch(docs.sparkSession, "repeats")
+    buckets = max(32, -(-C.text_bytes(rows) // bucket_bytes))
+    for turn in range(8):
+        done = scratch.save(_judged(rows, width, buckets, seed + 2 * turn), f"turn{turn}")
+        if done.agg(A.total("differ").alias("d")).first()["d"] == 0:
+            done = done.drop("differ")
+            if keys is None:
+                return done
+            each = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1).cast("long"))))
+            named = done.join(keys.select("_id", F.col("doc_id").alias("_key"), "n"), F.col("doc_id") == F.col("_key"), "left").withColumn("_row", each)
+            return named.select(F.col("_id").alias("doc_id"), *done.columns[1:])
+        scratch.drop(f"turn{turn}")
+    raise RuntimeError("windows of different words got equal names eight times over")
+
+
+def _judged(rows: DataFrame, width: int, buckets: int, seed: int) -> DataFrame:
+    """The result of repeated_words, with one choice of hashes, and each row's share of the check."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = C.WordHash()
+        known = C.WordHash(seed)
 
         def parts():
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for part in C.slices(batch, 1, 1 << 20, 256):
                     h, counts = C.word_hashes(C.as_bytes(part.column(1)), known)
                     names, doc, a, b = anchors(h, counts)
                     begin = C.starts_of(counts)
@@ -277,57 +335,54 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         yield from _stream(parts(), _settle_shared, buckets)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in C.slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([small.compress(t) for t in C.as_bytes(part.column(1))], pa.binary())], names=["doc_id", "z"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
+        """Ids, texts, starts and numbers of a few rows at a time."""
+        large = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part in C.slices(batch, 1, 1 << 19, 256):
+                yield part.column(0).to_pylist(), [large.decompress(z) for z in part.column(1).to_pylist()], part.column(2).to_pylist(), part.column(3).to_pylist()
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = C.WordHash()
+        known = C.WordHash(seed)
 
         def parts():
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    h, counts = C.word_hashes(C.as_bytes(part.column(1)), known)
-                    begin = C.starts_of(counts)
-                    ids = part.column(0).to_pylist()
-                    spans, lengths = part.column(2).to_pylist(), part.column(3).to_pylist()
-                    own = [_candidates(h[begin[i] : begin[i + 1]], spans[i], lengths[i], width) for i in range(len(ids))]
-                    own = [x if i is not None else x[:0] for i, x in zip(ids, own)]
-                    sizes = np.array([len(x) for x in own])
-                    if sizes.sum():
-                        starts = np.concatenate(own)
-                        names = window_names(h, width)[starts + np.repeat(begin[:-1], sizes)]
-                        yield names, np.repeat(np.array([i or 0 for i in ids], np.int64), sizes), starts, np.ones(len(starts), np.int64)
+            for ids, texts, spans, lengths in unpacked(batches):
+                h, counts = C.word_hashes(texts, known)
+                begin = C.starts_of(counts)
+                own = [_candidates(h[begin[i] : begin[i + 1]], spans[i], lengths[i], width) for i in range(len(ids))]
+                own = [x if i is not None else x[:0] for i, x in zip(ids, own)]
+                sizes = np.array([len(x) for x in own])
+                if sizes.sum():
+                    starts = np.concatenate(own)
+                    names = window_names(h, width)[starts + np.repeat(begin[:-1], sizes)]
+                    yield names, np.repeat(np.array([i or 0 for i in ids], np.int64), sizes), starts, np.ones(len(starts), np.int64)
 
         yield from _stream(parts(), _settle_first, buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for text, starts in zip(C.as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                words = text.split()
-                ranges, kept, at = [], [], 0
-                for s in sorted(starts or ()):
-                    if ranges and s <= ranges[-1][1]:
-                        ranges[-1][1] = s + width
-                    else:
-                        ranges.append([s, s + width])
-                for a, b in ranges:
-                    kept += words[at:a]
-                    at = b
-                kept += words[at:]
-                for x, v in zip(out, (len(words), len(words) - len(kept), [a for a, _ in ranges], [b for _, b in ranges], b" ".join(kept).decode())):
-                    x.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["doc_id", "n_words", "n_removed", "removed_from", "removed_to", "kept"])
+        other = C.WordHash(seed + 1)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.int64())
+        for ids, texts, starts, numbers in unpacked(batches):
+            out = [_finish(t, s or [], n or [], width, other) for t, s, n in zip(texts, starts, numbers)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, k) for x, k in zip(zip(*out), kinds))], names=[x.split()[0] for x in FINISHED.split(", ")])
 
     def by_document(entries: DataFrame, reduce) -> DataFrame:
-        found = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, FOUND)
+        found = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy("repeats", reduce), FOUND)
         return found.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"))
 
     # Both joins deal out the same rows by id, so that Spark shuffles the texts once.
-    shared = by_document(rows.where("doc_id IS NOT NULL").mapInArrow(find, ENTRIES), _shared)
-    looked = rows.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "starts", "lengths")
-    removed = by_document(looked.mapInArrow(windows, ENTRIES), _later)
-    out = rows.join(removed.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "starts")
-    return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, removed_from array<int>, removed_to array<int>, kept string")
+    texts = rows.mapInArrow(C.tidy("repeats", pack), "doc_id long, z binary")
+    shared = by_document(rows.where("doc_id IS NOT NULL").mapInArrow(C.tidy("repeats", find), ENTRIES), _shared)
+    looked = texts.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "z", "starts", "lengths")
+    removed = by_document(looked.mapInArrow(C.tidy("repeats", windows), ENTRIES), _later)
+    out = texts.join(removed.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "z", "starts", "lengths")
+    return out.mapInArrow(C.tidy("repeats", finish), FINISHED)
 
 
 def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
