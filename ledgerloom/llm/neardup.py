@@ -49,9 +49,9 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return tuple(rng.integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
 
-def shingle_sets(texts: list[bytes], width: int, known: C.WordHash) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles."""
-    h, counts = C.word_hashes([t.translate(C.LOWER_BYTES) for t in texts], known)
+    h, counts = C.word_hashes([t.translate(C.LOWER_BYTES) for t in texts])
     s, at, out = C.chain_hash(h, width), 0, []
     for n in counts.tolist():
         if n >= width:
@@ -83,10 +83,9 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets) and tokens (both null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = C.WordHash()
         for batch in batches:
             for part in C.slices(batch, 1, 1 << 20, 64):  # so few that their shingles stay in the processor's cache
-                sets = shingle_sets(C.as_bytes(part.column(1)), width, known)
+                sets = shingle_sets(C.as_bytes(part.column(1)), width)
                 tokens = iter(C.signed(_signatures(sets)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -141,12 +140,14 @@ def links_within(ids: list[int], sets: list[np.ndarray], percent: int) -> list[t
 
 def _node_links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (node, id, compressed text), sorted by node, to links (a < b)."""
-    known, large, node, held = C.WordHash(), zstandard.ZstdDecompressor(), None, {}
+    large, node, held = zstandard.ZstdDecompressor(), None, {}
 
     def close() -> pa.RecordBatch | None:
         if len(held) < 2:
             return None
-        sets = [s for z in held.values() for s in shingle_sets([large.decompress(z)], width, known)]
+        packed, sets = list(held.values()), []
+        for at in range(0, len(packed), 64):
+            sets += shingle_sets([large.decompress(z) for z in packed[at : at + 64]], width)
         found = links_within(list(held), sets, percent)
         a, b = ([f(x) for x in found] for f in (min, max))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if found else None

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Bytes of the filter, and of the words, that a worker holds at a time.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Bytes of training text for each cell.
 CELL_BYTES = 16 << 20
 #: Bytes of text that are scored at a time; the second where each shard is loaded anew for them.
-SCORED_BYTES, SCORED_BYTES_SHARDED = 4 << 20, 24 << 20
+SCORED_BYTES, SCORED_BYTES_SHARDED = 2 << 20, 8 << 20
 #: Taken off each pair's count.
 DISCOUNT = 0.5
 #: Probes for an event, and bits of filter for each event (a false event in 300).
@@ -74,9 +74,9 @@ class Layout:
         return self.group(before) * self.salts + (names % np.uint64(self.salts)).astype(np.int64)
 
 
-def tokens_of(texts: list[bytes], known: C.WordHash) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with END last, and the numbers of tokens."""
-    h, counts = C.word_hashes([t.translate(C.LOWER_BYTES) for t in texts], known)
+    h, counts = C.word_hashes([t.translate(C.LOWER_BYTES) for t in texts])
     counts = counts + 1
     out = np.full(int(counts.sum()), END, np.uint64)
     ends = np.cumsum(counts) - 1
@@ -92,14 +92,16 @@ def pairs_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, C.mix64(before * np.uint64(C.MIX_A) + C.mix64(tokens + np.uint64(C.GOLDEN)))
 
 
-def _summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Counts added up by key; sorted by the last key, within that by the one before."""
-    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
-    keys = tuple(k[order] for k in keys)
-    if not len(order):
-        return keys, counts
-    first = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
-    return tuple(k[first] for k in keys), np.add.reduceat(counts[order], first)
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None, also: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sorted keys, their counts (1 each, or those given) added up, and what goes with each key."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    if counts is None:
+        n = np.diff(np.append(first, len(keys)))
+    else:
+        n = np.add.reduceat(counts[order], first) if len(first) else counts
+    return (keys[first], n) if also is None else (keys[first], n, also[order[first]])
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -133,10 +135,11 @@ def count_ngrams(texts: DataFrame, layout: Layout) -> DataFrame:
     """Counts of words and pairs, added up within each task: a row per cell or group and task."""
 
     def send(tokens: np.ndarray, before: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        (words,), n_words = _summed((tokens,), np.ones(len(tokens), np.int64))
-        (pairs, firsts), n_pairs = _summed((names, before), np.ones(len(names), np.int64))
+        words, n_words = _summed(tokens)
+        pairs, n_pairs, firsts = _summed(names, also=before)  # a pair's name tells its first word
         cell = layout.cell(firsts, pairs)
-        order = np.argsort(cell, kind="stable")
+        order = np.argsort(firsts)
+        order = order[np.argsort(cell[order], kind="stable")]  # by cell, then first word, which packs well
         pairs, firsts, n_pairs = pairs[order], firsts[order], n_pairs[order]
         pair_at = np.searchsorted(cell[order], np.arange(layout.cells + 1))
         word_at = np.searchsorted(layout.group(words), np.arange(layout.groups + 1))
@@ -145,10 +148,10 @@ def count_ngrams(texts: DataFrame, layout: Layout) -> DataFrame:
         yield from _rows(rows, COUNTS, (pa.int32(), pa.int64(), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = C.WordHash(), [], 0
+        held, n = [], 0
         for batch in batches:
             for part in C.slices(batch, 0):
-                tokens, _ = tokens_of(C.as_bytes(part.column(0)), known)
+                tokens, _ = tokens_of(C.as_bytes(part.column(0)))
                 held.append((tokens, *pairs_of(tokens)))
                 n += len(tokens)
                 if n >= GATHER:
@@ -201,14 +204,16 @@ def _reduce_parts(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator
             rows.clear()
             pairs, firsts, n = (np.concatenate(x) for x in zip(*own))
             own.clear()
-            (pairs, firsts), n = _summed((pairs, firsts), n)
+            pairs, n, firsts = _summed(pairs, n, firsts)
+            order = np.argsort(firsts)
+            pairs, n, firsts = pairs[order], n[order], firsts[order]
             read, bits, n_bits = cell_filter(pairs, n)
             at = np.flatnonzero(np.concatenate(([True], firsts[1:] != firsts[:-1])))
             taken = np.add.reduceat(read - DISCOUNT, at)
             out = [(0, part, len(pairs), n_bits, bits.tobytes()), (1, part // layout.salts, len(at), 0, _blob(firsts[at], taken))]
         else:
             own = [_arrays(r["data"], r["n"], "<u8", "<i8") for r in rows]
-            (words,), n = _summed((np.concatenate([x[0] for x in own]),), np.concatenate([x[1] for x in own]))
+            words, n = _summed(*(np.concatenate(x) for x in zip(*own)))
             out = [(2, part - layout.cells, len(words), 0, _blob(words, n))]
         yield from _rows(out, PARTS, kinds)
 
@@ -326,8 +331,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     whole = SCORES.format(id=docs.schema[id_col].dataType.simpleString()) + ", token_scores array<double>" * with_tokens
     most = SCORED_BYTES if max(map(len, sent)) < 2 else SCORED_BYTES_SHARDED
 
-    def score(part: pa.RecordBatch, known: C.WordHash) -> pa.RecordBatch:
-        tokens, sizes = tokens_of(C.as_bytes(part.column(1)), known)
+    def score(part: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, sizes = tokens_of(C.as_bytes(part.column(1)))
         types, place = np.unique(tokens, return_inverse=True)
         place = place.astype(np.int32)
         count, left = np.zeros(len(types), np.int64), np.ones(len(types))
@@ -354,10 +359,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in whole.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = C.WordHash()
         for batch in batches:
             for part in C.slices(batch, 1, most, 4000 if most == SCORED_BYTES else 1 << 30):
-                yield score(part, known)
+                yield score(part)
 
     out = rows.mapInArrow(C.tidy("lm", run), whole)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score", *(["token_scores"] if with_tokens else []))

@@ -40,8 +40,8 @@ BAND_IQR = 2.0
 LEAST_TEXTS = 100
 #: Log perplexities are counted in steps of this size.
 STEP = 0.001
-#: Parts of texts whose log probabilities a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of text that are looked at together, and n-grams that are gathered before they are counted.
+SLICE, GATHER = 1 << 20, 2_000_000
 
 COUNTED = "lang string, gram long, n long"
 BUILT = "lang string, piece int, n long, grams binary"
@@ -51,29 +51,21 @@ _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 _NO_LETTERS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 
 
-def parts_of(words: list[bytes]) -> list[bytes]:
-    """The borders of a text's words: the four bytes before a word and its first three, or the whole
-    of a shorter one and the blank after it. With " word " for each word, their windows of
-    five bytes are those of the text, each once; four blanks stand before the first word."""
-    text, out, at = b"    " + b" ".join(words) + b" ", [], 0
-    for w in words:
-        n = len(w)
-        out.append(text[at : at + 7] if n > 1 else text[at : at + 6])
-        at += n + 1
-    return out
-
-
-def grams_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The five-byte windows of all parts (words get a blank on both sides), and their number in each."""
-    own = [p if b" " in p else b" " + p + b" " for p in parts]
-    sizes = np.maximum(np.fromiter(map(len, own), np.int64, len(own)) - ORDER + 1, 0)
-    raw = np.frombuffer(b"".join(own) + bytes(ORDER), np.uint8).astype(np.int64)
-    starts = C.starts_of(np.fromiter(map(len, own), np.int64, len(own)))[:-1]
-    at = np.repeat(starts - C.starts_of(sizes)[:-1], sizes) + np.arange(sizes.sum())
-    grams = np.zeros(len(at), np.int64)
-    for k in range(ORDER):
-        grams = grams << 8 | raw[at + k]
-    return grams, sizes
+def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The five-byte windows of all texts, one after another, and their number in each: that of the
+    bytes of its words and a blank after each. Four blanks stand before the first word."""
+    own = [b"    " + b" ".join(w) + b" " if w else b"" for w in map(bytes.split, texts)]
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+    raw = np.frombuffer(b"".join(own), np.uint8)
+    sizes = np.maximum(np.diff(ends, prepend=0) - (ORDER - 1), 0)
+    if not len(raw):
+        return np.empty(0, np.int64), sizes
+    two = raw[:-1].astype(np.int32) << 8 | raw[1:]
+    five = (two[:-3].astype(np.int64) << 24) | (two[2:-1].astype(np.int64) << 8) | raw[4:]
+    inside = np.ones(len(five), bool)
+    across = np.unique(ends[ends < len(raw)])[:, None] + np.arange(1 - ORDER, 0)
+    inside[across[(across >= 0) & (across < len(five))]] = False
+    return five[inside], sizes
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,19 +75,31 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    grams.sort()
+    at = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.empty(0, np.int64)
+    return grams[at], np.diff(np.append(at, len(grams)))
+
+
+def _by_lang_texts(texts: pa.Array, langs: pa.Array) -> dict[str, list[tuple[int, bytes]]]:
+    """Places and texts, by language."""
+    out: dict[str, list] = {}
+    for i, (text, lang) in enumerate(zip(C.as_bytes(texts), langs.to_pylist())):
+        out.setdefault(lang, []).append((i, text))
+    return out
+
+
 def count_grams(rows: DataFrame) -> DataFrame:
     """lang, gram, n over all texts of rows (text, lang): added up by task, then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, int]] = {}
+        held: dict[str, list[np.ndarray]] = {}
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def settle(lang: str) -> None:
-            seen = held.pop(lang)
-            grams, sizes = grams_of(list(seen))
-            n = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), sizes)
-            old = sums.get(lang, (np.empty(0, np.int64), np.empty(0, np.int64)))
-            sums[lang] = _summed(np.concatenate((old[0], grams)), np.concatenate((old[1], n)))
+            own = _counted(np.concatenate(held.pop(lang)))
+            old = sums.get(lang)
+            sums[lang] = own if old is None else _summed(*(np.concatenate(x) for x in zip(old, own)))
 
         def send(lang: str) -> Iterator[pa.RecordBatch]:
             keys, total = sums.pop(lang)
@@ -104,17 +108,11 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(keys[at : at + n]), pa.array(total[at : at + n])], names=["lang", "gram", "n"])
 
         for batch in batches:
-            for part in C.slices(batch, 0):
-                for text, lang in zip(C.as_bytes(part.column(0)), part.column(1).to_pylist()):
-                    seen = held.setdefault(lang, {})
-                    get, words = seen.get, text.split()
-                    for w in words:
-                        seen[w] = get(w, 0) + 1
-                    for w in parts_of(words):
-                        seen[w] = get(w, 0) + 1
-                if sum(map(len, held.values())) > REMEMBERED:
-                    for own in list(held):
-                        settle(own)
+            for part in C.slices(batch, 0, SLICE, 4000):
+                for lang, texts in _by_lang_texts(part.column(0), part.column(1)).items():
+                    held.setdefault(lang, []).append(grams_of([t for _, t in texts])[0])
+                    if sum(map(len, held[lang])) > GATHER:
+                        settle(lang)
                 if sum(len(k) for k, _ in sums.values()) > 2 * SHARD_GRAMS:
                     for own in list(sums):
                         yield from send(own)
@@ -226,43 +224,63 @@ def _send(spark: SparkSession, model: DataFrame, shards: int) -> list[tuple]:
     return [(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in model.where(F.floor(F.col("piece") / PIECES) == k).select("lang", "n", "grams").toLocalIterator()])) for k in range(shards)]
 
 
-def _load(rows: list[tuple]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+class Grams:
+    """Sorted hashes of a language's n-grams in a shard, their log probabilities, and an index by the
+    first bits of the hash: there is about one n-gram for each of its places."""
+
+    def __init__(self, hashes: np.ndarray, logs: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.logs = hashes[order], logs[order]
+        bits = max(1, len(hashes).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def get(self, grams: np.ndarray) -> np.ndarray:
+        """The log probabilities of n-grams, all of which are there."""
+        h = _hashed(grams)
+        at = self.begin[(h >> self.shift).astype(np.int32)]
+        miss = np.flatnonzero(self.hashes[at] != h)
+        while len(miss):
+            at[miss] += 1
+            miss = miss[self.hashes[at[miss]] != h[miss]]
+        return self.logs[at]
+
+
+def _load(rows: list[tuple]) -> dict[str, Grams]:
     held: dict[str, list] = {}
     for lang, n, data in rows:
         raw = zstandard.ZstdDecompressor().decompress(data)
         held.setdefault(lang, []).append((np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<f4", n, 8 * n)))
-    out = {}
-    for lang in list(held):
-        h, p = (np.concatenate(x) for x in zip(*held.pop(lang)))
-        order = np.argsort(h)
-        out[lang] = h[order], p[order]
-    return out
+    return {lang: Grams(*(np.concatenate(x) for x in zip(*held.pop(lang)))) for lang in list(held)}
 
 
-def log_p(parts: dict[str, list[bytes]], sent: list[tuple]) -> dict[str, np.ndarray]:
-    """The log probability of each part, by language. Each shard is loaded once at most."""
-    grams = {lang: grams_of(own) for lang, own in parts.items()}
-    logs = {lang: np.zeros(len(g)) for lang, (g, _) in grams.items()}
-    shard = {lang: shard_of(g >> 8 & 65535, len(sent)) for lang, (g, _) in grams.items()}
+def log_p(texts: dict[str, list[tuple[int, bytes]]], n: int, sent: list[tuple]) -> np.ndarray:
+    """The log probabilities of n texts, given by language with their places. Each shard is loaded once at most."""
+    grams = {lang: grams_of([t for _, t in own]) for lang, own in texts.items()}
+    logs = {lang: np.zeros(len(g), np.float32) for lang, (g, _) in grams.items()}
+    shard = {lang: shard_of(g >> 8 & 65535, len(sent)) if len(sent) > 1 else None for lang, (g, _) in grams.items()}
     for k, (key, b) in enumerate(sent):
-        if any((s == k).any() for s in shard.values()):
-            model = C.loaded(key, b, _load, f"shard{k % HELD_SHARDS}")
-            for lang, (g, _) in grams.items():
-                own = np.flatnonzero(shard[lang] == k)
-                if len(own):
-                    h, p = model[lang]
-                    logs[lang][own] = p[np.minimum(np.searchsorted(h, _hashed(g[own])), len(h) - 1)]
-    out = {}
+        if len(sent) > 1 and not any((s == k).any() for s in shard.values()):
+            continue
+        model = C.loaded(key, b, _load, f"shard{k % HELD_SHARDS}")
+        for lang, (g, _) in grams.items():
+            if len(sent) == 1:
+                if len(g):
+                    logs[lang] = model[lang].get(g)
+                continue
+            own = np.flatnonzero(shard[lang] == k)
+            if len(own):
+                logs[lang][own] = model[lang].get(g[own])
+    out = np.zeros(n)
     for lang, (_, sizes) in grams.items():
-        sums = np.concatenate(([0.0], np.cumsum(logs[lang])))
-        ends = C.starts_of(sizes)
-        out[lang] = sums[ends[1:]] - sums[ends[:-1]]
+        sums, ends = np.concatenate(([0.0], np.cumsum(logs[lang], dtype=np.float64))), C.starts_of(sizes)
+        out[[i for i, _ in texts[lang]]] = sums[ends[1:]] - sums[ends[:-1]]
     return out
 
 
-def _repeats(texts: list[bytes], known: C.WordHash, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text, and how many of them windows cover whose words occur twice or more in it."""
-    h, counts = C.word_hashes(texts, known)
+    h, counts = C.word_hashes(texts)
     covered = np.zeros(len(texts), np.int64)
     if len(h) >= width:
         doc = np.repeat(np.arange(len(texts)), counts)
@@ -283,29 +301,16 @@ def measure(rows: DataFrame, sent: list[tuple]) -> DataFrame:
     """The base measures and the log perplexity of rows (doc_id, text, lang); a text without words has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs = C.WordHash(), {}
         for batch in batches:
-            for part in C.slices(batch, 1, C.SLICE_BYTES if len(sent) <= HELD_SHARDS else 8 * C.SLICE_BYTES, 4000):
-                texts, langs = C.as_bytes(part.column(1)), part.column(2).to_pylist()
-                counts, covered = _repeats(texts, known)
-                if sum(map(len, logs.values())) > REMEMBERED:
-                    logs.clear()
-                split, new = [], {}
-                for text, lang in zip(texts, langs):
-                    words = text.split()
-                    split.append(words + parts_of(words))
-                    own = logs.setdefault(lang, {})
-                    fresh = set(split[-1]).difference(own)
-                    if fresh:
-                        new.setdefault(lang, []).extend(fresh)
-                        own.update(dict.fromkeys(fresh, 0.0))
-                for lang, got in log_p(new, sent).items():
-                    logs[lang].update(zip(new[lang], got.tolist()))
+            for part in C.slices(batch, 1, SLICE if len(sent) <= HELD_SHARDS else 16 * SLICE, 2000):
+                texts = C.as_bytes(part.column(1))
+                counts, covered = _repeats(texts)
+                logs = log_p(_by_lang_texts(part.column(1), part.column(2)), len(texts), sent)
                 perplexity, chars, symbols, lines = [], [], [], []
-                for text, parts, lang in zip(texts, split, langs):
+                for text, n, log in zip(texts, counts.tolist(), logs.tolist()):
                     points = len(text.decode("utf-8", "surrogatepass"))
                     letters = points - (len(text) - len(text.translate(None, _NO_LETTERS)))
-                    perplexity.append(-sum(map(logs[lang].__getitem__, parts)) / max(letters, 1) if parts else None)
+                    perplexity.append(-log / max(letters, 1) if n else None)
                     chars.append(points - (len(text) - len(text.translate(None, _SPACE))))
                     symbols.append(len(text) - len(text.translate(None, _SYMBOLS)))
                     said = [x for x in text.split(b"\n") if x.strip(_SPACE)]

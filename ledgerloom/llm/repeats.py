@@ -266,7 +266,7 @@ def _stream(parts, settle, buckets: int) -> Iterator[pa.RecordBatch]:
 FINISHED = "doc_id long, n_words long, n_removed long, removed_from array<int>, removed_to array<int>, kept string, differ long"
 
 
-def _finish(text: bytes, starts: list, numbers: list, width: int, other: C.WordHash) -> tuple:
+def _finish(text: bytes, starts: list, numbers: list, width: int, seed: int) -> tuple:
     """A text's numbers of words and of removed ones, their ranges, what is left, and what its windows
     add to the sum that verifies the matches (modulo 2^64)."""
     words = text.split()
@@ -282,7 +282,7 @@ def _finish(text: bytes, starts: list, numbers: list, width: int, other: C.WordH
     kept += words[at:]
     differ = 0
     if starts:
-        h, _ = C.word_hashes([text], other)
+        h, _ = C.word_hashes([text], seed)
         n = np.array(numbers, np.int64)
         names = window_names(h, width)[np.array(starts)]
         differ = int((names * np.where(n == 0, np.uint64(1), (-n).view(np.uint64))).sum().view(np.int64))
@@ -323,12 +323,10 @@ def _judged(rows: DataFrame, width: int, buckets: int, seed: int) -> DataFrame:
     """The result of repeated_words, with one choice of hashes, and each row's share of the check."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = C.WordHash(seed)
-
         def parts():
             for batch in batches:
                 for part in C.slices(batch, 1, 1 << 20, 256):
-                    h, counts = C.word_hashes(C.as_bytes(part.column(1)), known)
+                    h, counts = C.word_hashes(C.as_bytes(part.column(1)), seed)
                     names, doc, a, b = anchors(h, counts)
                     begin = C.starts_of(counts)
                     yield names, part.column(0).to_numpy(zero_copy_only=False)[doc].astype(np.int64), a - begin[doc], b - a
@@ -349,11 +347,9 @@ def _judged(rows: DataFrame, width: int, buckets: int, seed: int) -> DataFrame:
                 yield part.column(0).to_pylist(), [large.decompress(z) for z in part.column(1).to_pylist()], part.column(2).to_pylist(), part.column(3).to_pylist()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = C.WordHash(seed)
-
         def parts():
             for ids, texts, spans, lengths in unpacked(batches):
-                h, counts = C.word_hashes(texts, known)
+                h, counts = C.word_hashes(texts, seed)
                 begin = C.starts_of(counts)
                 own = [_candidates(h[begin[i] : begin[i + 1]], spans[i], lengths[i], width) for i in range(len(ids))]
                 own = [x if i is not None else x[:0] for i, x in zip(ids, own)]
@@ -366,10 +362,9 @@ def _judged(rows: DataFrame, width: int, buckets: int, seed: int) -> DataFrame:
         yield from _stream(parts(), _settle_first, buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = C.WordHash(seed + 1)
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.int64())
         for ids, texts, starts, numbers in unpacked(batches):
-            out = [_finish(t, s or [], n or [], width, other) for t, s, n in zip(texts, starts, numbers)]
+            out = [_finish(t, s or [], n or [], width, seed + 1) for t, s, n in zip(texts, starts, numbers)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, k) for x, k in zip(zip(*out), kinds))], names=[x.split()[0] for x in FINISHED.split(", ")])
 
     def by_document(entries: DataFrame, reduce) -> DataFrame:

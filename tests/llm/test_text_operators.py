@@ -366,14 +366,14 @@ def test_quality(docs, corpus, shard_grams):
                 assert math.isclose(got[i].log_perplexity, -logs / max(letters, 1), rel_tol=1e-5)
 
 
-def test_parts_hold_each_window_once():
+def test_grams_are_the_windows_of_each_text():
     rng = random.Random(4)
     for _ in range(200):
-        words = ["".join(rng.choices("abcé", k=rng.randint(1, 9))).encode() for _ in range(rng.randint(1, 12))]
-        whole = b"    " + b"".join(w + b" " for w in words)
-        grams, _ = Q.grams_of(words + Q.parts_of(words))
-        want = [int.from_bytes(whole[k : k + 5], "big") for k in range(len(whole) - 4)]
-        assert sorted(grams.tolist()) == sorted(want)
+        texts = [" ".join("".join(rng.choices("abcé \n", k=rng.randint(0, 9))) for _ in range(rng.randint(0, 6))).encode() for _ in range(rng.randint(1, 5))]
+        whole = [b"    " + b"".join(w + b" " for w in t.split()) for t in texts]
+        want = [[int.from_bytes(w[k : k + 5], "big") for k in range(len(w) - 4)] for w in whole]
+        grams, sizes = Q.grams_of(texts)
+        assert grams.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
 
 
 def test_quality_rejects_noise(spark, words):
@@ -480,7 +480,7 @@ def test_equal_names_of_different_windows_are_found_out(words, bits, same):
     texts = [" ".join(rng.choices(words, k=100) + passage + rng.choices(words, k=9)).encode() for _ in range(12)]
     sent = []
     for task in (texts[:5], texts[5:]):
-        names = [R.window_names(C.word_hashes([t], C.WordHash(0))[0], 50) & cut for t in task]
+        names = [R.window_names(C.word_hashes([t], 0)[0], 50) & cut for t in task]
         doc = np.concatenate([np.full(len(n), texts.index(t)) for t, n in zip(task, names)])
         sent += list(R._settle_first(np.concatenate(names), doc, np.concatenate([np.arange(len(n)) for n in names]), np.ones(len(doc), np.int64), 4))
     rows = sorted(((k, d) for batch in sent for k, d in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[0])
@@ -490,7 +490,7 @@ def test_equal_names_of_different_windows_are_found_out(words, bits, same):
             own = found.setdefault(d, ([], []))
             own[0].extend(starts)
             own[1].extend(numbers)
-    done = [R._finish(t, *found.get(i, ([], [])), 50, C.WordHash(1)) for i, t in enumerate(texts)]
+    done = [R._finish(t, *found.get(i, ([], [])), 50, 1) for i, t in enumerate(texts)]
     assert (sum(r[5] for r in done) % 2**64 == 0) == same
     if same:
         assert [r[1] for r in done] == [0] + [58] * 11
@@ -498,6 +498,12 @@ def test_equal_names_of_different_windows_are_found_out(words, bits, same):
 
 def test_word_hashes_split_like_the_contract(odd_rows):
     texts = [(t or "").encode() for t in odd_rows]
-    h, counts = C.word_hashes(texts, C.WordHash())
+    h, counts = C.word_hashes(texts, 0)
     assert counts.tolist() == [len(blanks(t)) for t in odd_rows] and len(h) == counts.sum()
+    long = [b"x" * n for n in (7, 8, 9, 15, 16, 17, 255, 256, 257, 300, 256)] + [b"y" + b"x" * 7, b"x" * 7 + b"\0"]
+    for seed in (0, 1):
+        one, _ = C.word_hashes([b" ".join(long)], seed)
+        each = [C.word_hashes([b"ab ", b" \t" + w + b"\n"], seed)[0][1] for w in long]
+        assert one.tolist() == [int(x) for x in each] and len(set(one.tolist())) == len(set(long))
+    assert C.word_hashes([b"a b"], 0)[0].tolist() != C.word_hashes([b"a b"], 1)[0].tolist() and C.word_hashes([])[1].tolist() == []
     assert hashlib.sha256(b"").hexdigest() == D.digest_of([])
