@@ -1,8 +1,11 @@
 """Licence scans in DataFrame functions only: sparse TF-IDF cosine of headers and licence
 files to templates, then inheritance from the nearest ancestor directory by path joins.
 
-Each distinct line is scored once, however many files hold it. Notices that run over several
-lines are compared as blocks, up to a blank line and without comment marks.
+A file is compared in three ways: each line with short notices; each block (up to a blank line,
+without comment marks) with the paragraphs of usual headers; a licence file, by its name, as a
+whole with the full texts of short licences. Each distinct line, block and text is scored once, however
+many files hold it. What cannot reach the least cosine, by a bound on the terms that it
+shares with a template, is left out before the shuffle; nothing else is.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ TEMPLATES = (
 
 #: Blocks of the usual headers and licence files. They have weights of their own.
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_LIBRARY = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {0} of the License, or (at your option) any later version."
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 BLOCKS = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
     ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
@@ -42,19 +48,37 @@ BLOCKS = (
     ("GPL-3.0", _GPL.format("", "3")),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", _GPL.format("Lesser ", "3")),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("AGPL-3.0", _GPL.format("Affero ", "3")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("ISC", _ISC),
+    ("LGPL-2.1", _LIBRARY.format("2.1")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", _MIT),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
+#: Whole texts of short licences, with weights of their own.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+TEXTS = (
+    ("BSD-2-Clause", "Copyright (c) " + _BSD + _BSD_END),
+    ("BSD-3-Clause", "Copyright (c) " + _BSD + _NAMES + _BSD_END),
+    ("ISC", "Copyright (c) " + _ISC + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", "MIT License Copyright (c) " + _MIT + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+)
 #: A line's comment marks, the blank lines that part blocks, words that any text has, and a block's terms: all other words.
 MARKS = r"(?m)^[ \t]*(?:(?:#+|/?\*+/?|//+|;+|--+|%+|<!--|\"{3}|'{3})[ \t]*)?|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
 BLANK, COMMON = r"\n\s*\n", "a an and any are as at be by can for from if in is it may not of on one or that the this to use was which with you"
 WORD = f"(?<![a-z0-9])(?!(?:{COMMON.replace(' ', '|')})(?![a-z0-9]))[a-z0-9]+"
 #: Names after SPDX-License-Identifier, in lower case: these and the templates' own.
 SPDX = r"(?i)spdx-license-identifier:\s*([a-z0-9.+-]*[a-z0-9+])"
-ALIASES = {"gpl-3.0-only": "GPL-3.0", "gpl-3.0-or-later": "GPL-3.0", "gpl-3.0+": "GPL-3.0", "gpl-2.0-only": "GPL-2.0", "gpl-2.0-or-later": "GPL-2.0", "gpl-2.0+": "GPL-2.0", "lgpl-3.0-only": "LGPL-3.0", "lgpl-3.0-or-later": "LGPL-3.0", "lgpl-3.0+": "LGPL-3.0"}
+ALIASES = {"gpl-3.0-only": "GPL-3.0", "gpl-3.0-or-later": "GPL-3.0", "gpl-3.0+": "GPL-3.0", "gpl-2.0-only": "GPL-2.0", "gpl-2.0-or-later": "GPL-2.0", "gpl-2.0+": "GPL-2.0", "lgpl-3.0-only": "LGPL-3.0", "lgpl-3.0-or-later": "LGPL-3.0", "lgpl-3.0+": "LGPL-3.0", "lgpl-2.1-only": "LGPL-2.1", "lgpl-2.1-or-later": "LGPL-2.1", "lgpl-2.1+": "LGPL-2.1", "agpl-3.0-only": "AGPL-3.0", "agpl-3.0-or-later": "AGPL-3.0"}
 
-#: What a line of a header must hold to be compared, and what names a licence file.
-MENTION = "(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use|mozilla public"
+#: What says that a licence does not hold, and what names a licence file.
+DENIED = r"(?i)\b(?:not|never|no longer)\s+(?:[a-z]+\s+){0,2}(?:licen[cs]ed|released|distributed|available|provided|offered|published)\s+under\b"
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Least cosine.
@@ -135,10 +159,9 @@ def _ancestors(path: Column) -> Column:
 def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """Per row of files: its columns and license, method (header, file, inherited, none), cosine, license_dir.
 
-    A line that mentions a licence is compared with the templates, in a licence file (by
-    its name) every line; and every block (what stands between blank lines) with the blocks
-    of the usual headers. An SPDX identifier of a known licence has cosine 1. The best of
-    these counts, if its cosine is `least` or more. A file
+    Lines, blocks and licence files are compared as above; those that deny a licence ("not
+    released under ...") are left out. An SPDX identifier of a known licence has cosine 1. The
+    best of these counts, if its cosine is `least` or more; of ties the first name. A file
     without one takes the licence of the nearest directory above it that has a licence
     file with one (of several the best, then the first by path). Null or empty texts have
     no lines; rows with a null path inherit nothing. Repeated rows are treated alike.
@@ -147,26 +170,29 @@ def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "
     spark = files.sparkSession
     scratch = C.Scratch(spark, "licenses")
     own = [c for c in files.columns if c not in ("license", "method", "cosine", "license_dir")]
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    rows = files.select(F.col(path_col).alias("p"), lines.alias("lines"))
-    is_file = _is_licence("p")
-    said = rows.select("p", is_file.alias("is_file"), F.explode(F.filter("lines", lambda x: (x.rlike(MENTION) | is_file) & (F.trim(x) != ""))).alias("line"))
-    said = scratch.save(said.where("p IS NOT NULL").distinct(), "lines")
-    scored = scratch.save(score_lines(said.select("line").distinct()).where(F.col("cosine") >= least), "scored")
-    parted = F.explode(F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), MARKS, ""), BLANK))
-    blocks = files.select(F.col(path_col).alias("p"), _is_licence(path_col).alias("is_file"), parted.alias("block")).where("p IS NOT NULL")
-    blocks = scratch.save(blocks.where(F.lower("block").rlike(_needed(BLOCKS, WORD, least))).where(_may_be_alike("block", BLOCKS, WORD, least)).withColumn("line", F.sha2("block", 256)), "blocks")
-    alike = score_lines(blocks.select("line", "block").distinct(), said="block", against=BLOCKS, term=WORD).where(F.col("cosine") >= least)
-    alike = blocks.select("p", "is_file", "line").distinct().join(alike, "line").select("p", "is_file", "license", "cosine")
-    ids = {name.lower(): name for name, _ in TEMPLATES + BLOCKS} | ALIASES
-    named = files.select(F.col(path_col).alias("p"), _is_licence(path_col).alias("is_file"), F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPDX), F.lit(1))).alias("id"))
-    named = named.where("p IS NOT NULL").select("p", "is_file", F.element_at(F.create_map(*(F.lit(x) for kv in ids.items() for x in kv)), F.lower("id")).alias("license"), F.lit(1.0).alias("cosine")).where("license IS NOT NULL")
-    best = said.join(scored, "line").select("p", "is_file", "license", "cosine").unionByName(alike).unionByName(named).groupBy("p", "is_file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b"))
+    text, denied = F.coalesce(F.col(text_col), F.lit("")), lambda c: F.col(c).rlike(DENIED)
+    rows = files.select(F.col(path_col).alias("p"), _is_licence(path_col).alias("is_file"), text.alias("text")).where("p IS NOT NULL")
+
+    def alike(units: DataFrame, against, term: str, name: str) -> DataFrame:
+        """p, is_file, license, cosine of units (p, is_file, said): what each is most like."""
+        some = units.where(F.lower("said").rlike(_needed(against, term, least))).where(_may_be_alike("said", against, term, least)).where(~denied("said"))
+        some = scratch.save(some.withColumn("line", F.sha2("said", 256)), name)
+        scored = score_lines(some.select("line", "said").distinct(), said="said", against=against, term=term).where(F.col("cosine") >= least)
+        return some.select("p", "is_file", "line").distinct().join(scored, "line").select("p", "is_file", "license", "cosine")
+
+    bare = F.regexp_replace("text", MARKS, "")
+    found = alike(rows.select("p", "is_file", F.explode(F.split("text", "\n")).alias("said")).where(F.trim("said") != ""), TEMPLATES, TERM, "lines")
+    found = found.unionByName(alike(rows.select("p", "is_file", F.explode(F.split(bare, BLANK)).alias("said")), BLOCKS, WORD, "blocks"))
+    found = found.unionByName(alike(rows.where("is_file").select("p", "is_file", bare.alias("said")), TEXTS, WORD, "texts"))
+    ids = {name.lower(): name for name, _ in TEMPLATES + BLOCKS + TEXTS} | ALIASES
+    named = rows.select("p", "is_file", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("id"))
+    named = named.select("p", "is_file", F.element_at(F.create_map(*(F.lit(x) for kv in ids.items() for x in kv)), F.lower("id")).alias("license"), F.lit(1.0).alias("cosine")).where("license IS NOT NULL")
+    best = found.unionByName(named).groupBy("p", "is_file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b"))
     best = scratch.save(best.select("p", "is_file", F.col("b.l").alias("license"), (-F.col("b.c")).alias("cosine")), "best")
     dirs = best.where("is_file").select(F.regexp_replace("p", "/?[^/]*$", "").alias("dir"), F.struct((-F.col("cosine")).alias("c"), F.col("p").alias("by"), F.col("license").alias("l")).alias("b"))
     dirs = scratch.save(dirs.groupBy("dir").agg(F.min("b").alias("b")).select("dir", F.col("b.l").alias("dir_license"), (-F.col("b.c")).alias("dir_cosine")), "dirs")
     # Directories are few beside files: the licence of each is found once, by its ancestors.
-    places = rows.select(F.regexp_replace("p", "/?[^/]*$", "").alias("place")).where("place IS NOT NULL").distinct()
+    places = rows.select(F.regexp_replace("p", "/?[^/]*$", "").alias("place")).distinct()
     up = places.select("place", F.explode(_ancestors(F.concat("place", F.when(F.col("place") == "", "").otherwise("/"), F.lit("x")))).alias("a")).select("place", "a.depth", "a.dir")
     near = up.join(dirs, "dir").groupBy("place").agg(F.max(F.struct("depth", "dir", "dir_license", "dir_cosine")).alias("n"))
     near = scratch.save(near.select(F.col("place").alias("_np"), F.col("n.dir").alias("_nd"), F.col("n.dir_license").alias("_nl"), F.col("n.dir_cosine").alias("_nc")), "near")
@@ -204,9 +230,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, len(string_split(trim(coal
 f AS (SELECT doc_id, text, lic, CASE WHEN lic AND lang = 'en' THEN source ELSE source || '/' || lang END AS dir,
              CASE WHEN lic THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name FROM d),
 t(k, license, term, weight) AS (VALUES {_values(rows)}), i(term, idf) AS (VALUES {_values(sorted(idf.items()))}),
-l AS (SELECT DISTINCT doc_id, lic, line FROM (SELECT doc_id, lic, unnest(string_split(text, chr(10))) AS line FROM f) WHERE (regexp_matches(line, '{MENTION}') OR lic) AND trim(line) <> ''),
-w AS (SELECT line, term, count(*) * coalesce(any_value(idf), {other!r}) AS w FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM (SELECT DISTINCT line FROM l)) LEFT JOIN i USING (term) GROUP BY 1, 2),
-s AS (SELECT line, license, k, sum(w * weight) AS dot FROM w JOIN t USING (term) GROUP BY 1, 2, 3),
+l AS (SELECT DISTINCT doc_id, lic, line FROM (SELECT doc_id, lic, unnest(string_split(text, chr(10))) AS line FROM f) WHERE trim(line) <> '' AND NOT regexp_matches(line, '{DENIED}')),
+w AS (SELECT line, term, count(*) * coalesce(any_value(CAST(idf AS DOUBLE)), CAST({other!r} AS DOUBLE)) AS w FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM (SELECT DISTINCT line FROM l)) LEFT JOIN i USING (term) GROUP BY 1, 2),
+s AS (SELECT line, license, k, sum(w * CAST(weight AS DOUBLE)) AS dot FROM w JOIN t USING (term) GROUP BY 1, 2, 3),
 n AS (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
 c AS (SELECT line, license, round(dot / norm, 6) AS cosine FROM s JOIN n USING (line)),
 b AS (SELECT line, license, cosine FROM c QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, license) = 1),

@@ -75,6 +75,19 @@ def test_licence_headers_over_several_lines(spark):
     assert by["i/x.rs"] == by["j/x.txt"] == (None, "none")
 
 
+def test_licence_files_as_a_whole_and_denials(spark):
+    names = {k: v for k, v in L.TEXTS}
+    lines = lambda text: "Copyright (c) 2021, Some One\n\n" + "\n".join(" ".join(text.split()[3:][i : i + 9]) for i in range(0, len(text.split()), 9))
+    files = [
+        ("a/LICENSE", lines(names["BSD-2-Clause"])), ("b/LICENSE", lines(names["BSD-3-Clause"])), ("c/LICENSE.md", lines(names["ISC"])), ("d/COPYING", lines(names["MIT"])), ("e/COPYING.LESSER", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999"),
+        ("f/COPYING", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1"), ("g/x.py", "# This work is not released under the MIT License."), ("h/x.py", "# It is no longer distributed under the Apache License, Version 2.0"), ("i/LICENSE", "All rights reserved. No part of this work may be copied by anyone for any purpose."),
+        ("j/x.c", "/* Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n * copyright notice and this permission notice appear in all copies. */"),
+    ]
+    by = {r.path: (r.license, r.method) for r in L.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [by[p][0] for p in ("a/LICENSE", "b/LICENSE", "c/LICENSE.md", "d/COPYING", "e/COPYING.LESSER", "f/COPYING")] == ["BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "LGPL-2.1", "LGPL-2.1"]
+    assert by["g/x.py"] == by["h/x.py"] == by["i/LICENSE"] == (None, "none") and by["j/x.c"] == ("ISC", "header")
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, words):
     rng, bad = random.Random(7), ["vileword", "nastyterm", "uglything"]
