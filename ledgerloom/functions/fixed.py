@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalar import _WIDE, _c, add, sub, wrap
+from .scalar import _c, add, eq, ge, gt, lt, product128, sub
 
 WIDTHS = (0, 8, 16, 32)
 
@@ -26,27 +26,50 @@ def from_fixed(raw, d: int) -> Column:
     return _c(raw).cast("double") / float(1 << d)
 
 
-def _product(a, b) -> Column:
-    return (_c(a).cast(_WIDE) * _c(b).cast(_WIDE)).cast(_WIDE)
+def _shifted(high: Column, low: Column, by: int) -> Column:
+    """A 128-bit number shifted right by 0 to 127 bits, rounded down; the low 64 bits of that."""
+    if by >= 64:
+        return F.shiftright(high, by - 64)
+    return F.shiftrightunsigned(low, by).bitwiseOR(F.shiftleft(high, 64 - by)) if by else low
 
 
-def _q(d: int, shift: int) -> Column:
-    return F.lit(str(1 << (d + shift))).cast(_WIDE)
+def _rest(high: Column, low: Column, by: int) -> Column:
+    """Whether any of the low `by` bits is set."""
+    bits = lambda x, n: x.bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1).cast("bigint")) != 0
+    if not by:
+        return F.lit(False)
+    return bits(low, min(by, 64)) if by <= 64 else bits(low, 64) | bits(high, by - 64)
 
 
 def fixed_mul(a, b, d: int, shift: int = 0) -> Column:
-    """Product of two scalars, cut off toward zero (and divided by 2^shift)."""
+    """Product of two scalars, cut off toward zero (and divided by 2^shift), modulo 2^64."""
     _check(d)
-    p, q = _product(a, b), _q(d, shift)
-    rest = p % q  # has the sign of p, so what is left divides exactly
-    return wrap(((p - rest) / q).cast(_WIDE))
+    high, low = product128(a, b)
+    down = _shifted(high, low, d + shift)
+    return F.when((high < 0) & _rest(high, low, d + shift), add(down, F.lit(1))).otherwise(down)
 
 
 def fixed_mul_floor(a, b, d: int, shift: int = 0) -> Column:
-    """Product as matrices have it: rounded toward minus infinity."""
+    """Product as matrices have it: rounded toward minus infinity, modulo 2^64."""
     _check(d)
-    p, q = _product(a, b), _q(d, shift)
-    return wrap(((p - F.pmod(p, q)) / q).cast(_WIDE))
+    return _shifted(*product128(a, b), d + shift)
+
+
+def fixed_lt(a, b) -> Column:
+    """Comparisons of fixed-point numbers of the same D are those of their integers."""
+    return lt(a, b)
+
+
+def fixed_gt(a, b) -> Column:
+    return gt(a, b)
+
+
+def fixed_ge(a, b) -> Column:
+    return ge(a, b)
+
+
+def fixed_eq(a, b) -> Column:
+    return eq(a, b)
 
 
 def fixed_add(a, b) -> Column:

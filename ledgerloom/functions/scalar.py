@@ -1,7 +1,7 @@
 """Comparisons, logic and bits on 64-bit columns: signed, two's complement, wrapping.
 
-Arithmetic is done in DECIMAL where it could overflow, so the results do not depend on
-spark.sql.ansi.enabled. A null operand gives null.
+Arithmetic goes by 32-bit halves, none of whose partial results can overflow, so the results do
+not depend on spark.sql.ansi.enabled and stay within generated code. A null operand gives null.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WIDE = "decimal(38,0)"
+_WIDE = "decimal(38,0)"  # for sums, which may pass 64 bits
 
 
 def _c(x) -> Column:
@@ -74,23 +74,69 @@ def nor(*xs) -> Column:
     return out
 
 
+def _long(x) -> Column:
+    return _c(x).cast("bigint")
+
+
+_LOW32 = 0xFFFFFFFF
+
+
+def low32(x: Column) -> Column:
+    """The low half, unsigned."""
+    return x.bitwiseAND(F.lit(_LOW32).cast("bigint"))
+
+
+def high32(x: Column) -> Column:
+    """The high half, signed."""
+    return F.shiftright(x, 32)
+
+
+def _of_halves(high: Column, low: Column) -> Column:
+    return F.shiftleft(high, 32).bitwiseOR(low32(low))
+
+
+def narrow(x: Column, bits: int) -> Column:
+    """The low `bits` bits (64 at most) as a signed number."""
+    if not 1 <= bits <= 64:
+        raise ValueError("bits must be 1..64")
+    return x if bits == 64 else F.shiftright(F.shiftleft(x, 64 - bits), 64 - bits)
+
+
+def _add(x: Column, y: Column) -> Column:
+    low = low32(x) + low32(y)
+    return _of_halves(high32(x) + high32(y) + high32(low), low)
+
+
 def add(a, b, bits: int = 64) -> Column:
-    return wrap(_c(a).cast(_WIDE) + _c(b).cast(_WIDE), bits)
+    return narrow(_add(_long(a), _long(b)), bits)
 
 
 def sub(a, b, bits: int = 64) -> Column:
-    return wrap(_c(a).cast(_WIDE) - _c(b).cast(_WIDE), bits)
+    x, y = _long(a), _long(b)
+    low = low32(x) - low32(y)
+    return narrow(_of_halves(high32(x) - high32(y) + high32(low), low), bits)
+
+
+def _low_product(x: Column, y: Column) -> tuple[Column, Column]:
+    """High and low half of the product of the low halves: one factor goes in parts of 16 bits."""
+    a, b = low32(x), low32(y)
+    upper, lower = F.shiftright(a, 16) * b, a.bitwiseAND(F.lit(0xFFFF).cast("bigint")) * b
+    high = F.shiftright(upper + F.shiftright(lower, 16), 16)
+    return high, low32(F.shiftleft(upper.bitwiseAND(F.lit(0xFFFF).cast("bigint")), 16) + low32(lower))
+
+
+def product128(a, b) -> tuple[Column, Column]:
+    """The 128-bit product of two numbers: its high half, signed, and its low half as 64 bits."""
+    x, y = _long(a), _long(b)
+    high, low = _low_product(x, y)
+    first = high32(x) * low32(y) + high
+    second = low32(x) * high32(y) + low32(first)
+    return high32(x) * high32(y) + high32(first) + high32(second), _of_halves(second, low)
 
 
 def mul(a, b, bits: int = 64) -> Column:
-    """Product modulo 2^bits: from 32-bit halves, so that no partial product leaves DECIMAL(38)."""
-    full = F.lit(str(1 << 64)).cast(_WIDE)
-    x, y = F.pmod(_c(a).cast(_WIDE), full), F.pmod(_c(b).cast(_WIDE), full)
-    k = F.lit(str(1 << 32)).cast(_WIDE)
-    high = lambda v: ((v - F.pmod(v, k)) / k).cast(_WIDE)
-    low = lambda v: F.pmod(v, k)
-    cross = F.pmod((high(x) * low(y)).cast(_WIDE) + (low(x) * high(y)).cast(_WIDE), k)
-    return wrap((cross * k).cast(_WIDE) + (low(x) * low(y)).cast(_WIDE), bits)
+    """Product modulo 2^bits."""
+    return narrow(product128(a, b)[1], bits)
 
 
 def max_(a, b) -> Column:
@@ -143,6 +189,15 @@ def to_binary(x) -> Column:
     return F.bin(_c(x))
 
 
+def all_false(n: int) -> Column:
+    """n bits, none of them set."""
+    return F.array(*(F.lit(False) for _ in range(n)))
+
+
+def all_true(n: int) -> Column:
+    return F.array(*(F.lit(True) for _ in range(n)))
+
+
 def random_mask(seed: int) -> Column:
     """A random 64-bit number for each row."""
     return F.xxhash64(F.rand(seed))

@@ -23,9 +23,22 @@ def keys_of(keys: Keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _known_unique(df: DataFrame, cols: list[str]) -> bool:
+    """Whether the plan itself tells that the columns are a key: after a distinct or an aggregate by them."""
+    try:
+        found = df._jdf.queryExecution().optimizedPlan().distinctKeys().toSeq()
+        sets = [found.apply(i).toSeq() for i in range(found.size())]
+        return any({own.apply(i).name() for i in range(own.size())} <= set(cols) for own in sets)
+    except Exception:  # no such knowledge in this kind of session: the keys are counted
+        return False
+
+
 def check_unique(df: DataFrame, keys: Keys) -> DataFrame:
-    """df, or DuplicateKeyError if two rows share a key without nulls. Costs one aggregate."""
+    """df, or DuplicateKeyError if two rows share a key without nulls. Costs one aggregate, unless
+    the plan makes the key unique."""
     cols = keys_of(keys)
+    if _known_unique(df, cols):
+        return df
     found = df.dropna(subset=cols).groupBy(*cols).count().where("count > 1").limit(1).collect()
     if found:
         raise DuplicateKeyError(f"key {tuple(found[0][c] for c in cols)} occurs {found[0]['count']} times")
@@ -66,9 +79,8 @@ def join(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, lef
     return left.join(r, _on(left, lk)).select(*(left[f"`{c}`"] for c in left_columns), *(F.col(f"_r{i}").alias(c) for i, c in enumerate(right_columns)))
 
 
-def left_join(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_columns: Sequence[str], right_columns: Sequence[str] = (), *, flag: str | None = None, unique: bool = True, zero_fill: bool = True) -> DataFrame:
-    """All left rows; right columns of unmatched rows are zero (or null). Selecting a right key
-    gives the left one. `flag` names a last column that tells whether the row matched."""
+def _outer(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_columns: Sequence[str], right_columns: Sequence[str], unique: bool, zero_fill: bool) -> tuple[DataFrame, list[Column], list[Column], Column]:
+    """The joined rows, and the columns of both sides and the mark of a match, to be selected."""
     lk, rk = keys_of(left_key), keys_of(right_key)
     if unique:
         check_unique(right, rk)
@@ -79,15 +91,20 @@ def left_join(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys
             own.append(left[f"`{lk[rk.index(c)]}`"].alias(c))
         else:
             own.append((F.when(F.col("_hit"), F.col(f"_r{i}")).otherwise(zero_of(right.schema[c].dataType)) if zero_fill else F.col(f"_r{i}")).alias(c))
-    hit = [F.coalesce(F.col("_hit"), F.lit(False)).alias(flag)] if flag else []
-    return left.join(r, _on(left, lk), "left").select(*(left[f"`{c}`"] for c in left_columns), *own, *hit)
+    return left.join(r, _on(left, lk), "left"), [left[f"`{c}`"] for c in left_columns], own, F.coalesce(F.col("_hit"), F.lit(False))
+
+
+def left_join(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_columns: Sequence[str], right_columns: Sequence[str] = (), *, flag: str | None = None, unique: bool = True, zero_fill: bool = True) -> DataFrame:
+    """All left rows; right columns of unmatched rows are zero (or null). Selecting a right key
+    gives the left one. `flag` names a last column that tells whether the row matched."""
+    both, a, b, hit = _outer(left, right, left_key, right_key, left_columns, right_columns, unique, zero_fill)
+    return both.select(*a, *b, *([hit.alias(flag)] if flag else []))
 
 
-def right_join(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_columns: Sequence[str], right_columns: Sequence[str], **options) -> DataFrame:
+def right_join(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_columns: Sequence[str], right_columns: Sequence[str], *, flag: str | None = None, unique: bool = True, zero_fill: bool = True) -> DataFrame:
     """All right rows: left_join with the sides exchanged, columns of the left first."""
-    out = left_join(right, left, right_key, left_key, right_columns, left_columns, **options)
-    flag = [options["flag"]] if options.get("flag") else []
-    return out.select(*left_columns, *right_columns, *flag)
+    both, b, a, hit = _outer(right, left, right_key, left_key, right_columns, left_columns, unique, zero_fill)
+    return both.select(*a, *b, *([hit.alias(flag)] if flag else []))
 
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ so a value that fills a third of the table still spreads over many ranges.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,25 @@ from ..functions.scalar import _c
 SAMPLED = 20
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], name: str, ranges: int | None = None) -> DataFrame:
+    """df and the number of each row's range of the keys (nulls in the first). Bounds are those of
+    a sample; a row is compared with every tenth or so of them, then with those in between."""
+    n = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = [tuple(r) for r in df.select(*keys).orderBy(F.xxhash64(*keys)).limit(n * SAMPLED).collect()]
+    sample = sorted((r for r in sample if None not in r))[SAMPLED // 2 :: SAMPLED]
+    if not sample:
+        return df.withColumn(name, F.lit(0))
+    kinds = [df.schema[c].dataType for c in keys]
+    struct = lambda b: F.struct(*(F.lit(v).cast(k).alias(f"k{i}") for i, (v, k) in enumerate(zip(b, kinds))))
+    row = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)))
+    below = lambda array: F.size(F.filter(array, lambda b: b <= row))
+    step = math.isqrt(len(sample) - 1) + 1
+    blocks = [sample[i : i + step] for i in range(0, len(sample), step)]
+    block = below(F.array(*(struct(b[0]) for b in blocks)))  # 0: before the first bound of all
+    within = below(F.element_at(F.array(*(F.array(*map(struct, b)) for b in blocks)), F.greatest(block, F.lit(1))))
+    return df.withColumn(name, F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + within))
+
+
 def with_rank(df: DataFrame, order: Sequence[str], name: str = "rank", *, partition: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """df and each row's place from 0 in ascending order of `order` (nulls first).
 
@@ -27,16 +47,7 @@ def with_rank(df: DataFrame, order: Sequence[str], name: str = "rank", *, partit
     get different places in no set order. With `partition`, places count within each value
     of it, and the ranges are of (partition, order).
     """
-    spark = df.sparkSession
-    keys = [*partition, *order]
-    row = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)))
-    n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = [tuple(r) for r in df.select(*keys).orderBy(F.xxhash64(*keys)).limit(n * SAMPLED).collect()]
-    sample = sorted((r for r in sample if None not in r))[SAMPLED // 2 :: SAMPLED]
-    kinds = [df.schema[c].dataType for c in keys]
-    bounds = [F.struct(*(F.lit(v).cast(k).alias(f"k{i}") for i, (v, k) in enumerate(zip(b, kinds)))) for b in sample]
-    at = F.size(F.filter(F.array(*bounds), lambda b: b <= row)) if bounds else F.lit(0)
-    dealt = df.withColumn("_range", at)
+    dealt = _dealt(df, [*partition, *order], "_range", ranges)
     counts = dealt.groupBy("_range", *partition).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if partition else None
     if partition:
@@ -128,18 +139,19 @@ def gather(df: DataFrame, ordinal: str, mapping: DataFrame, source: str = "sourc
 def duplicate_forward(df: DataFrame, ordinal: str, flag: str, columns: Sequence[str]) -> DataFrame:
     """Where flag is set, a row takes the values of the nearest row before it without one.
 
-    The rows without a flag begin ranges; ranks find a range's first row, and a join
-    carries its values on, so no window spans the table.
+    Rows are dealt into ranges of the ordinal and look back within theirs. What the ranges before
+    leave behind, their last row without a flag, is a row for each range: few, whatever
+    the size of the table, so that no window and no array spans it.
     """
-    ranked = with_rank(df, [ordinal], "_rank")
-    heads = with_rank(ranked.where(~F.col(flag)), [ordinal], "_head")
-    spans = heads.select("_head", F.col("_rank").alias("_from"), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(columns)))
-    after = heads.select((F.col("_head") - 1).alias("_head"), F.col("_rank").alias("_to"))
-    last = ranked.count()
-    whole = spans.join(after, "_head", "left").withColumn("_to", F.coalesce("_to", F.lit(last)))
-    each = whole.select(F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_at"), *(f"_v{i}" for i in range(len(columns))))
-    put = {c: f"_v{i}" for i, c in enumerate(columns)}
-    return ranked.join(each, F.col("_rank") == F.col("_at"), "left").select(*(F.when(F.col(flag), F.col(put[c])).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in df.columns))
+    dealt = _dealt(df, [ordinal], "_range")
+    head = F.when(~F.col(flag), F.struct(*(F.col(c).alias(f"_v{i}") for i, c in enumerate(columns))))
+    left = dealt.groupBy("_range").agg(F.max(F.when(~F.col(flag), F.struct(F.col(ordinal).alias("_o"), head.alias("_h")))).alias("_m"))
+    carry = left.select(F.col("_range").alias("_r"), F.last(F.col("_m")["_h"], ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    own = F.last(head, ignorenulls=True).over(Window.partitionBy("_range").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = dealt.withColumn("_own", own).join(F.broadcast(carry), F.col("_range") == F.col("_r"), "left")
+    got = F.coalesce("_own", "_carry")
+    put = {c: got[f"_v{i}"] for i, c in enumerate(columns)}
+    return rows.select(*(F.when(F.col(flag), put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in df.columns))
 
 
 def argwhere(df: DataFrame, ordinal: str, column: str, target) -> DataFrame:

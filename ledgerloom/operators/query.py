@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,9 +27,10 @@ def width_of(kind: T.DataType) -> int | None:
     return {T.BooleanType: 1, T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(kind))
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Expr:
-    """An expression and its width in bits; widths must agree for | and &, and + and * keep the left's."""
+    """An expression and its width in bits; widths must agree for | and &, and + and * keep the left's.
+    == and != give expressions, too."""
 
     column: Column
     bits: int | None
@@ -48,6 +50,18 @@ class Expr:
     def __lt__(self, other: "Expr") -> "Expr":
         return Expr(self.column < other.column, 1)
 
+    def __eq__(self, other: "Expr") -> "Expr":  # type: ignore[override]
+        return Expr(self.column == other.column, 1)
+
+    def __ne__(self, other: "Expr") -> "Expr":  # type: ignore[override]
+        return Expr(self.column != other.column, 1)
+
+    __hash__ = object.__hash__
+
+    def apply(self, fn: Callable[..., Column], *others: "Expr", bits: int | None = None) -> "Expr":
+        """Any function of columns, a pandas UDF among them, of this expression and others."""
+        return Expr(fn(self.column, *(o.column for o in others)), bits)
+
     def __invert__(self) -> "Expr":
         return Expr(~self.column if self.bits == 1 else F.bitwise_not(self.column), self.bits)
 
@@ -66,6 +80,7 @@ class JoinQuery:
         self.unique, self.flag, self.where = unique, None, None
         self.tables: dict[str, DataFrame] = {}
         self.inputs: dict[tuple[str, str], str] = {}
+        self.tests: dict[tuple[str, str], str] = {}
         self.outputs: list[tuple[str, Expr]] = []
 
     def join_on(self, left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> Expr:
@@ -85,6 +100,22 @@ class JoinQuery:
         name = self.inputs.setdefault((side, column), f"_in{len(self.inputs)}")
         return Expr(F.col(name), width_of(kind))
 
+    def is_not_null(self, side: str, column: str) -> Expr:
+        """Whether a source column holds a value: false in rows without a match, which read as zero
+        elsewhere. The right key tells whether a row matched."""
+        if side not in self.tables:
+            raise ValueError("join_on comes first; sides are left and right")
+        self.tables[side].schema[column]
+        return Expr(F.col(self.tests.setdefault((side, column), f"_has{len(self.tests)}")), 1)
+
+    @staticmethod
+    def case(*branches: tuple[Expr, Expr], otherwise: Expr) -> Expr:
+        """CASE WHEN condition THEN value ... ELSE otherwise END; the width is that of the last."""
+        out = F.when(branches[0][0].column, branches[0][1].column)
+        for condition, value in branches[1:]:
+            out = out.when(condition.column, value.column)
+        return Expr(out.otherwise(otherwise.column), otherwise.bits)
+
     @staticmethod
     def constant(value, bits: int | None = 64) -> Expr:
         return Expr(F.lit(value), bits)
@@ -106,13 +137,17 @@ class JoinQuery:
         left, right = self.tables["left"], self.tables["right"]
         if self.unique:
             joins.check_unique(right, self.keys["right"])
-        a = left.select(F.col(self.keys["left"]).alias("_lk"), *(F.col(c).alias(n) for (s, c), n in self.inputs.items() if s == "left"))
-        b = right.select(F.col(self.keys["right"]).alias("_rk"), *(F.col(c).alias(n) for (s, c), n in self.inputs.items() if s == "right"), F.lit(True).alias("_hit"))
+        own = lambda side: [F.col(f"`{c}`").alias(n) for (s, c), n in self.inputs.items() if s == side] + [F.col(f"`{c}`").isNotNull().alias(n) for (s, c), n in self.tests.items() if s == side]
+        a = left.select(F.col(self.keys["left"]).alias("_lk"), *own("left"))
+        b = right.select(F.col(self.keys["right"]).alias("_rk"), *own("right"), F.lit(True).alias("_hit"))
         both = a.join(b, F.col("_lk") == F.col("_rk"), "left" if self.flag else "inner")
         if self.flag:
             for (s, c), n in self.inputs.items():
                 if s == "right":
                     both = both.withColumn(n, F.when(F.col("_hit"), F.col(n)).otherwise(joins.zero_of(right.schema[c].dataType)))
+            for (s, _), n in self.tests.items():
+                if s == "right":
+                    both = both.withColumn(n, F.coalesce(F.col(n), F.lit(False)))
         hit = F.coalesce(F.col("_hit"), F.lit(False))
         if self.where is not None:
             hit = hit & F.coalesce(self.where.column, F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import piecewise as P
 from ..functions import scalar as S
+from ..ml import drivers
 from ..ml import regression as R
 from ..operators import agg as A
 from ..operators import joins as J
@@ -17,7 +18,7 @@ from ..operators import lookup as L
 from ..operators import order as O
 from ..operators import setops as U
 from ..operators.query import JoinQuery
-from ..sources import spn, tables
+from ..sources import spn, synthetic, tables
 from . import apps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,11 +132,10 @@ def _(t):
     return J.right_join(t.supplier, t.customer, "s_suppkey", "c_custkey", ["s_nationkey"], ["c_custkey", "c_nationkey"], flag="f")
 
 
-@query("join_expand", "SELECT l_orderkey, l_linenumber, p_name, l_suppkey FROM lineitem JOIN (SELECT l_partkey AS k, l_linenumber AS x FROM lineitem WHERE l_orderkey < 20) r ON lineitem.l_partkey = r.k JOIN part ON p_partkey = l_partkey")
+@query("join_expand", "SELECT c_custkey, c_nationkey, s_suppkey, n_name FROM customer JOIN supplier ON c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey")
 def _(t):
-    few = t.lineitem.where("l_orderkey < 20").select(F.col("l_partkey").alias("k"))
-    both = J.join(t.lineitem, few, "l_partkey", "k", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], unique=False)
-    return J.join(both, t.part, "l_partkey", "p_partkey", ["l_orderkey", "l_linenumber", "l_suppkey"], ["p_name"])
+    both = J.join(t.customer, t.supplier, "c_nationkey", "s_nationkey", ["c_custkey", "c_nationkey"], ["s_suppkey"], unique=False)
+    return J.join(both, t.nation, "c_nationkey", "n_nationkey", ["c_custkey", "c_nationkey", "s_suppkey"], ["n_name"])
 
 
 @query("join_composite", "SELECT l_orderkey, l_linenumber, l_quantity, n FROM lineitem JOIN (SELECT l_partkey AS p, l_suppkey AS s, count(*) AS n FROM lineitem GROUP BY 1, 2) ON l_partkey = p AND l_suppkey = s")
@@ -159,44 +159,103 @@ def _(t):
     return J.anti(t.customer, t.supplier, "c_custkey", "s_suppkey").select("c_custkey", "c_name")
 
 
-@query("full_join", """SELECT coalesce(c_custkey, o_orderkey) AS key, c_acctbal, o_totalprice, c_custkey IS NOT NULL AS in_left, o_orderkey IS NOT NULL AS in_right
- FROM (SELECT * FROM customer WHERE c_custkey < 900) FULL JOIN (SELECT * FROM orders WHERE o_orderkey BETWEEN 500 AND 2000) ON c_custkey = o_orderkey""")
+@query("join_right_same_names", "SELECT c.v, s.v AS w, coalesce(s.n, 0) AS n, s.k IS NOT NULL AS f FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer) c LEFT JOIN (SELECT s_suppkey AS k, s_acctbal AS v, s_nationkey AS n FROM supplier) s USING (k)")
 def _(t):
-    return J.full_join(t.customer.where("c_custkey < 900"), t.orders.where("o_orderkey BETWEEN 500 AND 2000"), "c_custkey", "o_orderkey", ["c_acctbal"], ["o_totalprice"])
+    c, s = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"), F.col("s_nationkey").alias("n"))
+    return J.right_join(s, c, "k", "k", ["v", "n"], ["v"], flag="f", zero_fill=False).toDF("w", "n", "v", "f").select("v", "w", F.coalesce("n", F.lit(0)).alias("n"), "f")
+
+
+@query("full_join", """SELECT coalesce(l, r) AS key, c_acctbal, o_totalprice, l IS NOT NULL AS in_left, r IS NOT NULL AS in_right
+ FROM (SELECT c_custkey * 2 AS l, c_acctbal FROM customer) FULL JOIN (SELECT o_orderkey * 3 AS r, o_totalprice FROM orders) ON l = r""")
+def _(t):
+    left, right = t.customer.select((F.col("c_custkey") * 2).alias("l"), "c_acctbal"), t.orders.select((F.col("o_orderkey") * 3).alias("r"), "o_totalprice")
+    return J.full_join(left, right, "l", "r", ["c_acctbal"], ["o_totalprice"])
+
+
+@query("builder_filter", "SELECT o_orderkey, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < o_custkey % 25")
+def _(t):
+    q = JoinQuery()
+    q.join_on(t.orders.withColumn("m", (F.col("o_custkey") % 25).cast("int")), "o_custkey", t.customer.withColumn("c_nationkey", F.col("c_nationkey").cast("int")), "c_custkey")
+    q.output("o_orderkey", q.input("left", "o_orderkey"))
+    q.output("c_acctbal", q.input("right", "c_acctbal"))
+    q.filter(q.input("right", "c_nationkey") < q.input("left", "m"))
+    return q.run()
+
+
+@query("builder_case", """SELECT o_orderkey, o_orderkey = c_custkey AS same, o_orderkey <> c_custkey AS other, c_custkey IS NOT NULL AS known,
+ CASE WHEN c_custkey IS NULL THEN -1 WHEN o_orderkey = c_custkey THEN 0 ELSE o_orderkey END AS chosen, o_orderkey % 97 AS mine, c_custkey IS NOT NULL AS f
+ FROM orders LEFT JOIN (SELECT c_custkey FROM customer) ON c_custkey = o_orderkey * 2 - 100""")
+def _(t):
+    q = JoinQuery()
+    key = q.join_on(t.orders.withColumn("k", F.col("o_orderkey") * 2 - 100), "k", t.customer.withColumn("id", F.col("c_custkey")), "c_custkey")
+    order, customer = q.input("left", "o_orderkey"), q.input("right", "id")
+    known = q.is_not_null("right", "id")
+    q.output("o_orderkey", order)
+    q.output("same", (order == customer).apply(lambda same, k: F.when(k, same), known, bits=1))
+    q.output("other", (order != key).apply(lambda other, k: F.when(k, other), known, bits=1))
+    q.output("known", known)
+    q.output("chosen", q.case((~known, q.constant(-1)), (order == customer, q.constant(0)), otherwise=order))
+    q.output("mine", order.apply(lambda x: F.pmod(x, F.lit(97)), bits=64))
+    q.no_reveal("f")
+    return q.run()
+
+
+@query("builder_widths", """SELECT o_orderkey, CAST((CAST(o_orderkey % 128 AS BIGINT) * (o_custkey % 128) + 128) % 256 - 128 AS TINYINT) AS t8, CAST((CAST(o_orderkey % 32768 AS BIGINT) * o_custkey + 32768) % 65536 - 32768 AS SMALLINT) AS t16,
+ CAST((CAST(o_orderkey AS BIGINT) * 65537 * (o_custkey + 1) + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS t32, CAST((o_orderkey % 128 + o_custkey % 128 + 128) % 256 - 128 AS TINYINT) AS p8 FROM orders JOIN customer ON o_custkey = c_custkey""")
+def _(t):
+    a = t.orders.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 128).cast("byte").alias("a8"), (F.col("o_orderkey") % 32768).cast("short").alias("a16"), S.mul("o_orderkey", F.lit(65537), 32).cast("int").alias("a32"))
+    b = t.customer.select("c_custkey", (F.col("c_custkey") % 128).cast("byte").alias("b8"), (F.col("c_custkey") + 1).alias("b32"))
+    q = JoinQuery()
+    key = q.join_on(a, "o_custkey", b, "c_custkey")
+    q.output("o_orderkey", q.input("left", "o_orderkey"))
+    a8, b8 = q.input("left", "a8"), q.input("right", "b8")
+    for name, e, kind in (("t8", a8 * b8, "byte"), ("t16", q.input("left", "a16") * key, "short"), ("t32", q.input("left", "a32") * q.input("right", "b32"), "int"), ("p8", a8 + b8, "byte")):
+        q.output(name, e.apply(lambda x, k=kind: x.cast(k), bits=e.bits))
+    return q.run()
 
 
 # Set operations ------------------------------------------------------------------------
 
-_CUST, _SUPP = ["c_custkey", "c_nationkey", "c_acctbal"], ["s_suppkey", "s_nationkey", "s_acctbal"]
-_SELECT_C, _SELECT_S = f"SELECT {', '.join(_CUST)} FROM customer WHERE c_custkey >= 50", f"SELECT {', '.join(_SUPP)} FROM supplier"
+_CUST, _SUPP = ["c_key", "c_nationkey", "c_acctbal"], ["s_suppkey", "s_nationkey", "s_acctbal"]
+_C, _S = "(SELECT c_custkey + 50 AS c_key, c_nationkey, c_acctbal FROM customer)", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier"
 
 
-@query("right_union", f"{_SELECT_S.replace('s_suppkey, s_nationkey, s_acctbal', 's_suppkey AS c_custkey, s_nationkey AS c_nationkey, s_acctbal AS c_acctbal')} UNION ALL {_SELECT_C} AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def _customers(t) -> DataFrame:
+    """Customers under keys that begin at 50, so that suppliers have some of their own."""
+    return t.customer.select((F.col("c_custkey") + 50).alias("c_key"), "c_nationkey", "c_acctbal")
+
+
+@query("right_union", f"SELECT s_suppkey AS c_key, s_nationkey AS c_nationkey, s_acctbal AS c_acctbal FROM supplier UNION ALL SELECT * FROM {_C} WHERE c_key NOT IN (SELECT s_suppkey FROM supplier)")
 def _(t):
-    return U.right_union(t.customer.where("c_custkey >= 50"), t.supplier, "c_custkey", "s_suppkey", _CUST, _SUPP)
+    return U.right_union(_customers(t), t.supplier, "c_key", "s_suppkey", _CUST, _SUPP)
 
 
-@query("left_union", f"{_SELECT_C} UNION ALL {_SELECT_S} WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey >= 50)")
+@query("left_union", f"SELECT * FROM {_C} UNION ALL {_S} WHERE s_suppkey NOT IN (SELECT c_key FROM {_C})")
 def _(t):
-    return U.left_union(t.customer.where("c_custkey >= 50"), t.supplier, "c_custkey", "s_suppkey", _CUST, _SUPP)
+    return U.left_union(_customers(t), t.supplier, "c_key", "s_suppkey", _CUST, _SUPP)
 
 
-@query("minus", f"{_SELECT_S} WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey >= 50)")
+@query("minus", f"{_S} WHERE s_suppkey NOT IN (SELECT c_key FROM {_C})")
 def _(t):
-    return U.minus(t.supplier, t.customer.where("c_custkey >= 50"), "s_suppkey", "c_custkey").select(*_SUPP)
+    return U.minus(t.supplier, _customers(t), "s_suppkey", "c_key").select(*_SUPP)
+
+
+KINDS = ["view", "purchase", "search", "scroll", "click"]
 
 
-@query("union_nway", "SELECT DISTINCT user_id FROM events WHERE value > 150")
+def _users(t, kind: str) -> DataFrame:
+    return t.events.where(F.col("event_type") == kind).select("user_id", "event_type").distinct()
+
+
+@query("union_nway", f"""SELECT user_id, event_type FROM (SELECT DISTINCT user_id, event_type, list_position({KINDS!r}, event_type) AS p FROM events)
+ WHERE p > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p) = 1""")
 def _(t):
-    kinds = ["click", "purchase", "scroll", "search", "view"]
-    rows = t.events.where("value > 150")
-    known = [rows.where(F.col("event_type") == k).select("user_id").distinct() for k in kinds]
-    return U.union_many([*known, rows.where(~F.col("event_type").isin(kinds)).select("user_id").distinct()], "user_id").distinct()
+    return U.union_many([_users(t, k) for k in KINDS], "user_id")
 
 
-@query("at_least_k", "SELECT user_id, count(DISTINCT event_type) AS n_sources FROM events WHERE value > 150 GROUP BY 1 HAVING count(DISTINCT event_type) >= 3")
+@query("at_least_k", f"SELECT user_id, count(DISTINCT event_type) AS n_sources FROM events WHERE event_type IN {tuple(KINDS)!r} GROUP BY 1 HAVING count(DISTINCT event_type) >= 3")
 def _(t):
-    return U.sources_per_key(t.events.where("value > 150"), "user_id", "event_type").where("n_sources >= 3")
+    return U.at_least_k([t.events.where(F.col("event_type") == k).select("user_id") for k in KINDS], "user_id", 3)
 
 
 @query("union_priority", """SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0
@@ -301,16 +360,26 @@ def _(t):
     return O.gather(t.part.select("p_partkey", "p_name"), "p_partkey", t.customer.select(F.floor(F.col("c_custkey") / 3).alias("source"), F.col("c_custkey").alias("target")))
 
 
-@query("permutation_inverse", "SELECT p_partkey, p_partkey AS back FROM part")
+@query("permutation_inverse", "SELECT count(*) AS n, count(DISTINCT p_partkey) AS places, 0 AS lo, count(*) - 1 AS hi, count(*) AS home, count(*) AS undone, true AS spread FROM part")
 def _(t):
+    """A permutation of all places, which its inverse undoes on both sides, and which moves rows far: the
+    mean distance of a random one is a third of the table."""
+    n = t.part.count()
     pi = O.permutation(t.part.select("p_partkey"), "p_partkey", 11).select(F.col("p_partkey").alias("s"), F.col("pi").alias("t"))
-    return O.compose(pi, O.inverse(pi, "s", "t"), "s", "t").select(F.col("s").alias("p_partkey"), F.col("t").alias("back"))
+    back = O.inverse(pi, "s", "t")
+    home, undone = (O.compose(a, b, "s", "t").where("s = t").agg(F.count("*").alias(name)) for a, b, name in ((pi, back, "home"), (back, pi, "undone")))
+    first = t.part.agg(F.min("p_partkey").alias("first"))
+    seen = pi.join(F.broadcast(first)).agg(F.count("*").alias("n"), F.countDistinct("t").alias("places"), F.min("t").cast("int").alias("lo"), F.max("t").alias("hi"), (F.abs(F.avg(F.abs(F.col("s") - F.col("first") - F.col("t"))) / n - 1 / 3) < 0.05).alias("spread"))
+    return seen.join(F.broadcast(home)).join(F.broadcast(undone)).select("n", "places", "lo", "hi", "home", "undone", "spread")  # single rows
 
 
-@query("shuffle_rows", "SELECT p_partkey, p_name FROM part")
+@query("shuffle_rows", "SELECT count(*) AS n, count(DISTINCT p_partkey) AS places, count(DISTINCT p_partkey) AS names, true AS moved, true AS other FROM part")
 def _(t):
-    moved = O.shuffle(t.part.select("p_partkey", "p_name"), "p_partkey", 3)  # a permutation: undone by the names
-    return moved.select("p_name").join(t.part.select("p_partkey", "p_name"), "p_name").select("p_partkey", "p_name").dropDuplicates(["p_partkey"])
+    """All rows keep a place of their own; nearly all move, and otherwise with another seed."""
+    rows = t.part.select("p_partkey", F.col("p_partkey").alias("was"))
+    a, b = (O.shuffle(rows, "p_partkey", seed) for seed in (3, 4))
+    both = a.join(b.select("was", F.col("p_partkey").alias("second")), "was")
+    return both.agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("places"), F.countDistinct("was").alias("names"), (F.avg((F.col("was") != F.col("p_partkey")).cast("double")) > 0.95).alias("moved"), (F.avg((F.col("second") != F.col("p_partkey")).cast("double")) > 0.95).alias("other"))
 
 
 @query("duplicate_forward", "SELECT p_partkey, last_value(CASE WHEN p_partkey % 4 = 0 THEN p_size END IGNORE NULLS) OVER (ORDER BY p_partkey) AS p_size FROM part")
@@ -343,12 +412,18 @@ def _(t):
     return O.repeat(t.nation.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name"), "n_nationkey", 3)
 
 
-@query("mini_batches", "SELECT count(*) AS n, count(*) AS different FROM (SELECT 1 FROM part LIMIT (SELECT count(*) // 4 * 4 FROM part))")
+@query("mini_batches", """SELECT k AS turn, (SELECT count(*) FROM part) // 4 AS n, (SELECT count(*) FROM part) // 4 AS different, true AS mixed, k // 4 AS passed FROM range(0, 8) r(k)""")
 def _(t):
+    """Two passes of four batches: each has its size, no row comes twice in a pass, batches are no blocks."""
     rows, n = t.part.select("p_partkey"), t.part.count() // 4
-    drawn = [O.subset(rows, "p_partkey", n, k, 5) for k in range(4)]
-    both = drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).unionByName(drawn[3])
-    return both.agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("different"))
+    out = None
+    for k in range(8):
+        own = O.subset(rows, "p_partkey", n, k, 5).select("p_partkey", F.lit(k).cast("bigint").alias("turn"))
+        out = own if out is None else out.unionByName(own)
+    passed = F.floor(F.col("turn") / 4)
+    once = out.groupBy("p_partkey", passed.alias("passed")).agg(F.min("turn").alias("turn"))  # a row of two batches counts for one of them only
+    sizes = out.groupBy("turn").agg(F.count("*").alias("n"), (F.max("p_partkey") - F.min("p_partkey") > n).alias("mixed"))
+    return once.groupBy("turn", "passed").agg(F.count("*").alias("different")).join(sizes, "turn").select("turn", "n", "different", "mixed", "passed")
 
 
 # Scalars -------------------------------------------------------------------------------
@@ -372,9 +447,9 @@ def _(t):
     return t.orders.select(a, S.add(a, b).alias("plus"), S.sub(a, b).alias("minus"), S.mul(a, b).alias("times"), S.mul(a, F.lit(37), 16).alias("wrapped"))
 
 
-@query("scalar_wrap64", "SELECT o_orderkey, CAST((CAST(o_orderkey AS HUGEINT) * 9223372036854775807 + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS wrapped FROM orders WHERE o_orderkey < 1000")
+@query("scalar_wrap64", "SELECT o_orderkey, CAST((CAST(o_orderkey AS HUGEINT) * 9223372036854775807 + 9223372036854775808) % 18446744073709551616 - 9223372036854775808 AS BIGINT) AS wrapped FROM orders")
 def _(t):
-    return t.orders.where("o_orderkey < 1000").select("o_orderkey", S.mul("o_orderkey", F.lit(9223372036854775807)).alias("wrapped"))
+    return t.orders.select("o_orderkey", S.mul("o_orderkey", F.lit(9223372036854775807)).alias("wrapped"))
 
 
 @query("scalar_select", "SELECT o_orderkey, CASE WHEN o_orderkey < o_custkey THEN o_orderkey ELSE o_custkey END AS chosen, CASE WHEN o_orderkey < o_custkey THEN o_custkey ELSE 0 END AS kept FROM orders")
@@ -402,9 +477,34 @@ def _(t):
     return t.orders.select("o_orderkey", *(F.get(bits, i).alias(f"b{i}") for i in range(3)), S.bool_to_int(S.lt("o_orderkey", "o_custkey")).alias("as_int"), S.to_binary("o_orderkey").alias("bits"))
 
 
-@query("constants", "SELECT o_orderkey, false AS f, true AS t, CAST(0 AS BIGINT) AS zero, CAST(1 AS BIGINT) AS one FROM orders")
+@query("constants", "SELECT o_orderkey, false AS f, true AS t, 2 AS n, z.value AS zero, z.value + 1 AS one FROM orders JOIN (SELECT k AS id, CAST(0 AS BIGINT) AS value FROM range(0, 500) r(k)) z ON z.id = o_orderkey % 500")
+def _(t):
+    zeros, ones = synthetic.constants(t.spark, 500, 0, "zero"), synthetic.constants(t.spark, 500, 1, "one")
+    rows = t.orders.select("o_orderkey", F.pmod("o_orderkey", F.lit(500)).alias("m"), F.get(S.all_false(2), 1).alias("f"), F.get(S.all_true(2), 1).alias("t"), F.size(S.all_true(2)).alias("n"))
+    both = J.join(rows, zeros, "m", "id", ["o_orderkey", "m", "f", "t", "n"], ["zero"])
+    return J.join(both, ones, "m", "id", ["o_orderkey", "f", "t", "n", "zero"], ["one"])
+
+
+@query("random_mask", "SELECT count(*) AS n, count(*) AS undone, true AS spread, count(*) AS again FROM orders")
+def _(t):
+    """A mask hides values and adding it again shows them; bits are set half of the time; a seed repeats."""
+    hidden = t.orders.select("o_custkey", S.random_mask(5).alias("mask"), S.random_mask(5).alias("again")).withColumn("hidden", S.xor("o_custkey", "mask"))
+    bit = F.avg(F.shiftright("hidden", 17).bitwiseAND(F.lit(1).cast("bigint")).cast("double"))
+    return hidden.agg(F.count("*").alias("n"), F.count_if(S.xor("hidden", "mask") == F.col("o_custkey")).alias("undone"), (F.abs(bit - 0.5) < 0.1).alias("spread"), F.count_if(F.col("mask") == F.col("again")).alias("again"))
+
+
+@query("random_table", "SELECT 5000 AS n, 5000 AS ids, 5000 AS different, true AS spread")
+def _(t):
+    a, b = (synthetic.random_table(t.spark, 5000, ["x", "y"], seed) for seed in (7, 7))
+    both = a.join(b.select("id", F.col("x").alias("again")), "id").where("x = again AND x <> y")
+    return both.agg(F.count("*").cast("int").alias("n"), F.countDistinct("id").cast("int").alias("ids"), F.countDistinct("x").cast("int").alias("different"), (F.abs(F.avg((F.col("x") < 0).cast("double")) - 0.5) < 0.05).alias("spread"))
+
+
+@query("reveal_shuffled", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total, true AS moved FROM customer")
 def _(t):
-    return t.orders.select("o_orderkey", F.lit(False).alias("f"), F.lit(True).alias("t"), F.lit(0).cast("bigint").alias("zero"), F.lit(1).cast("bigint").alias("one"))
+    """What a revealed table holds is the input; its order of files and rows is another."""
+    rows = tables.in_random_order(t.customer.select("c_custkey"), 9).withColumn("at", F.monotonically_increasing_id())
+    return rows.agg(F.count("*").alias("n"), F.sum("c_custkey").alias("total"), (F.abs(F.corr("at", "c_custkey")) < 0.2).alias("moved"))
 
 
 # Fixed point and functions -------------------------------------------------------------
@@ -424,6 +524,20 @@ for _d in (8, 16):
     )(_fixed)
 
 
+@query("fixed_mul_large", """WITH r AS (SELECT c_custkey, 4611686018427387904 + c_custkey * 1000003 AS a, CASE WHEN c_custkey % 2 = 0 THEN 4611686018427387904 ELSE -4611686018427387904 END + c_custkey * 999983 AS b FROM customer),
+ p AS (SELECT *, CAST(a AS HUGEINT) * b AS p FROM r),
+ q AS (SELECT *, p // 65536 AS t16, CASE WHEN p % 65536 < 0 THEN p // 65536 - 1 ELSE p // 65536 END AS f16, CASE WHEN p % 256 < 0 THEN p // 256 - 1 ELSE p // 256 END AS f8, p // 4294967296 AS t32 FROM p)
+ SELECT c_custkey, CAST(((p % 18446744073709551616 + 18446744073709551616 + 9223372036854775808) % 18446744073709551616) - 9223372036854775808 AS BIGINT) AS d0,
+ CAST(((t16 % 18446744073709551616 + 18446744073709551616 + 9223372036854775808) % 18446744073709551616) - 9223372036854775808 AS BIGINT) AS cut16,
+ CAST(((f16 % 18446744073709551616 + 18446744073709551616 + 9223372036854775808) % 18446744073709551616) - 9223372036854775808 AS BIGINT) AS floor16,
+ CAST(((f8 % 18446744073709551616 + 18446744073709551616 + 9223372036854775808) % 18446744073709551616) - 9223372036854775808 AS BIGINT) AS floor8,
+ CAST(((t32 % 18446744073709551616 + 18446744073709551616 + 9223372036854775808) % 18446744073709551616) - 9223372036854775808 AS BIGINT) AS cut32, a < b AS lt, a > b AS gt, a >= b AS ge, a = b AS eq FROM q""")
+def _(t):
+    big, sign = F.lit(1 << 62), F.when(F.col("c_custkey") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    r = t.customer.select("c_custkey", (big + F.col("c_custkey") * 1000003).alias("a"), (sign * big + F.col("c_custkey") * 999983).alias("b"))
+    return r.select("c_custkey", X.fixed_mul("a", "b", 0).alias("d0"), X.fixed_mul("a", "b", 16).alias("cut16"), X.fixed_mul_floor("a", "b", 16).alias("floor16"), X.fixed_mul_floor("a", "b", 8).alias("floor8"), X.fixed_mul("a", "b", 32).alias("cut32"), X.fixed_lt("a", "b").alias("lt"), X.fixed_gt("a", "b").alias("gt"), X.fixed_ge("a", "b").alias("ge"), X.fixed_eq("a", "b").alias("eq"))
+
+
 @query("piecewise", "SELECT event_id, round(CASE WHEN value < 50 THEN 1 + 2 * value WHEN value < 150 THEN value * value - 3 ELSE 7 END, 6) AS y, value < 50 AS r0, value >= 50 AND value < 150 AS r1, value >= 150 AS r2 FROM events")
 def _(t):
     y, r = P.piecewise("value", (50, 150), ((1, 2), (-3, 0, 1), (7,))), P.regions("value", (50, 150))
@@ -502,11 +616,22 @@ def _matrix(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").alias("i"), F.posexplode(F.transform("embedding", lambda v: F.round(v.cast("double") * 1000).cast("bigint"))).alias("j", "v"))
 
 
-@query("matmul", """WITH m AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest([CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT) for x in embedding]) AS v FROM embeddings WHERE vec_id < 40)
- SELECT a.i, b.i AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM m a JOIN m b USING (j) GROUP BY 1, 2""")
+_M = "m AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest([CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT) for x in embedding]) AS v FROM embeddings)"
+
+
+@query("matmul", f"WITH {_M} SELECT a.j AS i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM m a JOIN m b USING (i) GROUP BY 1, 2")
 def _(t):
-    m = _matrix(t.embeddings.where("vec_id < 40"))
-    return R.matmul(m, R.transpose(m))
+    m = _matrix(t.embeddings)
+    return R.matmul(R.transpose(m), m)
+
+
+@query("matrix_parts", f"WITH {_M} SELECT r.v + c.v AS v, r.j, true AS same, false AS other FROM m r JOIN m c ON r.i = 3 AND c.j = 5 AND c.i = r.j")
+def _(t):
+    m = _matrix(t.embeddings)
+    both = R.row(m, 3).select("j", F.col("v").alias("a")).join(R.column(m, 5).select(F.col("i").alias("j"), F.col("v").alias("b")), "j")
+    same = R.same_matrix(m, R.transpose(R.transpose(m)))
+    other = R.same_matrix(m, m.withColumn("v", F.col("v") + (F.col("j") == 63).cast("int"))).withColumnRenamed("same", "other")
+    return both.join(F.broadcast(same)).join(F.broadcast(other)).select((F.col("a") + F.col("b")).alias("v"), "j", "same", "other")  # single rows
 
 
 @query("mean_squared_error", "SELECT round(avg(pow(o_totalprice / 1000 - o_custkey / 10, 2)), 6) AS mse, round(avg(CAST((o_totalprice / 500000 > 0.5) = (o_custkey % 2 > 0.5) AS DOUBLE)), 9) AS accuracy FROM orders")
@@ -514,25 +639,68 @@ def _(t):
     return t.orders.agg(F.round(A.mean_squared_error(F.col("o_totalprice") / 1000, F.col("o_custkey") / 10), 6).alias("mse"), F.round(A.accuracy(F.col("o_totalprice") / 500000, F.col("o_custkey") % 2), 9).alias("accuracy"))
 
 
-def _trained(t, kind: str) -> DataFrame:
+def _trained(t, kind: str, *, whole: bool) -> DataFrame:
+    """Weights after six steps over all rows, or after two passes of two batches, to nine digits."""
     rows = t.events.select("event_id", F.array(F.lit(1.0), F.col("value") / 100 - 1, F.pmod("event_id", F.lit(7)) / 7.0).alias("x"))
-    w = [0.5, 1.0, -0.5]
-    y = R.pred_linear("x", w)
+    y = F.lit(0.5) + (F.col("x")[1] if kind == "linear" else F.col("x")[1] * 2) - 0.5 * F.col("x")[2]
     rows = rows.withColumn("y", y if kind == "linear" else (y > 0).cast("double"))
     n = rows.count()
     descend = R.sgd_linear if kind == "linear" else R.sgd_logistic
-    got = descend(rows, "x", "y", [0.0] * 3, batch=n // 2, rate=0.5 if kind == "linear" else 2.0, iterations=8, ordinal="event_id")
-    return t.spark.createDataFrame([(i, float(a)) for i, a in enumerate(got)], "feature int, weight double")
+    got = descend(rows, "x", "y", [0.0] * 3, batch=n if whole else n // 2, rate=0.5 if kind == "linear" else 2.0, iterations=6 if whole else 8, ordinal="event_id")
+    return t.spark.createDataFrame([(i, round(float(a), 9)) for i, a in enumerate(got)], "feature int, weight double")
+
+
+def _steps(kind: str) -> str:
+    """The same steps in SQL, one table after another."""
+    rate, wide, act = (0.5, "", "{z}") if kind == "linear" else (2.0, " * 2", "1 / (1 + exp(-({z})))")
+    y = f"0.5 + x1{wide} - 0.5 * x2"
+    out = [f"r AS (SELECT 1.0::DOUBLE AS x0, value / 100 - 1 AS x1, (event_id % 7) / 7.0::DOUBLE AS x2 FROM events)", f"d AS (SELECT *, {y if kind == 'linear' else f'CAST(({y}) > 0 AS DOUBLE)'} AS y FROM r)", f"s AS (SELECT pow(2, -floor(log2(count(*) / {rate}))) AS s FROM events)", "w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for k in range(6):
+        e = act.format(z="a * x0 + b * x1 + c * x2") + " - y"
+        out.append(f"w{k + 1} AS (SELECT any_value(a) - any_value(s) * sum(x0 * ({e})) AS a, any_value(b) - any_value(s) * sum(x1 * ({e})) AS b, any_value(c) - any_value(s) * sum(x2 * ({e})) AS c FROM d, w{k}, s)")
+    return "WITH " + ", ".join(out) + " SELECT CAST(0 AS INTEGER) AS feature, round(a, 9) AS weight FROM w6 UNION ALL SELECT 1, round(b, 9) FROM w6 UNION ALL SELECT 2, round(c, 9) FROM w6"
 
 
-@query("sgd_linear")
+@query("sgd_linear", _steps("linear"))
 def _(t):
-    return _trained(t, "linear")
+    return _trained(t, "linear", whole=True)
 
 
-@query("sgd_logistic")
+@query("sgd_logistic", _steps("logistic"))
 def _(t):
-    return _trained(t, "logistic")
+    return _trained(t, "logistic", whole=True)
+
+
+@query("sgd_batches", "SELECT k AS feature, true AS near FROM (VALUES (0), (1), (2)) v(k)")
+def _(t):
+    """Mini-batches of a random permutation come near the weights that the targets were made with."""
+    want = t.spark.createDataFrame([(0, 0.5), (1, 1.0), (2, -0.5)], "feature int, want double")
+    return _trained(t, "linear", whole=False).join(want, "feature").select("feature", (F.abs(F.col("weight") - F.col("want")) < 0.4).alias("near"))
+
+
+@query("synthetic_linear", "SELECT 4000 AS n, true AS centred, true AS fits")
+def _(t):
+    """Samples of a linear model: features about their mean, targets about the model's."""
+    w = synthetic.linear_model(12, 3)
+    rows = synthetic.linear_samples(t.spark, 4000, w, mean=1.0, spread=2.0, seed=4)
+    off = F.col("y") - R.pred_linear("x", w)
+    return rows.agg(F.count("*").cast("int").alias("n"), (F.abs(F.avg(F.get("x", F.lit(3))) - 1) < 0.2).alias("centred"), ((F.abs(F.avg(off) - 1) < 0.2) & (F.abs(F.stddev(off) - 2) < 0.2)).alias("fits"))
+
+
+@query("synthetic_logistic", "SELECT 4000 AS n, true AS fits, true AS both FROM range(1)")
+def _(t):
+    w = [3.0, -2.0]
+    rows = synthetic.logistic_samples(t.spark, 4000, w, seed=5)
+    right = F.avg(((R.pred_linear("x", w) > 0) == (F.col("y") > 0.5)).cast("double"))
+    return rows.agg(F.count("*").cast("int").alias("n"), (right > 0.85).alias("fits"), (F.abs(F.avg("y") - 0.5) < 0.1).alias("both"))
+
+
+@query("regression_drivers", "SELECT k AS kind, true AS good FROM (VALUES ('linear'), ('logistic')) v(k)")
+def _(t):
+    """Whole experiments: a sampled model, trained and tested on other samples."""
+    sizes = dict(rows=2000, features=20, batch=128, iterations=300, test_rows=500)
+    got = [("linear", drivers.linear(t.spark, rate=0.25, **sizes)["error"] < 1.5), ("logistic", drivers.logistic(t.spark, rate=1.0, **sizes)["accuracy"] > 0.85)]
+    return t.spark.createDataFrame(got, "kind string, good boolean")
 
 
 @query("spn_nodes", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Sum' ELSE 'Product' END AS type, c_custkey + 1 AS child, CAST(trunc((c_custkey % 10) / 10 * 10000) AS BIGINT) AS weight FROM customer""")
@@ -542,6 +710,15 @@ def _(t):
     return nodes.select(F.col("id").cast("bigint").alias("id"), "type", F.get("children", F.lit(0)).cast("bigint").alias("child"), F.get("weights", F.lit(0)).alias("weight"))
 
 
+@query("spn_leaves", """SELECT p_partkey AS id, [CAST(p_size AS DOUBLE), p_size + 0.5] AS buckets, [0.25::DOUBLE, 0.75::DOUBLE] AS bin_values, [[CAST(p_partkey % 64 AS INTEGER)], CAST([64, 66] AS INTEGER[])] AS bitmaps, CAST([64, 66] AS INTEGER[]) AS listed FROM part""")
+def _(t):
+    bit = F.lpad(F.hex(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p_partkey") % 64).cast("int"))), 16, "0")
+    hexed = F.concat(F.lit("0x"), bit, F.lit(";hex:"), F.lit("0" * 16), F.lit("0" * 15 + "5"))
+    line = lambda bitmaps: F.concat(F.lit("id="), F.col("p_partkey").cast("string"), F.lit(" type=Categorical scope=1 buckets="), F.col("p_size").cast("string"), F.lit("|"), F.col("p_size").cast("string"), F.lit(".5 bin_values=0.25,0.75 bin_bitmaps="), bitmaps)
+    a, b = (spn.parse(t.part.select(line(x).alias("value"))) for x in (hexed, F.lit("64|66;3")))
+    return a.join(b.select("id", F.get("bin_bitmaps", F.lit(0)).alias("listed")), "id").select(F.col("id").cast("bigint").alias("id"), "buckets", "bin_values", F.col("bin_bitmaps").alias("bitmaps"), "listed")
+
+
 # Applications --------------------------------------------------------------------------
 
 
@@ -578,7 +755,7 @@ def _(t):
     return apps.voter_audit(*_states(t))
 
 
-@query("threat_log", "SELECT user_id, count(DISTINCT event_id % 4) AS n_sources FROM events WHERE value > 150 GROUP BY 1 HAVING count(DISTINCT event_id % 4) >= 2")
+@query("threat_log", "SELECT user_id, count(DISTINCT event_id % 4) AS n_sources FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 4) >= 2")
 def _(t):
-    rows = t.events.where("value > 150")
+    rows = t.events
     return apps.threat_log([rows.where(f"event_id % 4 = {i}").select("user_id") for i in range(4)], "user_id", 2)

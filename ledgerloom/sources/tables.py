@@ -61,6 +61,11 @@ def masked(df: DataFrame, flag: str, columns: Sequence[str]) -> DataFrame:
     return df.select(*(F.when(F.col(flag), F.col(c)).otherwise(zero_of(df.schema[c].dataType)).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
+def in_random_order(df: DataFrame, seed: int) -> DataFrame:
+    """df sorted by a random key: ranges of it are files, so neither files nor rows keep the input's order."""
+    return df.orderBy(F.rand(seed))
+
+
 def reveal(df: DataFrame, path: str, *, seed: int | None = None) -> None:
     """Writes the result as Parquet; with a seed, in an order that tells nothing of the input's."""
-    (df if seed is None else df.orderBy(F.rand(seed))).write.parquet(path)
+    (df if seed is None else in_random_order(df, seed)).write.parquet(path)

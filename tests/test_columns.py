@@ -55,6 +55,27 @@ def test_fixed(spark, d):
         X.to_fixed("a", 7)
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(WORD, WORD), min_size=1, max_size=30))
+def test_fixed_products_of_any_size(spark, pairs):
+    pairs = [*pairs, (2**62 + 12345, 2**62 + 999), (-(2**63), -(2**63)), (-(2**63), 2**63 - 1), (-1, 1), (0, -5)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    for d, shift in ((0, 0), (8, 0), (16, 3), (32, 0), (32, 40)):
+        for r in df.select("a", "b", X.fixed_mul("a", "b", d, shift).alias("cut"), X.fixed_mul_floor("a", "b", d, shift).alias("floor")).collect():
+            p, k = r.a * r.b, d + shift
+            assert r.cut == wrap((abs(p) >> k) * (1 if p >= 0 else -1)) and r.floor == wrap(p >> k)
+
+
+def test_arithmetic_under_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        df = spark.createDataFrame([(2**63 - 1, 2**63 - 1), (-(2**63), -1)], "a long, b long")
+        got = df.select("a", "b", S.add("a", "b").alias("p"), S.sub("b", "a").alias("m"), S.mul("a", "b").alias("t"), X.fixed_mul("a", "b", 16).alias("x"), S.add("a", "b", 8).alias("p8")).collect()
+        assert all((r.p, r.m, r.t, r.p8) == (wrap(r.a + r.b), wrap(r.b - r.a), wrap(r.a * r.b), wrap(r.a + r.b, 8)) for r in got)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+
+
 def test_piecewise(spark):
     xs = [-3.0, -0.5, -0.25, 0.0, 0.4999, 0.5, 2.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")

@@ -55,6 +55,36 @@ def test_duplicates(spark):
     assert rows(J.left_join(left.where("k IS NULL"), right, "k", "k", ["k"], ["v"], flag="f")) == [(None, "", False)]
 
 
+def test_right_join_of_columns_with_one_name(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    b = spark.createDataFrame([(2, "b"), (3, "c")], "k long, v string")
+    got = J.right_join(a, b, "k", "k", ["v"], ["k", "v"], flag="f")
+    assert got.columns == ["v", "k", "v", "f"] and rows(got) == [("", 3, "c", False), ("y", 2, "b", True)]
+
+
+def test_keys_that_the_plan_makes_unique_are_not_counted(spark):
+    a = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "k long, v long")
+    assert J._known_unique(a.groupBy("k").count(), ["k"]) and J._known_unique(a.select("k").distinct(), ["k", "v"])
+    assert not J._known_unique(a, ["k"]) and not J._known_unique(a.distinct(), ["k"])
+    assert rows(J.join(a, a.groupBy("k").count(), "k", "k", ["v"], ["count"])) == [(2, 2), (3, 2), (4, 1)]
+
+
+def test_builder_expressions(spark):
+    a = spark.createDataFrame([(1, 5), (2, 9), (3, 0)], "k long, x long")
+    b = spark.createDataFrame([(1, 5), (2, None)], "k long, y long")
+    q = JoinQuery()
+    q.join_on(a, "k", b, "k")
+    x, y, has = q.input("left", "x"), q.input("right", "y"), q.is_not_null("right", "y")
+    q.output("x", x)
+    q.output("same", x == y)
+    q.output("differ", x != y)
+    q.output("has", has)
+    q.output("case", q.case((has, y), (x == q.constant(9), q.constant(-9)), otherwise=q.constant(0)))
+    q.output("mine", x.apply(lambda c: c * 2 + 1, bits=64) + q.constant(1))
+    q.no_reveal("f")
+    assert rows(q.run()) == [(0, True, False, False, 0, 2, False), (5, True, False, True, 5, 12, True), (9, None, None, False, -9, 20, True)]
+
+
 def test_builder_errors(spark):
     a = spark.createDataFrame([(1, 2, True)], "k long, x int, f boolean")
     q = JoinQuery()

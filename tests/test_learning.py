@@ -20,6 +20,14 @@ def test_logistic_predicts(spark):
         assert R.test_logistic(df, "x", "y", got, exact) > 0.85
 
 
+def test_steps_on_the_driver_and_in_tasks_are_the_same(spark):
+    df = synthetic.linear_samples(spark, 300, [1.0, -2.0, 0.5], seed=3).cache()
+    for kind in (R.sgd_linear, R.sgd_logistic):
+        for batch in (300, 70):
+            a, b = (kind(df, "x", "y", [0.1] * 3, batch=batch, rate=0.5, iterations=6, ordinal="id", local_cells=n) for n in (1 << 20, 1))
+            assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(a, b))
+
+
 def test_predictions(spark):
     df = spark.createDataFrame([([1.0, -2.0],), ([0.5, 3.0],)], "x array<double>")
     layers = [[[1, -1], [1, 2]], [[1, 0, 0], [0, 1, 1]]]

@@ -58,6 +58,20 @@ def test_permutations(spark):
     assert by(O.shuffle(df, "i", 5), "i") == [(i,) for i in range(n)]
 
 
+def test_one_head_before_many(spark):
+    """The values of one row reach all ranges after it."""
+    df = spark.range(20000).select("id", (F.col("id") + 7).alias("v"), ((F.col("id") != 3) & (F.col("id") != 15000)).alias("f"))
+    got = O.duplicate_forward(df, "id", "f", ["v"]).collect()
+    assert all(r.v == (15007 if r.id >= 15000 else 10 if r.id >= 3 else None) for r in got) and len(got) == 20000
+
+
+def test_ranges_are_found_by_blocks(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 50 == 0, None).otherwise(F.col("id") * 7919 % 3001).alias("v"))
+    for n in (1, 2, 7, 60):
+        ranked = sorted((r["rank"], r.v if r.v is not None else -1, r.id) for r in O.with_rank(df, ["v", "id"], ranges=n).collect())
+        assert [r[0] for r in ranked] == list(range(3000)) and [r[1:] for r in ranked] == sorted(r[1:] for r in ranked)
+
+
 def test_small_ones(spark):
     df = spark.createDataFrame([(i, i * i, i % 3 != 0) for i in range(10)], "i long, v long, f boolean")
     assert by(O.duplicate_forward(df, "i", "f", ["v"]), "i", "v") == [(i, (i // 3 * 3) ** 2) for i in range(10)]
