@@ -181,6 +181,76 @@ def test_pipeline(spark, labelled, words, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept["secrets"])
 
 
+def test_pipeline_against_brute_force(spark, labelled, corpus, words, tmp_path):
+    """Each stage's rows from its predecessor's, computed again without Spark."""
+    import numpy as np
+    import public_tokenizers
+    import xxhash
+    from test_text_operators import alnum, components, spans_of
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    item = rng.choices(words, k=14)
+    rows = [(i, t) for i, t in labelled[0][:240]] + [(1000 + i, t) for i, t in corpus]
+    rows += [(2000 + k, " ".join(rng.choices(words, k=30) + item[k : k + 11] + rng.choices(words, k=30))) for k in range(4)]
+    rows += [(3000 + k, " ".join(rng.choices(words, k=200)) + f' password: "{k}abcdefgh" end') for k in range(4)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in labelled[1]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = [" ".join(item), "one two"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got, now = {}, C.table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        now = C.Scratch(spark, "test").save(stage(spark, now, str(tmp_path)), name)
+        got[name] = now.collect()
+    held = lambda name: {r.doc_id: r.text for r in got[name]}
+
+    features = {i: np.unique(np.array([xxhash.xxh3_64_intdigest(w) & T.LOW for w in T._features((t or "").encode())], np.uint32)) for i, t in rows}
+    learn = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    toxic = {i for i, y in labelled[1] if y == 1}
+    sort = lambda ids: sorted((features[i] for i in ids), key=lambda a: (len(a), a.tobytes()))
+    vocabulary, weights, bias = T.train(sort(i for i in learn if i in toxic), sort(learn))
+    weight = dict(zip(vocabulary.tolist(), weights.tolist()))
+    clean = {i: t for i, t in rows if bias + sum(weight.get(f, 0.0) for f in features[i].tolist()) < 0}
+    assert held("toxicity") == clean and len(rows) > len(clean) > 200
+
+    of = components(list(clean.items()), 5, 80)
+    single = {i: t for i, t in clean.items() if of[i][1] == i}
+    assert held("near_dedup") == single and len(single) < len(clean)
+
+    windows = {tuple(w[k : k + 10]) for w in map(alnum, items) for k in range(max(1, len(w) - 9))}
+    hit = lambda w: any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
+    fresh = {i: t for i, t in single.items() if not hit(alnum(t))}
+    assert held("decontaminate") == fresh and len(fresh) <= len(single) - 4
+
+    def redacted(text):
+        out, at = "", 0
+        for a, _, b, _ in spans_of(text or ""):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + text[at:] if text else text
+
+    safe = {i: redacted(t) for i, t in fresh.items()}
+    assert held("secrets") == safe and safe != fresh
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, places = {}, {}
+    for r in got["packing"]:
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(pieces) == set(safe)
+    for i, own in pieces.items():
+        ids = [*tok.encode(safe[i] or "", add_special_tokens=False).ids, 0]
+        assert sum(n for _, _, n, _ in own) == len(ids) and all(crc == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for _, a, n, crc in own)
+    for own in places.values():
+        ends = [0]
+        for at, n in sorted(own):
+            assert at == ends[-1]
+            ends.append(at + n)
+        assert ends[-1] <= 2048
+    assert len(places) <= -(-sum(n for own in places.values() for _, n in own) // 2048) * 1.05 + 1
+
+
 def test_stages_keep_clashing_columns_and_odd_ids(spark, labelled, tmp_path):
     """Columns named like those of the operators, ids that are texts, and a text of over a megabyte."""
     rows = [(f"id{i}", t) for i, t in labelled[0][:300]]
