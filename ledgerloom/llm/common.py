@@ -198,6 +198,14 @@ def key_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     return once.unionByName(plain.where("_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), "text")), keys
 
 
+def left_join(left: DataFrame, right: DataFrame, key: str, right_key: str, spread: str) -> DataFrame:
+    """left with right's columns where the keys are equal. Rows with a null key, which have no match, are
+    spread by a hash of the column `spread` and not dealt to one task."""
+    null = F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))
+    own = right.withColumn("_zero", F.lit(0).cast("long"))
+    return left.withColumn("_null", null).join(own, (F.col(key) == F.col(right_key)) & (F.col("_null") == F.col("_zero")), "left").drop("_null", "_zero")
+
+
 #: Bits of a sieve: its size is fixed, whatever the number of ids.
 SIEVE_BITS = 1 << 25
 

@@ -288,8 +288,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         members = with_tokens.select("node", "id", "weight", "component", F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.get("tokens", i).alias("token")))).alias("t")).select(sub("t.at", "t.token"), "id", "weight", "component")
     # Members of one class are linked by their equal sets; classes by the components.
     found = connected_components(functools.reduce(DataFrame.unionByName, edges), scratch, "cc_")
-    of_class = scratch.save(sets.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "of_class")
-    return of_class.join(found.withColumnRenamed("v", "class_id"), "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    own = classes.withColumnRenamed("set_key", "_own")
+    of_class = C.left_join(sets, own, "set_key", "_own", "doc_id").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    of_class = scratch.save(of_class, "of_class")
+    # A row with a null id has no class: the number of its shingles spreads those.
+    return C.left_join(of_class, found, "class_id", "v", "n_shingles").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

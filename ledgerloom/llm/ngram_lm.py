@@ -326,6 +326,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for a, b in _shards(sizes, shard_bytes):
             got = sorted(tuple(r) for r in df.where(F.col("at").between(a, b)).toLocalIterator())
             own.append((uuid.uuid4().hex, spark.sparkContext.broadcast(got)))
+            got.clear()  # the driver holds one shard at a time
+            C.give_back()
         sent.append(own)
     of_words, of_cells = sent
     whole = SCORES.format(id=docs.schema[id_col].dataType.simpleString()) + ", token_scores array<double>" * with_tokens

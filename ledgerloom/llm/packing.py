@@ -72,6 +72,7 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the blank's byte
         self.marks = {c: self.whole([c])[0] for c in ".,"}
+        self.feed = np.frombuffer(self.whole(["\n"])[0], "<u4")[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,18 +91,38 @@ class Encoder:
         rest = list(set(new).difference(plain))
         self.parts.update(zip(rest, self.whole([" " + p for p in rest])))
 
+    def _first(self, words: list[str]) -> list[bytes]:
+        """Ids of the parts that no blank stands before: those without white space go to the tokenizer in
+        one text, parted by line feeds, each of which is a token of its own there."""
+        plain = [i for i, w in enumerate(words) if w and "\n" not in w]
+        out = [b""] * len(words)
+        if plain:
+            ids = np.array(self.tok.encode_batch_fast(["\n".join(words[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+            assert len(cut) == len(plain) + 1
+            raw = ids.tobytes()
+            for i, a, b in zip(plain, cut, cut[1:]):
+                out[i] = raw[4 * (a + 1) : 4 * b]
+        rest = [i for i, w in enumerate(words) if w and "\n" in w]
+        for i, ids in zip(rest, self.whole([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > self.LIMIT:
             self.older, self.parts = self.parts, {}
         parts, older = self.parts, self.older
         split = [None if _unsure(t) or self.added(t) else t.split(" ") for t in texts]
-        got = [None if s is None else list(map(parts.get, s)) for s in split]
-        gaps = [[i for i, x in enumerate(g) if x is None] if g and None in g else () for g in got]
-        unknown = {s[i] for s, own in zip(split, gaps) for i in own}
-        learn, ended = [], []
+        unknown = set().union(*filter(None, split)).difference(parts)
+        learn, ended, lines = [], [], []
         for p in unknown:
             if p in older:
                 parts[p] = older[p]
+            elif "\n" in p[1:-1] and p.count("\n") == 1:  # between others, a line feed is a token of its own
+                a, b = p.split("\n")
+                lines.append((p, a, b))
+                if a not in parts and a not in unknown:
+                    learn.append(a)
             elif p[-1:] in self.marks and p[:-1].isalpha():  # letters, then a mark: pieces of their own
                 ended.append(p)
                 if p[:-1] not in parts and p[:-1] not in unknown:
@@ -110,15 +131,15 @@ class Encoder:
                 learn.append(p)
         self._learn(list(set(learn)))
         parts.update((p, parts[p[:-1]] + self.marks[p[-1]]) for p in ended)
-        for s, g, own in zip(split, got, gaps):
-            for i in own:
-                g[i] = parts[s[i]]
+        bare = {b: None for _, _, b in lines}
+        bare = dict(zip(bare, self._first(list(bare))))
+        parts.update((p, parts[a] + self.feed.tobytes() + bare[b]) for p, a, b in lines)
         odd = iter(self.whole([t for t, s in zip(texts, split) if s is None]))
-        first = iter(self.whole([s[0] for s in split if s]))  # no blank stands before a text's first part
-        for g in got:
-            if g:
-                g[0] = next(first)
-        return [next(odd) if g is None else b"".join(g) for g in got]
+        first = iter(self._first([s[0] for s in split if s]))
+        out, find = [], parts.__getitem__
+        for s in split:
+            out.append(next(odd) if s is None else b"".join((next(first), *map(find, s[1:]))))
+        return out
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -221,7 +221,13 @@ def build_model(grams: DataFrame, scratch: C.Scratch, shard_grams: int) -> tuple
 
 def _send(spark: SparkSession, model: DataFrame, shards: int) -> list[tuple]:
     """(key, broadcast of rows of the model) for each shard: of bounded size, one by one."""
-    return [(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in model.where(F.floor(F.col("piece") / PIECES) == k).select("lang", "n", "grams").toLocalIterator()])) for k in range(shards)]
+    out = []
+    for k in range(shards):
+        rows = [tuple(r) for r in model.where(F.floor(F.col("piece") / PIECES) == k).select("lang", "n", "grams").toLocalIterator()]
+        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
+        rows.clear()
+        C.give_back()
+    return out
 
 
 class Grams:

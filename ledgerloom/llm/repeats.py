@@ -374,9 +374,9 @@ def _judged(rows: DataFrame, width: int, buckets: int, seed: int) -> DataFrame:
     # Both joins deal out the same rows by id, so that Spark shuffles the texts once.
     texts = rows.mapInArrow(C.tidy("repeats", pack), "doc_id long, z binary")
     shared = by_document(rows.where("doc_id IS NOT NULL").mapInArrow(C.tidy("repeats", find), ENTRIES), _shared)
-    looked = texts.join(shared.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "z", "starts", "lengths")
+    looked = C.left_join(texts, shared.hint("shuffle_hash"), "doc_id", "id", "z").select("doc_id", "z", "starts", "lengths")
     removed = by_document(looked.mapInArrow(C.tidy("repeats", windows), ENTRIES), _later)
-    out = texts.join(removed.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "z", "starts", "lengths")
+    out = C.left_join(texts, removed.hint("shuffle_hash"), "doc_id", "id", "z").select("doc_id", "z", "starts", "lengths")
     return out.mapInArrow(C.tidy("repeats", finish), FINISHED)
 
 

@@ -230,7 +230,7 @@ def mark_secrets(docs: DataFrame, into: str, rules: tuple[Rule, ...] = BASE_RULE
     found = scratch.save(found.select(F.col("doc_id").alias("_found_id"), F.col("rules").alias("_rules")), "candidates")
     names = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)), docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
-    joined = rows.join(found, F.col("_id") == F.col("_found_id"), "left")
+    joined = C.left_join(rows, found, "_id", "_found_id", "_text")
     none = F.array().cast("array<struct<start:int,end:int>>")
     spans = []
     for i, rule in enumerate(rules):

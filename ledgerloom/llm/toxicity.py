@@ -227,6 +227,8 @@ def mark_toxicity(docs: DataFrame, labels: DataFrame, into: str, *, id_col: str
     rows = docs.where(F.col(id_col).isNotNull()).where(~_fold(id_col, folds, held_out)).select(key(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     p, u = _sample(rows, confirmed, positives, unlabelled)
     vocabulary, weights, bias = train(p, u, prior) if p and u else (np.empty(0, np.uint32), np.empty(0), -math.inf)
+    p.clear(), u.clear()
+    C.give_back()
     name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast((vocabulary, weights, bias))
 
     def score(texts: list[bytes]) -> list[pa.Array]:
