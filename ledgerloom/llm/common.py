@@ -162,17 +162,15 @@ def with_struct(docs: DataFrame, owner: str, text_col: str, into: str, kind: T.S
     """All columns of docs as they are, and the struct `into` of what fn gives for the texts (null
     is the empty one). Rows stay where they are, so that no id is needed to bring the two together."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    text = docs[f"`{text_col}`"]
-    sent = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)), text.cast("string").alias("_text"))
-    at = sent.columns.index("_text")
-    own = T.StructType([f for f in sent.schema if f.name != "_text"] + [T.StructField("_out", kind)])
+    sent = docs.select(*(docs[f"`{c}`"].cast("string").alias(n) if c == text_col else docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)))
+    at = docs.columns.index(text_col)
+    own = T.StructType([*sent.schema, T.StructField("_out", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at, most):
                 out = pa.StructArray.from_arrays(fn(as_bytes(part.column(at))), names=kind.fieldNames())
-                rest = [i for i in range(part.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), out], names=[*(part.schema.names[i] for i in rest), "_out"])
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, "_out"])
 
     made = sent.mapInArrow(tidy(owner, run), own)
     return made.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)), F.col("_out").alias(into))

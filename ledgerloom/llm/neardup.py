@@ -8,7 +8,7 @@ sets. A large node is first dealt into blocks that share some pivots, which join
 a crowd of copies; then what lies outside its largest component is compared with all its
 members, or, where that is much, the node branches again on other tokens. Nodes that are
 still large at the last level are compared block by block, all blocks with all.
-Only texts that some node holds are dealt out, compressed.
+Texts are dealt out compressed.
 Components need no more than a spanning forest of confirmed links, so members of one
 component are not compared again and no crowd of copies is expanded into pairs.
 """
@@ -217,23 +217,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = scratch.save(classed.where("doc_id = class_id").select(F.col("doc_id").alias("id"), weight, "tokens").dropDuplicates(["id"]), "reps")
     edges: list[DataFrame] = []
 
-    def texts_of(members: DataFrame) -> DataFrame:
-        """id and z, the compressed text, of the ids that members may hold: the others need no shuffle."""
-        sieve = C.sieve_of(members.select("id"))
+    def texts_of(members: DataFrame, sift: bool) -> DataFrame:
+        """id and z, the compressed text; only of the ids that members may hold, if they are to be sifted."""
+        sieve = C.sieve_of(members.select("id")) if sift else None
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             small = zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                batch = batch.filter(pa.array(C.sifted(sieve.value, batch.column(2))))
+                if sieve is not None:
+                    batch = batch.filter(pa.array(C.sifted(sieve.value, batch.column(2))))
                 for part in C.slices(batch, 1):
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([small.compress(t) for t in C.as_bytes(part.column(1))], pa.binary())], names=["id", "z"])
 
         return rows.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(C.tidy("neardup", pack), "id long, z binary")
 
-    def compare(members: DataFrame, name: str) -> None:
-        """members: node, id. Adds the confirmed links of each node."""
+    def compare(members: DataFrame, name: str, sift: bool = True) -> None:
+        """members: node, id. Adds the confirmed links of each node. At the root most texts are in some
+        node; below it, few are, and the others need no shuffle."""
         members = scratch.save(members, f"{name}_members")
-        dealt = members.hint("shuffle_hash").join(texts_of(members), "id").repartition("node").sortWithinPartitions("node").select("node", "id", "z")
+        dealt = members.hint("shuffle_hash").join(texts_of(members, sift), "id").repartition("node").sortWithinPartitions("node").select("node", "id", "z")
         edges.append(scratch.save(dealt.mapInArrow(C.tidy("neardup", lambda b: _node_links(b, width, percent)), "a long, b long"), name))
 
     def sub(*cols) -> F.Column:
@@ -245,17 +247,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     level = 0
     while True:
         nodes = scratch.save(_nodes(members), f"nodes{level}")
-        members = scratch.save(members.join(nodes, "node").select("node", "id", "weight", "size"), f"members{level}")
+        members = scratch.save(members.join(nodes.hint("shuffle_hash"), "node").select("node", "id", "weight", "size"), f"members{level}")
         big = members.where(F.col("size") > node)
         if not nodes.where(F.col("size") > node).limit(1).count():
-            compare(members.select("node", "id"), f"links{level}")
+            compare(members.select("node", "id"), f"links{level}", sift=level > 0)
             break
         # A large node's blocks share the members whose hash leaves no remainder: about PIVOTS of them.
         blocks = F.ceil(F.col("size") / half).cast("int")
         pivot = F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / PIVOTS)) == 0
         one = F.array(F.pmod(F.xxhash64("node", "id"), blocks).cast("int"))
         dealt = big.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(one))).select(sub("block"), "id")
-        compare(members.where(F.col("size") <= node).select("node", "id").unionByName(dealt), f"links{level}")
+        compare(members.where(F.col("size") <= node).select("node", "id").unionByName(dealt), f"links{level}", sift=level > 0)
         found = connected_components(functools.reduce(DataFrame.unionByName, edges), scratch, f"cc{level}_")
         big = scratch.save(big.join(found.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), f"big{level}")
         each = big.groupBy("node", "component").agg(F.sum("weight").alias("n"))

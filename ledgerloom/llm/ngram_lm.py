@@ -62,7 +62,7 @@ class Layout:
     many cells as salts."""
 
     def __init__(self, text_bytes: int, cell_bytes: int):
-        cells = max(32, -(-text_bytes // cell_bytes))
+        cells = max(8, -(-text_bytes // cell_bytes))
         self.salts = max(2, math.isqrt(cells) // 2)
         self.groups = -(-cells // self.salts)
         self.cells = self.groups * self.salts
@@ -312,9 +312,10 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     train = rows.where(~F.col("held_out")).select("text")
     layout = Layout(C.text_bytes(train), cell_bytes)
     parts = layout.cells + layout.groups
-    counted = count_ngrams(train, layout).repartition(parts, "part").sortWithinPartitions("part")
+    # Four partitions for each part, so that few parts meet in one; adaptive execution joins small ones.
+    counted = count_ngrams(train, layout).repartition(4 * parts, "part").sortWithinPartitions("part")
     made = scratch.save(counted.mapInArrow(C.tidy("lm", lambda batches: _reduce_parts(batches, layout)), PARTS), "parts")
-    by_group = made.where("kind > 0").select("at", "kind", "n", "data").repartition(layout.groups, "at").sortWithinPartitions("at")
+    by_group = made.where("kind > 0").select("at", "kind", "n", "data").repartition(4 * layout.groups, "at").sortWithinPartitions("at")
     words = scratch.save(by_group.mapInArrow(C.tidy("lm", _reduce_words), WORDS), "words")
     total = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n_tokens, n_types = int(total[0]), int(total[1])

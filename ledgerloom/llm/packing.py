@@ -54,7 +54,7 @@ class Encoder:
     Two generations of parts are kept, so that memory is bounded and common parts stay.
     """
 
-    LIMIT = 350_000
+    LIMIT = 180_000
     #: New parts that one call of the tokenizer gets, joined by blanks.
     JOINED = 2_000
 

@@ -305,7 +305,7 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"two rounds guarantee a shared anchor from windows of {WINDOW} words on")
     rows, keys = C.key_rows(docs, id_col, text_col)
     scratch = C.Scratch(docs.sparkSession, "repeats")
-    buckets = max(32, -(-C.text_bytes(rows) // bucket_bytes))
+    buckets = max(8, -(-C.text_bytes(rows) // bucket_bytes))
     for turn in range(8):
         done = scratch.save(_judged(rows, width, buckets, seed + 2 * turn), f"turn{turn}")
         if done.agg(A.total("differ").alias("d")).first()["d"] == 0:
@@ -368,7 +368,8 @@ def _judged(rows: DataFrame, width: int, buckets: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, k) for x, k in zip(zip(*out), kinds))], names=[x.split()[0] for x in FINISHED.split(", ")])
 
     def by_document(entries: DataFrame, reduce) -> DataFrame:
-        found = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy("repeats", reduce), FOUND)
+        # Four partitions for each bucket, so that few buckets meet in one.
+        found = entries.repartition(4 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy("repeats", reduce), FOUND)
         return found.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("lengths")).alias("lengths"))
 
     # Both joins deal out the same rows by id, so that Spark shuffles the texts once.
