@@ -53,9 +53,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
+        self.names.append(name)
         df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -64,6 +66,12 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.remove(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes all tables but those that a result still reads."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
 
 
 def clear_scratch(spark: SparkSession) -> None:

@@ -196,6 +196,7 @@ def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "
     up = places.select("place", F.explode(_ancestors(F.concat("place", F.when(F.col("place") == "", "").otherwise("/"), F.lit("x")))).alias("a")).select("place", "a.depth", "a.dir")
     near = up.join(dirs, "dir").groupBy("place").agg(F.max(F.struct("depth", "dir", "dir_license", "dir_cosine")).alias("n"))
     near = scratch.save(near.select(F.col("place").alias("_np"), F.col("n.dir").alias("_nd"), F.col("n.dir_license").alias("_nl"), F.col("n.dir_cosine").alias("_nc")), "near")
+    scratch.drop_all_but("best", "near")
     best = best.select(F.col("p").alias("_bp"), F.col("is_file").alias("_bf"), F.col("license").alias("_bl"), F.col("cosine").alias("_bc"))
     out = files.select(*(files[c] for c in own), F.col(path_col).alias("_p"), F.regexp_replace(F.col(path_col), "/?[^/]*$", "").alias("_place"))
     out = out.join(best, F.col("_p") == F.col("_bp"), "left").join(near, F.col("_place") == F.col("_np"), "left")

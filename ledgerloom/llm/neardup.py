@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -293,6 +294,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = classes.withColumnRenamed("set_key", "_own")
     of_class = C.left_join(sets, own, "set_key", "_own", "doc_id").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     of_class = scratch.save(of_class, "of_class")
+    scratch.drop_all_but("of_class", *(n for n in scratch.names if re.fullmatch(r"cc_\d+", n)))
     # A row with a null id has no class: the number of its shingles spreads those.
     return C.left_join(of_class, found, "class_id", "v", "n_shingles").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 

@@ -330,6 +330,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             got.clear()  # the driver holds one shard at a time
             C.give_back()
         sent.append(own)
+    scratch.drop_all_but()  # the shards have been sent
     of_words, of_cells = sent
     whole = SCORES.format(id=docs.schema[id_col].dataType.simpleString()) + ", token_scores array<double>" * with_tokens
     most = SCORED_BYTES if max(map(len, sent)) < 2 else SCORED_BYTES_SHARDED

@@ -386,7 +386,9 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     grams = scratch.save(count_grams(rows), "grams")
     model, shards = build_model(grams, scratch, shard_grams)
-    measured = scratch.save(measure(rows, _send(spark, model, shards)), "measured")
+    sent = _send(spark, model, shards)
+    scratch.drop_all_but()  # the shards have been sent
+    measured = scratch.save(measure(rows, sent), "measured")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     middle, limits = bands(measured.where(~failed), iqr)
     own, place = _distance(_by_lang(middle, F.col("lang"))), F.concat(_size("n_words").cast("string"), F.lit(" "), "lang")

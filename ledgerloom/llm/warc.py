@@ -161,7 +161,9 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     """
     scratch = C.Scratch(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8").alias("payload"))
-    return write_archive(record_types(rows, scratch), scratch, chunk=chunk)
+    archive = write_archive(record_types(rows, scratch), scratch, chunk=chunk)
+    scratch.drop_all_but("archive")
+    return archive
 
 
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -496,6 +496,28 @@ def test_equal_names_of_different_windows_are_found_out(words, bits, same):
         assert [r[1] for r in done] == [0] + [58] * 11
 
 
+def test_very_long_texts(spark, tmp_path):
+    """Texts of over a megabyte, one of them without a blank, beside short ones and an extra column."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(170_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 1_500_000), (4, "short text"), (5, None)]
+    docs = clash(spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string"))
+    n = {i: len(blanks(t)) for i, t in rows}
+    assert {i: r.n_tokens for i, r in by_id(M.score_documents(docs)).items()} == {i: k + 1 for i, k in n.items()}
+    assert {i: r.n_words for i, r in by_id(Q.quality(docs)).items()} == n
+    got = by_id(R.repeated_words(docs))
+    assert {i: (r.n_words, r.n_removed) for i, r in got.items()} == {i: (k, 170_000 * (i == 2)) for i, k in n.items()} and got[2].kept == "more"
+    assert {i: r.component_id for i, r in by_id(N.near_duplicates(docs)).items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    item = " ".join(long.split()[160_000:160_012])
+    assert {i: r.n_hit for i, r in by_id(D.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))).items()} == {1: 12, 2: 12, 3: 0, 4: 0, 5: 0}
+    pieces = K.tokenize_pieces(docs.where("doc_id <> 3"), public_tokenizers.path(TOKENIZER)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    tok = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    assert {r.doc_id: r.n for r in pieces} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows if i != 3}
+
+
 def test_word_hashes_split_like_the_contract(odd_rows):
     texts = [(t or "").encode() for t in odd_rows]
     h, counts = C.word_hashes(texts, 0)
