@@ -55,12 +55,21 @@ def union_many(tables: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def at_least_k(tables: Sequence[DataFrame], key: str, k: int, count: str = "n_sources") -> DataFrame:
-    """Keys that occur in k tables or more, and in how many. Null keys count for nothing."""
-    rows = None
+    """Keys that occur in k tables or more, and in how many. Null keys count for nothing.
+
+    Each table is a bit, so that one aggregate, which tasks begin before the shuffle, tells
+    the number of tables for each key; 63 tables make a word.
+    """
+    rows, words = None, -(-len(tables) // 63)
     for i, t in enumerate(tables):
-        own = t.select(F.col(key).alias(key), F.lit(i).alias("_from")).where(F.col(key).isNotNull())
+        bits = [F.lit(1 << i % 63 if i // 63 == w else 0).cast("long").alias(f"_bit{w}") for w in range(words)]
+        own = t.select(F.col(key).alias(key), *bits).where(F.col(key).isNotNull())
         rows = own if rows is None else rows.unionByName(own)
-    return sources_per_key(rows, key, "_from", count).where(F.col(count) >= k)
+    found = rows.groupBy(key).agg(*(F.bit_or(f"_bit{w}").alias(f"_bit{w}") for w in range(words)))
+    number = F.bit_count("_bit0").cast("long")
+    for w in range(1, words):
+        number = number + F.bit_count(f"_bit{w}")
+    return found.select(key, number.alias(count)).where(F.col(count) >= k)
 
 
 def sources_per_key(rows: DataFrame, key: str, source: str, count: str = "n_sources") -> DataFrame:

@@ -135,6 +135,9 @@ def right_count(a, b):
 def test_at_least_k(spark):
     sets = [spark.createDataFrame([(i,) for i in s], "key long") for s in ([1, 2, 3, 3], [2, 3], [3, None])]
     assert rows(apps.threat_log(sets, "key", 2)) == [(2, 2), (3, 3)]
+    many = [spark.range(i, i + 2).withColumnRenamed("id", "key") for i in range(70)]
+    assert rows(U.at_least_k(many, "key", 2)) == [(i, 2) for i in range(1, 70)]
+    assert rows(U.at_least_k([sets[0]] * 70, "key", 70)) == [(1, 70), (2, 70), (3, 70)]
 
 
 def test_full(spark):

@@ -66,6 +66,15 @@ def test_tables(spark):
         raise AssertionError
 
 
+def test_reveal(spark, tmp_path):
+    df = spark.range(2000)
+    for seed in (None, 4):
+        tables.reveal(df, f"{tmp_path}/{seed}", seed=seed)
+    plain, mixed = ([r.id for r in spark.read.parquet(f"{tmp_path}/{seed}").collect()] for seed in (None, 4))
+    assert sorted(plain) == sorted(mixed) == list(range(2000)) and plain != mixed
+    assert sum(abs(a - b) for a, b in zip(mixed, mixed[1:])) > 2000 * 300  # neighbours are far apart
+
+
 def test_drivers(spark):
     from ledgerloom.ml import drivers
 
