@@ -10,6 +10,7 @@ that no longer helps.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -35,110 +36,59 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BINS = "bin long, filled int, members array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
 
-#: White space other than the blank and the line feed; a text with any of it is encoded whole.
-_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: How byte-level BPE cuts a text before it merges bytes (fixed value: the published pattern).
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _unsure(text: str) -> bool:
-    """True if splitting before each blank could part what the tokenizer takes together:
-    where white space stands on both sides of a blank."""
-    return "  " in text or "\n \n" in text or any(c in text for c in _OTHER_SPACE)
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves,
+    the others by their order from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Token ids (little-endian uint32) of texts by a byte-level BPE file of `tokenizers`.
 
-    The tokenizer first cuts a text into pieces that it encodes one by one, and a blank
-    always begins a piece unless white space stands on both of its sides. So a text is
-    split before its blanks and each distinct part encoded once; other texts go whole.
-    Two generations of parts are kept, so that memory is bounded and common parts stay.
+    Two programs give the same ids for the same vocabulary and merges. `tiktoken` is the faster one
+    and takes texts of letters up to U+024F without long white space, where both agree on
+    what a letter, a digit and a blank is; `tokenizers` takes all others, texts that spell out an
+    added token, and all texts if the file is of another kind.
     """
 
-    LIMIT = 180_000
-    #: New parts that one call of the tokenizer gets, joined by blanks.
-    JOINED = 2_000
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        #: Texts with an added token go whole: the tokenizer looks for these before it cuts.
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).search if added else lambda text: None
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the blank's byte
-        self.marks = {c: self.whole([c])[0] for c in ".,"}
-        self.feed = np.frombuffer(self.whole(["\n"])[0], "<u4")[0]
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of blank + part for parts without blanks. Those without any white space go to the
-        tokenizer in one text; a token that begins with the blank begins the next part."""
-        plain = [p for p in new if p and not p.isspace() and "\n" not in p]
-        for at in range(0, len(plain), self.JOINED):
-            some = plain[at : at + self.JOINED]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cut = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
-            assert len(cut) == len(some) + 1
-            raw = ids.tobytes()
-            self.parts.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, cut, cut[1:]))
-        rest = list(set(new).difference(plain))
-        self.parts.update(zip(rest, self.whole([" " + p for p in rest])))
-
-    def _first(self, words: list[str]) -> list[bytes]:
-        """Ids of the parts that no blank stands before: those without white space go to the tokenizer in
-        one text, parted by line feeds, each of which is a token of its own there."""
-        plain = [i for i, w in enumerate(words) if w and "\n" not in w]
-        out = [b""] * len(words)
-        if plain:
-            ids = np.array(self.tok.encode_batch_fast(["\n".join(words[i] for i in plain)], add_special_tokens=False)[0].ids, "<u4")
-            cut = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-            assert len(cut) == len(plain) + 1
-            raw = ids.tobytes()
-            for i, a, b in zip(plain, cut, cut[1:]):
-                out[i] = raw[4 * (a + 1) : 4 * b]
-        rest = [i for i, w in enumerate(words) if w and "\n" in w]
-        for i, ids in zip(rest, self.whole([words[i] for i in rest])):
-            out[i] = ids
-        return out
+        odd = "|".join([*map(re.escape, sorted(added, key=len, reverse=True)), r"[^\x00-\u024f]", r"\s{300}"])
+        self.odd, self.fast = re.compile(odd).search, self._fast(path)
+
+    @staticmethod
+    def _fast(path: str):
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model, cut = said["model"], said.get("pre_tokenizer") or {}
+        plain = model["type"] == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not said.get("normalizer")
+        plain = plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        if not plain or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+            return None  # ids that do not tell the order of merges
+        import tiktoken
+
+        of = _byte_of()
+        ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.LIMIT:
-            self.older, self.parts = self.parts, {}
-        parts, older = self.parts, self.older
-        split = [None if _unsure(t) or self.added(t) else t.split(" ") for t in texts]
-        unknown = set().union(*filter(None, split)).difference(parts)
-        learn, ended, lines = [], [], []
-        for p in unknown:
-            if p in older:
-                parts[p] = older[p]
-            elif "\n" in p[1:-1] and p.count("\n") == 1:  # between others, a line feed is a token of its own
-                a, b = p.split("\n")
-                lines.append((p, a, b))
-                if a not in parts and a not in unknown:
-                    learn.append(a)
-            elif p[-1:] in self.marks and p[:-1].isalpha():  # letters, then a mark: pieces of their own
-                ended.append(p)
-                if p[:-1] not in parts and p[:-1] not in unknown:
-                    learn.append(p[:-1])
+        out = []
+        for t in texts:
+            if self.fast is None or self.odd(t):
+                out.append(np.array(self.tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes())
             else:
-                learn.append(p)
-        self._learn(list(set(learn)))
-        parts.update((p, parts[p[:-1]] + self.marks[p[-1]]) for p in ended)
-        bare = {b: None for _, _, b in lines}
-        bare = dict(zip(bare, self._first(list(bare))))
-        parts.update((p, parts[a] + self.feed.tobytes() + bare[b]) for p, a, b in lines)
-        odd = iter(self.whole([t for t, s in zip(texts, split) if s is None]))
-        first = iter(self._first([s[0] for s in split if s]))
-        out, find = [], parts.__getitem__
-        for s in split:
-            out.append(next(odd) if s is None else b"".join((next(first), *map(find, s[1:]))))
+                out.append(self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes())
         return out
 
 

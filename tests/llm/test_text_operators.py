@@ -149,11 +149,16 @@ def test_encoder_is_the_tokenizer():
 
     path = public_tokenizers.path(TOKENIZER)
     enc, tok, rng = K.Encoder(path), Tokenizer.from_file(path), random.Random(2)
-    enc.LIMIT = 60
+    assert enc.fast is not None
     parts = [*"aab  \n\t'sé1.,, Zß²　", "<|endoftext|>", "<|", "|>"]
     for _ in range(300):
         texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(5)]
         assert enc.encode(texts) == [plain_ids(tok, t) for t in texts]
+    for c in map(chr, range(0x250)):  # all that goes to the faster program, beside letters, digits, marks and blanks
+        texts = [f"a{c}1{c}, {c}{c}b {c}\n{c} '{c}s", c * 3 + "Z", f" {c} {c}9"]
+        assert enc.encode(texts) == [plain_ids(tok, t) for t in texts], hex(ord(c))
+    for t in ("x" * 5000 + " y", " " * 1000 + "z", "\n\t" * 500, "ab1" * 3000, "'s" * 400, "don't we'll I'VE", "日本語 текст 1२३", "a\u2003b"):
+        assert enc.encode([t]) == [plain_ids(tok, t)]
     assert enc.encode(["hello <|endoftext|> world"]) == [plain_ids(tok, "hello <|endoftext|> world")]
 
 
