@@ -305,7 +305,7 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"two rounds guarantee a shared anchor from windows of {WINDOW} words on")
     rows, keys = C.key_rows(docs, id_col, text_col)
     scratch = C.Scratch(docs.sparkSession, "repeats")
-    buckets = max(8, -(-C.text_bytes(rows) // bucket_bytes))
+    buckets = max(64, -(-C.text_bytes(rows) // bucket_bytes))
     for turn in range(8):
         done = scratch.save(_judged(rows, width, buckets, seed + 2 * turn), f"turn{turn}")
         if done.agg(A.total("differ").alias("d")).first()["d"] == 0:
