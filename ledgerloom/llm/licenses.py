@@ -87,7 +87,7 @@ LEAST = 0.6
 
 def _template_terms(templates=TEMPLATES, term: str = TERM) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(template, licence, term, weight over the template's norm); idf by term; idf of all other terms."""
-    split = [re.findall(term, text.lower()) for _, text in templates]
+    split = [[t for t in re.findall(term, text.lower()) if t not in COMMON.split()] for _, text in templates]
     n = len(split)
     idf = {t: math.log((1 + n) / (1 + sum(t in s for s in split))) + 1 for s in split for t in s}
     rows = []
@@ -98,28 +98,40 @@ def _template_terms(templates=TEMPLATES, term: str = TERM) -> tuple[list[tuple[i
     return rows, idf, math.log(1 + n) + 1
 
 
-def _needed(templates, term: str, least: float) -> str:
-    """Matches every text, in lower case, whose cosine to a template may be `least`: those with one of
-    the terms that are needed, as the others of the template alone have a norm below it."""
-    by: dict[int, list] = {}
+def _needed(templates, term: str, least: float) -> list[str]:
+    """Every text, in lower case, whose cosine to a template may be `least` has one of these terms: the
+    others of the template alone have a norm below it. Terms of many templates go first, short
+    ones and numbers, which many texts hold, last."""
+    weights: dict[str, dict[int, float]] = {}
     for k, _, t, w in _template_terms(templates, term)[0]:
-        by.setdefault(k, []).append((t.isdigit(), -w, t))
-    needed = set()
-    for own in by.values():
-        left = 1.0
-        for _, w, t in sorted(own):
-            if left < (least - 1e-6) ** 2:
-                break
-            needed.add(t)
-            left -= w * w
-    return f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, sorted(needed)))})(?![a-z0-9])"
+        weights.setdefault(t, {})[k] = w * w
+    open_ = {k: 1 - (least - 1e-6) ** 2 for own in weights.values() for k in own}
+    out = []
+    while open_:
+        worth = lambda t: sum(min(w, open_[k]) for k, w in weights[t].items() if k in open_) * (0.2 if len(t) < 4 or t.isdigit() else 1)
+        best = max(sorted(set(weights).difference(out)), key=worth)
+        out.append(best)
+        open_ = {k: left - weights[best].get(k, 0.0) for k, left in open_.items() if left - weights[best].get(k, 0.0) > 0}
+    return sorted(t for t in out if not any(o != t and o in t for o in out))  # what holds a longer one holds it
+
+
+def _holds_any(text: Column, terms: list[str]) -> Column:
+    out = F.contains(text, F.lit(terms[0]))
+    for t in terms[1:]:
+        out = out | F.contains(text, F.lit(t))
+    return out
+
+
+def _terms(said: str, term: str) -> Column:
+    """The terms of a text: those of the expression but the words that any text has."""
+    return F.filter(F.regexp_extract_all(F.lower(said), F.lit(term), F.lit(0)), lambda t: ~t.isin(COMMON.split()))
 
 
 def _may_be_alike(said: str, templates, term: str, least: float) -> Column:
     """Whether the terms that a text shares with some template make up `least` of its norm: no
     text without them has that cosine. It needs no shuffle of the other texts' terms."""
     rows, idf, _ = _template_terms(templates, term)
-    shared = F.array_intersect(F.regexp_extract_all(F.lower(said), F.lit(term), F.lit(0)), F.array(*map(F.lit, sorted(idf))))
+    shared = F.array_intersect(_terms(said, term), F.array(*map(F.lit, sorted(idf))))
     squares = [F.create_map(*(F.lit(x) for k, _, t, w in rows if k == own for x in (t, w * w))) for own in range(len(templates))]
     sums = F.array(*(F.lit(0.0) for _ in squares))
     add = lambda held, t: F.array(*(held[k] + F.coalesce(F.element_at(m, t), F.lit(0.0)) for k, m in enumerate(squares)))
@@ -133,7 +145,7 @@ def score_lines(lines: DataFrame, *, said: str = "line", against=TEMPLATES, term
     spark = lines.sparkSession
     templates = spark.createDataFrame(rows, "template int, license string, term string, weight double")
     weights = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower(said), F.lit(term), F.lit(0))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
+    terms = lines.select("line", F.explode(_terms(said, term)).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
     own = terms.join(F.broadcast(weights), "term", "left").select("line", "term", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("w"))
     norm = own.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = own.join(F.broadcast(templates), "term").groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
@@ -170,22 +182,24 @@ def scan_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "
     spark = files.sparkSession
     scratch = C.Scratch(spark, "licenses")
     own = [c for c in files.columns if c not in ("license", "method", "cosine", "license_dir")]
-    text, denied = F.coalesce(F.col(text_col), F.lit("")), lambda c: F.col(c).rlike(DENIED)
-    rows = files.select(F.col(path_col).alias("p"), _is_licence(path_col).alias("is_file"), text.alias("text")).where("p IS NOT NULL")
-
-    def alike(units: DataFrame, against, term: str, name: str) -> DataFrame:
-        """p, is_file, license, cosine of units (p, is_file, said): what each is most like."""
-        some = units.where(F.lower("said").rlike(_needed(against, term, least))).where(_may_be_alike("said", against, term, least)).where(~denied("said"))
+    rows = files.select(F.col(path_col).alias("p"), _is_licence(path_col).alias("is_file"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("p IS NOT NULL")
+
+    def alike(rows: DataFrame, unit: Column, against, term: str, name: str) -> DataFrame:
+        """p, is_file, license, cosine: what each unit of a text is most like. Texts without any of the
+        terms that a unit needs have none to be compared."""
+        needed = _needed(against, term, least)
+        units = rows.where(_holds_any(F.lower("text"), needed)).select("p", "is_file", F.explode(unit).alias("said"))
+        some = units.where(_holds_any(F.lower("said"), needed)).where(_may_be_alike("said", against, term, least)).where(~F.col("said").rlike(DENIED))
         some = scratch.save(some.withColumn("line", F.sha2("said", 256)), name)
         scored = score_lines(some.select("line", "said").distinct(), said="said", against=against, term=term).where(F.col("cosine") >= least)
         return some.select("p", "is_file", "line").distinct().join(scored, "line").select("p", "is_file", "license", "cosine")
 
     bare = F.regexp_replace("text", MARKS, "")
-    found = alike(rows.select("p", "is_file", F.explode(F.split("text", "\n")).alias("said")).where(F.trim("said") != ""), TEMPLATES, TERM, "lines")
-    found = found.unionByName(alike(rows.select("p", "is_file", F.explode(F.split(bare, BLANK)).alias("said")), BLOCKS, WORD, "blocks"))
-    found = found.unionByName(alike(rows.where("is_file").select("p", "is_file", bare.alias("said")), TEXTS, WORD, "texts"))
+    found = alike(rows, F.split("text", "\n"), TEMPLATES, TERM, "lines")
+    found = found.unionByName(alike(rows, F.split(bare, BLANK), BLOCKS, WORD, "blocks"))
+    found = found.unionByName(alike(rows.where("is_file"), F.array(bare), TEXTS, WORD, "texts"))
     ids = {name.lower(): name for name, _ in TEMPLATES + BLOCKS + TEXTS} | ALIASES
-    named = rows.select("p", "is_file", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("id"))
+    named = rows.where(F.contains(F.lower("text"), F.lit("spdx"))).select("p", "is_file", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("id"))
     named = named.select("p", "is_file", F.element_at(F.create_map(*(F.lit(x) for kv in ids.items() for x in kv)), F.lower("id")).alias("license"), F.lit(1.0).alias("cosine")).where("license IS NOT NULL")
     best = found.unionByName(named).groupBy("p", "is_file").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l"))).alias("b"))
     best = scratch.save(best.select("p", "is_file", F.col("b.l").alias("license"), (-F.col("b.c")).alias("cosine")), "best")
@@ -232,7 +246,7 @@ f AS (SELECT doc_id, text, lic, CASE WHEN lic AND lang = 'en' THEN source ELSE s
              CASE WHEN lic THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name FROM d),
 t(k, license, term, weight) AS (VALUES {_values(rows)}), i(term, idf) AS (VALUES {_values(sorted(idf.items()))}),
 l AS (SELECT DISTINCT doc_id, lic, line FROM (SELECT doc_id, lic, unnest(string_split(text, chr(10))) AS line FROM f) WHERE trim(line) <> '' AND NOT regexp_matches(line, '{DENIED}')),
-w AS (SELECT line, term, count(*) * coalesce(any_value(CAST(idf AS DOUBLE)), CAST({other!r} AS DOUBLE)) AS w FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM (SELECT DISTINCT line FROM l)) LEFT JOIN i USING (term) GROUP BY 1, 2),
+w AS (SELECT line, term, count(*) * coalesce(any_value(CAST(idf AS DOUBLE)), CAST({other!r} AS DOUBLE)) AS w FROM (SELECT line, unnest(list_filter(regexp_extract_all(lower(line), '{TERM}'), x -> x NOT IN ({', '.join(repr(c) for c in COMMON.split())}))) AS term FROM (SELECT DISTINCT line FROM l)) LEFT JOIN i USING (term) GROUP BY 1, 2),
 s AS (SELECT line, license, k, sum(w * CAST(weight AS DOUBLE)) AS dot FROM w JOIN t USING (term) GROUP BY 1, 2, 3),
 n AS (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
 c AS (SELECT line, license, round(dot / norm, 6) AS cosine FROM s JOIN n USING (line)),
