@@ -246,7 +246,7 @@ f AS (SELECT doc_id, text, lic, CASE WHEN lic AND lang = 'en' THEN source ELSE s
              CASE WHEN lic THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name FROM d),
 t(k, license, term, weight) AS (VALUES {_values(rows)}), i(term, idf) AS (VALUES {_values(sorted(idf.items()))}),
 l AS (SELECT DISTINCT doc_id, lic, line FROM (SELECT doc_id, lic, unnest(string_split(text, chr(10))) AS line FROM f) WHERE trim(line) <> '' AND NOT regexp_matches(line, '{DENIED}')),
-w AS (SELECT line, term, count(*) * coalesce(any_value(CAST(idf AS DOUBLE)), CAST({other!r} AS DOUBLE)) AS w FROM (SELECT line, unnest(list_filter(regexp_extract_all(lower(line), '{TERM}'), x -> x NOT IN ({', '.join(repr(c) for c in COMMON.split())}))) AS term FROM (SELECT DISTINCT line FROM l)) LEFT JOIN i USING (term) GROUP BY 1, 2),
+w AS (SELECT line, term, count(*) * coalesce(any_value(CAST(idf AS DOUBLE)), CAST({other!r} AS DOUBLE)) AS w FROM (SELECT line, unnest([x FOR x IN regexp_extract_all(lower(line), '{TERM}') IF x NOT IN ({', '.join(repr(c) for c in COMMON.split())})]) AS term FROM (SELECT DISTINCT line FROM l)) LEFT JOIN i USING (term) GROUP BY 1, 2),
 s AS (SELECT line, license, k, sum(w * CAST(weight AS DOUBLE)) AS dot FROM w JOIN t USING (term) GROUP BY 1, 2, 3),
 n AS (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
 c AS (SELECT line, license, round(dot / norm, 6) AS cosine FROM s JOIN n USING (line)),
