@@ -69,10 +69,10 @@ TEXTS = (
     ("ISC", "Copyright (c) " + _ISC + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("MIT", "MIT License Copyright (c) " + _MIT + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
 )
-#: A line's comment marks, the blank lines that part blocks, words that any text has, and a block's terms: all other words.
+#: A line's comment marks, the blank lines that part blocks, words that any text has, and a block's terms.
 MARKS = r"(?m)^[ \t]*(?:(?:#+|/?\*+/?|//+|;+|--+|%+|<!--|\"{3}|'{3})[ \t]*)?|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
 BLANK, COMMON = r"\n\s*\n", "a an and any are as at be by can for from if in is it may not of on one or that the this to use was which with you"
-WORD = f"(?<![a-z0-9])(?!(?:{COMMON.replace(' ', '|')})(?![a-z0-9]))[a-z0-9]+"
+WORD = "[a-z0-9]+"
 #: Names after SPDX-License-Identifier, in lower case: these and the templates' own.
 SPDX = r"(?i)spdx-license-identifier:\s*([a-z0-9.+-]*[a-z0-9+])"
 ALIASES = {"gpl-3.0-only": "GPL-3.0", "gpl-3.0-or-later": "GPL-3.0", "gpl-3.0+": "GPL-3.0", "gpl-2.0-only": "GPL-2.0", "gpl-2.0-or-later": "GPL-2.0", "gpl-2.0+": "GPL-2.0", "lgpl-3.0-only": "LGPL-3.0", "lgpl-3.0-or-later": "LGPL-3.0", "lgpl-3.0+": "LGPL-3.0", "lgpl-2.1-only": "LGPL-2.1", "lgpl-2.1-or-later": "LGPL-2.1", "lgpl-2.1+": "LGPL-2.1", "agpl-3.0-only": "AGPL-3.0", "agpl-3.0-or-later": "AGPL-3.0"}
@@ -112,14 +112,20 @@ def _needed(templates, term: str, least: float) -> list[str]:
         best = max(sorted(set(weights).difference(out)), key=worth)
         out.append(best)
         open_ = {k: left - weights[best].get(k, 0.0) for k, left in open_.items() if left - weights[best].get(k, 0.0) > 0}
-    return sorted(t for t in out if not any(o != t and o in t for o in out))  # what holds a longer one holds it
+    return sorted(t for t in out if not any(o != t and t.startswith(o) for o in out))  # what begins with a longer one begins with it
+
+
+def _of_prefixes(terms: list[str]) -> str:
+    """An expression for any of the terms, parted by their first letters."""
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        by.setdefault(t[0], []).append(t[1:])
+    return "(?:" + "|".join(re.escape(c) + ("" if "" in rest else _of_prefixes(rest)) for c, rest in sorted(by.items())) + ")"
 
 
 def _holds_any(text: Column, terms: list[str]) -> Column:
-    out = F.contains(text, F.lit(terms[0]))
-    for t in terms[1:]:
-        out = out | F.contains(text, F.lit(t))
-    return out
+    """Whether a text has a word that begins with one of the terms."""
+    return text.rlike("(?<![a-z0-9])" + _of_prefixes(terms))
 
 
 def _terms(said: str, term: str) -> Column:
@@ -128,14 +134,18 @@ def _terms(said: str, term: str) -> Column:
 
 
 def _may_be_alike(said: str, templates, term: str, least: float) -> Column:
-    """Whether the terms that a text shares with some template make up `least` of its norm: no
-    text without them has that cosine. It needs no shuffle of the other texts' terms."""
-    rows, idf, _ = _template_terms(templates, term)
-    shared = F.array_intersect(_terms(said, term), F.array(*map(F.lit, sorted(idf))))
-    squares = [F.create_map(*(F.lit(x) for k, _, t, w in rows if k == own for x in (t, w * w))) for own in range(len(templates))]
-    sums = F.array(*(F.lit(0.0) for _ in squares))
-    add = lambda held, t: F.array(*(held[k] + F.coalesce(F.element_at(m, t), F.lit(0.0)) for k, m in enumerate(squares)))
-    return F.array_max(F.aggregate(shared, sums, add)) >= (least - 1e-6) ** 2
+    """Whether the cosine of a text to some template may be `least`. Its product with a template is exact;
+    its norm counts each term as often as it occurs, which is no more than the square of that.
+    So no text with that cosine is lost, and no shuffle is needed for the others."""
+    rows, idf, other = _template_terms(templates, term)
+    terms = _terms(said, term)
+    known = F.filter(terms, lambda t: t.isin(sorted(idf)))
+    weight = F.create_map(*(F.lit(x) for kv in sorted(idf.items()) for x in kv))
+    maps = [F.create_map(*(F.lit(x) for k, _, t, w in rows if k == own for x in (t, w * idf[t]))) for own in range(len(templates))]
+    norm = F.aggregate(known, F.lit(0.0), lambda held, t: held + F.element_at(weight, t) * F.element_at(weight, t))
+    zero = F.array(*(F.lit(0.0) for _ in maps))
+    dots = F.aggregate(known, zero, lambda held, t: F.array(*(held[k] + F.coalesce(F.element_at(m, t), F.lit(0.0)) for k, m in enumerate(maps))))
+    return F.array_max(dots) >= (least - 1e-6) * F.sqrt(norm + (F.size(terms) - F.size(known)) * (other * other))
 
 
 def score_lines(lines: DataFrame, *, said: str = "line", against=TEMPLATES, term: str = TERM) -> DataFrame:
