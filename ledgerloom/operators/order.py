@@ -96,10 +96,17 @@ def merge_arrays(*arrays) -> Column:
 
 
 def tag_append(value, ordinal, bits: int) -> Column:
-    """value << bits | ordinal: makes values distinct and their sort stable."""
+    """value << bits | ordinal: makes values distinct and their sort stable. Bits of the ordinal above
+    `bits` fall on the value and cannot be told from it: tag_place leaves them out."""
     return F.shiftleft(_c(value).cast("bigint"), bits).bitwiseOR(_c(ordinal).cast("bigint"))
 
 
+def tag_place(ordinal, bits: int) -> Column:
+    """The ordinal's place in its block of 2^bits rows (0 for null): a tag that fits, distinct within the
+    block, whatever the size of the table."""
+    return F.coalesce(_c(ordinal).cast("bigint"), F.lit(0)).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+
 def tag_remove(tagged, bits: int) -> Column:
     return F.shiftright(_c(tagged), bits)
 

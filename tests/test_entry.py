@@ -52,3 +52,10 @@ def test_arrays_of_any_length_and_products_at_a_half(spark, tmp_path, kind):
     arrays = [[half, -half, 0.3154999911785126], [i / 7 for i in range(300, 0, -1)], [], None, [None], [2.0, None, -1.5], [None] * 120 + [1.0]]
     df = spark.createDataFrame(list(enumerate(arrays)), f"vec_id long, embedding array<{kind}>")
     assert differing(spark, tmp_path, "merge_arrays", embeddings=df) == ([], [])
+
+
+def test_tags_of_keys_wider_than_the_tag(spark, tmp_path):
+    keys = [0, 1, (1 << 20) - 1, 1 << 20, (1 << 20) + 5, 9_000_001, (1 << 43) + 3, -7, None]
+    values = [0, 1, 3, 899_999, (1 << 43) - 1, None]
+    df = spark.createDataFrame([(k, v) for k in keys for v in values], "o_orderkey long, o_custkey long")
+    assert differing(spark, tmp_path, "tag_roundtrip", orders=df) == ([], [])
