@@ -1,7 +1,8 @@
 """Key joins in which the right side's keys are unique and unmatched rows read as zero.
 
 All are plain equi-joins: Catalyst picks broadcast or sort-merge by the sizes it knows, and
-adaptive execution splits skewed keys.
+adaptive execution splits skewed keys. Where keys repeat on both sides, rows meet in blocks
+(`expand`), as the result may be larger than both sides by any factor.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import types as T
 
 Keys = str | Sequence[str]
 
+#: Rows of a key that meet those of the other side at once (generated code keeps all rows that a pair
+#: of blocks makes until it hands them on), and rows that a task makes.
+BLOCK, MADE = 128, 1 << 22
+
 
 class DuplicateKeyError(ValueError):
     pass
@@ -73,12 +78,52 @@ def _on(left: DataFrame, keys: list[str]) -> Column:
 def join(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_columns: Sequence[str], right_columns: Sequence[str] = (), *, unique: bool = True) -> DataFrame:
     """Inner join. Left keys may repeat; right keys may not, unless `unique` is False (then rows multiply)."""
     lk, rk = keys_of(left_key), keys_of(right_key)
-    if unique:
-        check_unique(right, rk)
+    if not unique:
+        return expand(left, right, lk, rk, left_columns, right_columns)
+    check_unique(right, rk)
     r = _tagged(right, rk, right_columns)
     return left.join(r, _on(left, lk)).select(*(left[f"`{c}`"] for c in left_columns), *(F.col(f"_r{i}").alias(c) for i, c in enumerate(right_columns)))
 
 
+def _keyed(df: DataFrame, keys: list[str], columns: Sequence[str], side: str) -> DataFrame:
+    """The rows that have a key, under names that tell the side."""
+    own = df.select(*(F.col(f"`{k}`").alias(f"_{side}k{i}") for i, k in enumerate(keys)), *(F.col(f"`{c}`").alias(f"_{side}{i}") for i, c in enumerate(columns)))
+    return own.where(" AND ".join(f"_{side}k{i} IS NOT NULL" for i in range(len(keys))))
+
+
+def _blocks(rows: DataFrame, keys: int, most: int, side: str) -> DataFrame:
+    """Arrays of about BLOCK rows of a key, where no key has more than `most`. A hash of the row deals
+    them out, so that a task that runs twice gives the same ones; copies are counted, and dealt too."""
+    ks, cols = rows.columns[:keys], rows.columns[keys:]
+    pieces = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")).withColumn("_p", F.explode(F.expr(f"sequence(0L, (_n - 1) div {BLOCK})")))
+    times = F.least(F.lit(BLOCK), F.col("_n") - F.col("_p") * BLOCK).cast("int")
+    hashed = [f.name for f in rows.schema[keys:] if "map<" not in f.dataType.simpleString()]
+    block = F.pmod(F.xxhash64(*hashed, "_p"), F.lit(-(-most // BLOCK)))
+    row = F.struct(*cols) if cols else F.struct(F.lit(True).alias(f"_{side}"))
+    return pieces.groupBy(*ks, block.alias(f"_{side}b")).agg(F.flatten(F.collect_list(F.array_repeat(row, times))).alias(f"_{side}s"))
+
+
+def expand(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_columns: Sequence[str], right_columns: Sequence[str] = (), made: int = MADE) -> DataFrame:
+    """Inner join in which keys repeat on both sides. Each pair of blocks of a key is a row that any
+    task can take, so that few keys, or few files, still keep all tasks busy; rows of the result
+    are made last, from arrays. Costs an aggregate of each side's keys, which says how many they are;
+    up to `made`, what one task makes, a plain join does."""
+    lk, rk = keys_of(left_key), keys_of(right_key)
+    a, b = _keyed(left, lk, left_columns, "l"), _keyed(right, rk, right_columns, "r")
+    names = {"l": [f"_lk{i}" for i in range(len(lk))], "r": [f"_rk{i}" for i in range(len(rk))]}
+    on = " AND ".join(f"{x} = {y}" for x, y in zip(names["l"], names["r"]))
+    counts = [df.groupBy(*names[s]).agg(F.count("*").alias(f"_{s}n")) for df, s in ((a, "l"), (b, "r"))]
+    most = counts[0].join(counts[1], F.expr(on), "full").agg(F.max("_ln"), F.max("_rn"), F.sum(F.col("_ln").cast("double") * F.col("_rn"))).first()
+    if (most[2] or 0) <= made:
+        return a.join(b, F.expr(on)).select(*(F.col(f"_l{i}").alias(c) for i, c in enumerate(left_columns)), *(F.col(f"_r{i}").alias(c) for i, c in enumerate(right_columns)))
+    pairs = _blocks(a, len(lk), most[0], "l").join(_blocks(b, len(rk), most[1], "r"), F.expr(on))
+    pairs = pairs.repartition(int(most[2] // max(made, 1)) + 1, *names["l"], "_lb", "_rb")
+    one = len(right_columns) == 1  # an array of its values is read faster than one of rows
+    out = pairs.select(F.inline("_ls"), (F.col("_rs")["_r0"] if one else F.col("_rs")).alias("_rs"))
+    out = out.select(*(f"_l{i}" for i in range(len(left_columns))), F.explode("_rs").alias("_r0") if one else F.inline("_rs"))
+    return out.select(*(F.col(f"_l{i}").alias(c) for i, c in enumerate(left_columns)), *(F.col(f"_r{i}").alias(c) for i, c in enumerate(right_columns)))
+
+
 def _outer(left: DataFrame, right: DataFrame, left_key: Keys, right_key: Keys, left_columns: Sequence[str], right_columns: Sequence[str], unique: bool, zero_fill: bool) -> tuple[DataFrame, list[Column], list[Column], Column]:
     """The joined rows, and the columns of both sides and the mark of a match, to be selected."""
     lk, rk = keys_of(left_key), keys_of(right_key)

@@ -1,6 +1,9 @@
 """Join and union fixtures: half-overlapping keys, both sides small, unmatched cells read as zero."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import joins as J
 from ledgerloom.operators import setops as U
@@ -153,3 +156,26 @@ def test_voter_audit(spark):
     got = rows(apps.voter_audit(one, two))
     # registered in both; here only, with the newer address; there only, with the newer address; no match
     assert got == [(100, 11, 21, 5, 8, True), (101, 0, 0, 9, 3, True), (102, 0, 0, 1, 4, True), (103, 0, 0, 2, 0, False)]
+
+
+def test_rows_of_few_keys_are_made_by_many_tasks(spark):
+    """One key, in one file on both sides: no task makes more than its share."""
+    a = spark.range(0, 3000, 1, 1).selectExpr("id AS a", "1 AS k")
+    b = spark.range(0, 3000, 1, 1).selectExpr("id AS b", "1L AS k")
+    made = [r["count"] for r in J.join(a, b, "k", "k", ["a"], ["b"], unique=False).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 9_000_000 and max(made) < 6_000_000
+
+
+@pytest.mark.parametrize("made", [5000, 1 << 22])
+def test_repeated_keys_copies_and_nulls(spark, made):
+    left = [(1, "x", 5)] * 300 + [(1, "x", None)] * 3 + [(i % 4, None if i % 3 else "y", i) for i in range(200)] + [(None, "x", 1), (2, None, 2)]
+    right = [(1, "x", 7)] * 150 + [(i % 5, "y", None if i % 2 else i) for i in range(40)] + [(None, "x", 1), (9, "x", 1)]
+    a, b = spark.createDataFrame(left, "k int, s string, v long"), spark.createDataFrame(right, "k long, s string, v long")
+    as_text = lambda rows: Counter(map(repr, map(tuple, rows)))
+    pairs = [(x, y) for x in left for y in right if x[0] is not None and x[0] == y[0]]
+    both = [(x, y) for x, y in pairs if x[1] is not None and x[1] == y[1]]
+    assert as_text(J.expand(a, b, ["k", "s"], ["k", "s"], ["v", "k"], ["v"], made).collect()) == as_text((x[2], x[0], y[2]) for x, y in both)
+    assert as_text(J.expand(a, b, "k", "k", ["s"], ["s", "v"], made).collect()) == as_text((x[1], y[1], y[2]) for x, y in pairs)
+    assert as_text(J.expand(a, b, "k", "k", ["v"], [], made).collect()) == as_text((x[2],) for x, _ in pairs)
+    assert J.expand(a, b.where("k = 9"), "k", "k", ["v"], ["v"], made).count() == 0 == J.expand(a.where("false"), b, "k", "k", ["v"], ["v"], made).count()
+    assert J.expand(a.withColumn("m", F.create_map("k", "v")), a, "k", "k", ["m"], ["v"], made).count() == sum(x[0] is not None and x[0] == y[0] for x in left for y in left)
